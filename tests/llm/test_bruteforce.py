@@ -437,9 +437,10 @@ def test_unicode_forms_do_not_cross_spaces(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    t, ids = Tokenizer.from_file(path), token_store.WordIds(path, "<u2")
+    t, ids = Tokenizer.from_file(path), token_store.WordIds(path, "<u2", True)
     rng = np.random.default_rng(3)
-    alphabet = list("abΣσςÉé \n\t'sd12.,<|>́  \x1c\x85İıß\U0001f600") + ["<|endoftext|>", "  "]
+    assert token_store.splits(path) == (True, True)
+    alphabet = list("abABÀé.,!abΣσςÉé \n\t'sd12.,<|>́  \x1c\x85İıß\U0001f600") + ["<|endoftext|>", "  "]
     for _ in range(300):
         s = "".join(rng.choice(alphabet, 40))
         for form in (s, unicodedata.normalize("NFD", s)):
