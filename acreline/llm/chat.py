@@ -10,7 +10,7 @@ them, and a newline in a role becomes "<|nl|>"; both can be undone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -36,36 +36,35 @@ def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, histor
     goes over the budget only if one new turn with its system turn and history does. Null conversations are one
     conversation; repeated rows are turns of their own; an empty table gives no windows. Other columns are not looked at.
     """
-    t = turns.select(F.col(conv).alias("c"), F.struct(F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("x")).alias("s"))
-    d = t.groupBy("c").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    turn_of = lambda s: F.struct(
-        s["r"].alias("r"),
-        F.concat(F.lit(START), F.replace(escape(s["r"]), F.lit("\n"), F.lit("<|nl|>")), F.lit("\n")).alias("head"),
-        escape(s["x"]).alias("body"),
-        (F.regexp_count(s["x"], F.lit(TOKEN)) + MARKERS).alias("k"),
-    )
-    d = d.withColumn("t", F.transform("s", turn_of)).withColumn("n", F.size("t")).drop("s")
-    # p[i] is the tokens before turn i, both from 1; p[n + 1] all
-    d = d.withColumn("p", F.expr("aggregate(t, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x.k)))"))
-    d = d.withColumn("sys", F.expr("CASE WHEN t[0].r = 'system' THEN 1 ELSE 0 END"))
-    begins = f"element_at(filter(sequence(greatest(i - {history_turns}, sys + 1), greatest(i, sys + 1)), j -> element_at(p, i) - element_at(p, least(j, i)) <= {history_budget}), 1)"
-    d = d.withColumn("h", F.expr(f"transform(sequence(1, n), i -> least({begins}, i))"))
-    d = d.withColumn("w", F.expr(f"""aggregate(sequence(1, n), cast(array() AS array<struct<h:int,f:int,l:int>>), (a, i) ->
+    order = Window.partitionBy("c").orderBy("n", "r", "x")
+    t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("x"))
+    t = t.withColumn("k", F.regexp_count("x", F.lit(TOKEN)) + MARKERS).withColumn("i", F.row_number().over(order))
+    t = t.withColumn("q", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    head = F.concat(F.lit(START), F.replace(escape(F.col("r")), F.lit("\n"), F.lit("<|nl|>")), F.lit("\n"))
+    d = t.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "r", "q", head.alias("head"), escape(F.col("x")).alias("body")))).alias("t"))
+    # A lambda over an array of one value names the value, so that it is worked out once a row: t are the turns, u their
+    # number and whether the first is the system's. before(i) is the prefix sum of all turns before the i-th.
+    before = lambda i: f"(CASE WHEN {i} <= 1 THEN 0L ELSE t[{i} - 2].q END)"
+    history = f"element_at(filter(sequence(least(greatest(i - {history_turns}, u.sys + 1), i), i), j -> {before('i')} - {before('j')} <= {history_budget}), 1)"
+    last = "element_at(a, -1)"
+    spans = f"""aggregate(sequence(1, u.n), cast(array() AS array<struct<h:int,f:int,l:int>>), (a, i) ->
         CASE WHEN size(a) = 0 THEN array(named_struct('h', 1, 'f', 1, 'l', 1))
-             WHEN element_at(p, i + 1) - element_at(p, element_at(a, -1).h) + CASE WHEN element_at(a, -1).h > sys THEN element_at(p, sys + 1) ELSE 0 END <= {budget}
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('h', element_at(a, -1).h, 'f', element_at(a, -1).f, 'l', i)))
-             ELSE concat(a, array(named_struct('h', element_at(h, i), 'f', i, 'l', i))) END)"""))
-    d = d.select("c", "t", "p", "sys", F.posexplode("w").alias("window", "b"))
-    d = d.withColumn("fore", F.expr("CASE WHEN b.h > sys THEN slice(t, 1, sys) ELSE slice(t, 1, 0) END")).withColumn("all", F.expr("concat(fore, slice(t, b.h, b.l - b.h + 1))"))
-    d = d.withColumn("n_repeated", F.expr("size(fore) + b.f - b.h"))
-    d = d.withColumn("formatted", F.expr(f"array_join(transform(all, x -> concat(x.head, x.body, '{END}\\n')), '')"))
-    d = d.withColumn("loss", F.expr(f"""aggregate(all, named_struct('i', 0, 'at', 0, 'out', cast(array() AS array<struct<start:int,end:int>>)), (a, x) -> named_struct(
+             WHEN t[i - 1].q - {before(last + ".h")} + CASE WHEN {last}.h > u.sys THEN {before("(u.sys + 1)")} ELSE 0L END <= {budget}
+             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('h', {last}.h, 'f', {last}.f, 'l', i)))
+             ELSE concat(a, array(named_struct('h', {history}, 'f', i, 'l', i))) END)"""
+    shape = f"""named_struct('f', b.f, 'l', b.l, 'n_repeated', CASE WHEN b.h > u.sys THEN u.sys ELSE 0 END + b.f - b.h,
+        'n_tokens', t[b.l - 1].q - {before("b.h")} + CASE WHEN b.h > u.sys THEN {before("(u.sys + 1)")} ELSE 0L END,
+        'all', concat(slice(t, 1, CASE WHEN b.h > u.sys THEN u.sys ELSE 0 END), slice(t, b.h, b.l - b.h + 1)))"""
+    cut = F.expr(f"""transform(array(t), t -> transform(array(named_struct('n', size(t), 'sys', CASE WHEN t[0].r = 'system' THEN 1 ELSE 0 END)),
+        u -> transform({spans}, b -> {shape}))[0])[0]""")
+    d = d.select("c", F.posexplode(cut).alias("window", "b")).select("c", "window", "b.*")
+    formatted = F.expr(f"array_join(transform(all, x -> concat(x.head, x.body, '{END}\\n')), '')")
+    loss = F.expr(f"""aggregate(all, named_struct('i', 0, 'at', 0, 'out', cast(array() AS array<struct<start:int,end:int>>)), (a, x) -> named_struct(
         'i', a.i + 1,
         'at', a.at + length(x.head) + length(x.body) + {len(END) + 1},
         'out', CASE WHEN a.i >= n_repeated AND x.r = 'assistant'
-               THEN concat(a.out, array(named_struct('start', a.at + length(x.head), 'end', a.at + length(x.head) + length(x.body)))) ELSE a.out END), a -> a.out)"""))
-    tokens = F.expr("element_at(p, b.l + 1) - element_at(p, b.h) + CASE WHEN b.h > sys THEN element_at(p, sys + 1) ELSE 0 END")
-    return d.select(F.col("c").alias(conv), "window", F.col("b.f").alias("first_turn"), F.col("b.l").alias("last_turn"), "n_repeated", tokens.alias("n_tokens"), "formatted", "loss")
+               THEN concat(a.out, array(named_struct('start', a.at + length(x.head), 'end', a.at + length(x.head) + length(x.body)))) ELSE a.out END), a -> a.out)""")
+    return d.select(F.col("c").alias(conv), "window", F.col("f").alias("first_turn"), F.col("l").alias("last_turn"), "n_repeated", "n_tokens", formatted.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
