@@ -25,68 +25,82 @@ RULES: list[tuple[str, str, float]] = [
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def rate(top: str, bottom: str) -> Column:
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0)
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row, however often body names it and wherever the optimizer puts it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def with_measures(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
-    """docs with the measures as columns named prefix + measure, each over the whole text (null: no words, no lines).
+def repeated_words(w: Column, n: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more in the row.
 
-    Words of three-word windows that occur twice or more are found inside the row: the windows are hashed, sorted with
-    their places, and neighbours compared; nothing is exploded or shuffled.
+    The windows are hashed, sorted with their places, and neighbours compared; nothing is exploded or shuffled.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", SPACE), lambda w: w != ""))
-    d = d.withColumn("_n", F.size("_w")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
+    first = F.zip_with(F.slice(w, F.lit(1), n - 2), F.slice(w, F.lit(2), n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    third = F.zip_with(F.slice(w, F.lit(3), n - 2), F.sequence(F.lit(0), n - 3), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     # (window, place) in the windows' order; a text of fewer than four words has no two windows
-    pairs = F.expr("""CASE WHEN _n < 4 THEN array() ELSE array_sort(
-        zip_with(
-            zip_with(slice(_w, 1, _n - 2), slice(_w, 2, _n - 2), (a, b) -> named_struct('a', a, 'b', b)),
-            zip_with(slice(_w, 3, _n - 2), sequence(0, _n - 3), (c, i) -> named_struct('c', c, 'i', i)),
-            (x, y) -> named_struct('h', xxhash64(x.a, x.b, y.c), 'i', y.i))) END""")
-    d = d.withColumn("_p", pairs)
-    twice = F.expr("""CASE WHEN size(_p) < 2 THEN array() ELSE array_distinct(flatten(filter(
-        zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1),
-            (x, y) -> CASE WHEN x.h = y.h THEN array(x.i, x.i + 1, x.i + 2, y.i, y.i + 1, y.i + 2) END),
-        z -> z IS NOT NULL))) END""")
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    measures = {
-        "n_words": F.col("_n").cast("long"),
-        "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.size(twice).cast("long"),
-        "n_stop_words": F.expr(f"size(filter(_w, w -> lower(w) IN ({stop})))").cast("long"),
-        "n_ellipsis_lines": F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
-        "n_bullet_lines": F.size(F.filter("_l", lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("* ") | F.ltrim(x).startswith("•"))).cast("long"),
-    }
-    d = d.withColumns({prefix + k: v for k, v in measures.items()}).drop("_t", "_w", "_n", "_l", "_p")
-    return d.withColumns({prefix + k: rate(prefix + a, prefix + b) for k, a, b in (
-        ("mean_word_chars", "word_chars", "n_words"), ("symbol_ratio", "n_symbols", "word_chars"), ("stop_ratio", "n_stop_words", "n_words"), ("dup_line_ratio", "n_dup_lines", "n_lines"),
-        ("repeat_ratio", "n_repeat_words", "n_words"), ("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines"), ("bullet_line_ratio", "n_bullet_lines", "n_lines"))})
-
-
-def verdict(rules: list[tuple[str, str, float]] = RULES, prefix: str = "q_") -> Column:
-    """The table as one boolean expression: true if every line holds."""
+    pairs = F.sort_array(F.zip_with(first, third, lambda x, y: F.struct(F.xxhash64(x["a"], x["b"], y["c"]).alias("h"), y["i"].alias("i"))))
+
+    def covered(p: Column) -> Column:
+        places = lambda x, y: F.array(*[z["i"] + k for z in (x, y) for k in range(3)])
+        twice = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda x, y: F.when(x["h"] == y["h"], places(x, y)))
+        return F.size(F.array_distinct(F.flatten(F.filter(twice, lambda z: z.isNotNull()))))
+
+    return F.when(n < 4, F.lit(0)).otherwise(let(pairs, covered))
+
+
+def measures(text: Column) -> Column:
+    """struct of all measures of the whole text (null: no words, no lines)."""
+    bare = lambda c: F.translate(c, " \t\n\x0b\x0c\r", "")
+    starts = lambda x, *marks: F.lit(False) if not marks else F.ltrim(x).startswith(marks[0]) | starts(x, *marks[1:])
+
+    def count(t: Column, w: Column, lines: Column) -> Column:
+        counts = {
+            "n_words": F.size(w),
+            "word_chars": F.length(bare(t)),
+            "n_symbols": F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(w, F.size(w)),
+            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
+            "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
+            "n_bullet_lines": F.size(F.filter(lines, lambda x: starts(x, "- ", "* ", "•"))),
+        }
+        return let(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]), ratios)
+
+    def ratios(m: Column) -> Column:
+        of = lambda top, bottom: F.when(m[bottom] > 0, m[top] / m[bottom]).otherwise(0.0)
+        own = {"mean_word_chars": of("word_chars", "n_words"), "symbol_ratio": of("n_symbols", "word_chars"), "stop_ratio": of("n_stop_words", "n_words"), "dup_line_ratio": of("n_dup_lines", "n_lines"), "repeat_ratio": of("n_repeat_words", "n_words"), "ellipsis_line_ratio": of("n_ellipsis_lines", "n_lines"), "bullet_line_ratio": of("n_bullet_lines", "n_lines")}
+        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_ellipsis_lines", "n_bullet_lines")
+        return F.struct(*[m[k].alias(k) for k in names], *[v.alias(k) for k, v in own.items()])
+
+    words = lambda t: F.filter(F.split(t, SPACE), lambda w: w != "")
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: F.length(bare(x)) > 0)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: let(lines(t), lambda l: count(t, w, l))))
+
+
+def verdict(m: Column, rules: list[tuple[str, str, float]] = RULES) -> Column:
+    """The table as one boolean expression over the measures: true if every line holds."""
     out = F.lit(True)
     for measure, sign, bound in rules:
-        out = out & (F.col(prefix + measure) >= bound if sign == ">=" else F.col(prefix + measure) <= bound)
+        out = out & (m[measure] >= bound if sign == ">=" else m[measure] <= bound)
     return out
 
 
-def quality(docs: DataFrame, text: str = "text", rules: list[tuple[str, str, float]] = RULES, prefix: str = "q_") -> DataFrame:
-    """docs with all measures, base_failed and kept, prefixed.
+def base_failed(m: Column) -> Column:
+    """Under 50 words, or over half of them in repeated windows."""
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
-    base_failed: under 50 words, or over half of the words in repeated windows. kept: not base_failed and the table
-    holds. Null and empty texts have no words and fail. Repeated rows are judged alike; an empty table stays empty.
-    Columns of docs whose names begin with the prefix are replaced; all others are kept.
+
+def quality(docs: DataFrame, text: str = "text", rules: list[tuple[str, str, float]] = RULES, out: str = "quality") -> DataFrame:
+    """docs with struct column out: all measures, base_failed, and kept (not base_failed and the table holds).
+
+    Null and empty texts have no words and fail. Repeated rows are judged alike; an empty table stays empty. A column of
+    docs named out is replaced; all others are kept.
     """
-    d = with_measures(docs, text, prefix)
-    failed = (F.col(prefix + "n_words") < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
-    return d.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & verdict(rules, prefix))
+    judged = let(measures(F.col(text)), lambda m: m.withField("base_failed", base_failed(m)).withField("kept", ~base_failed(m) & verdict(m, rules)))
+    return docs.withColumn(out, judged)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[tuple[str, str, float]] = RULES) -> DataFrame:
     """The rows of docs that quality keeps, with the columns of docs."""
-    return quality(docs, text, rules, "_q_").where("_q_kept").select(*docs.columns)
+    return docs.where(let(measures(F.col(text)), lambda m: ~base_failed(m) & verdict(m, rules)))

@@ -37,7 +37,7 @@ def odd(tmp_path_factory):
     """A folder of tables with nulls, empty and long texts, ties, repeated rows and clashing extra columns."""
     d = tmp_path_factory.mktemp("odd")
     k, t, la, s = zip(*AWKWARD)
-    pq.write_table(pa.table({"doc_id": pa.array(k, pa.int64()), "text": pa.array(t, pa.string()), "lang": la, "source": pa.array(s, pa.string()), "n_chars": pa.array([len(x or "") for x in t]), "fp": ["x"] * len(k), "size": ["y"] * len(k), "shard": ["z"] * len(k), "copy": ["c"] * len(k), "q_kept": ["q"] * len(k)}), d / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(k, pa.int64()), "text": pa.array(t, pa.string()), "lang": la, "source": pa.array(s, pa.string()), "n_chars": pa.array([len(x or "") for x in t]), "fp": ["x"] * len(k), "size": ["y"] * len(k), "shard": ["z"] * len(k), "copy": ["c"] * len(k), "quality": ["q"] * len(k)}), d / "documents.parquet")
     pages = [(0, "http://a.example/1", "<p>one &amp; two<script>x='</p>'</script> three</p>"), (1, None, None), (None, "http://a.example/2", "<article><p>same</p></article>"), (2, "http://b.example", "<article><p>same</p></article>"), (2, "http://b.example", "<article><p>same</p></article>"), (3, "", "")]
     pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([p[2] for p in pages], pa.string()), "text": ["clash"] * len(pages), "host": ["clash"] * len(pages)}), d / "pages.parquet")
     pq.write_table(pa.table({"item_id": pa.array([1, 10, 2, None, 3], pa.int64()), "text": pa.array(["alpha beta gamma delta alpha beta gamma delta alpha beta gamma", "a text without a key", "another line", "", None], pa.string())}), d / "benchmark.parquet")
@@ -254,7 +254,7 @@ def test_op6(spark, tables):
 def test_op6_rules_bind(spark):
     good = " ".join(f"the word{i} of thing{i}" for i in range(40))
     rows = [(1, good), (2, good.replace("the", "###### ######")), (3, " ".join(f"qzx{i}" for i in range(100)))]
-    got = {r.doc_id: r.q_kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.quality.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: True, 2: False, 3: False}
 
 
