@@ -150,33 +150,53 @@ BLOCKED_IPV4 = [
 
 def blocked_ipv4(c: Column) -> Column:
     """Whether the address lies in a blocked range; a text that is no address does not."""
-    value, hit = ipv4(c), F.lit(False)
-    for base, bits in BLOCKED_IPV4:
-        low = sum(int(p) << (24 - 8 * i) for i, p in enumerate(base.split(".")))
-        hit = hit | value.between(low, low + (1 << (32 - bits)) - 1)
-    return F.coalesce(hit, F.lit(False))
+
+    def judge(value: Column) -> Column:
+        hit = F.lit(False)
+        for base, bits in BLOCKED_IPV4:
+            low = sum(int(p) << (24 - 8 * i) for i, p in enumerate(base.split(".")))
+            hit = hit | value.between(low, low + (1 << (32 - bits)) - 1)
+        return hit
+
+    return F.coalesce(let(ipv4(c), judge), F.lit(False))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def ipv6_groups(c: Column) -> Column:
     """The eight 16-bit groups of an address in any of its forms, else null."""
-    bare = F.split(c, "%")[0]
-    tail = F.regexp_extract(bare, r"[^:]*$", 0)
-    v4 = ipv4(tail)
-    plain = F.when(bare.contains("."), F.when(v4.isNotNull(), F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.lower(F.hex(F.shiftright(v4, 16))), F.lit(":"), F.lower(F.hex(v4.bitwiseAND(F.lit(65535))))))).otherwise(bare)
-    halves = F.split(plain, "::")
-    groups = lambda s: F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    head, end = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    gap = 8 - F.size(head) - F.size(end)
-    full = F.when(F.size(halves) == 1, head).when((F.size(halves) == 2) & (gap >= 0), F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)).cast("int")), end))
-    ok = (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
-    return F.when(ok, F.transform(full, lambda g: F.conv(g, 16, 10).cast("int")))
+    none = F.array().cast("array<string>")
+    groups = lambda s: F.when(F.coalesce(s, F.lit("")) == "", none).otherwise(F.split(s, ":"))
+
+    def plain(bare: Column) -> Column:
+        """A dotted tail as two groups."""
+        tail = F.regexp_extract(bare, r"[^:]*$", 0)
+        dotted = lambda v: F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.hex(F.shiftright(v, 16)), F.lit(":"), F.hex(v.bitwiseAND(F.lit(65535))))
+        return F.when(bare.contains("."), let(ipv4(tail), dotted)).otherwise(bare)
+
+    def full(head: Column, end: Column, halves: Column) -> Column:
+        gap = 8 - F.size(head) - F.size(end)
+        return F.when(F.size(halves) == 1, head).when((F.size(halves) == 2) & (gap >= 0), F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)).cast("int")), end))
+
+    def numbers_of(g: Column) -> Column:
+        ok = (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(ok, F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    cut = lambda text: let(F.split(text, "::"), lambda h: let(groups(F.get(h, F.lit(0))), lambda a: let(groups(F.get(h, F.lit(1))), lambda b: let(full(a, b, h), numbers_of))))
+    return let(F.split(c, "%")[0], lambda bare: let(plain(bare), cut))
 
 
 def blocked_ipv6(c: Column) -> Column:
     """Whether the address is unspecified, loopback, local, multicast or documentation, or carries a blocked IPv4 address."""
-    g = ipv6_groups(c)
-    zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
-    last = F.concat_ws(".", *[F.shiftright(g[i], s).bitwiseAND(F.lit(255)).cast("string") for i in (6, 7) for s in (8, 0)])
-    carried = (zero(5) & (g[5] == 0xFFFF)) | ((g[0] == 0x64) & (g[1] == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0))
-    own = (zero(7) & g[7].isin(0, 1)) | (g[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00) | (g[0].bitwiseAND(F.lit(0xFFC0)).isin(0xFE80, 0xFEC0)) | (g[0].bitwiseAND(F.lit(0xFF00)) == 0xFF00) | ((g[0] == 0x2001) & (g[1] == 0x0DB8))
-    return F.coalesce(F.when(carried, blocked_ipv4(last)).otherwise(own), F.lit(False))
+
+    def judge(g: Column) -> Column:
+        zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        last = F.concat_ws(".", *[F.shiftright(g[i], s).bitwiseAND(F.lit(255)).cast("string") for i in (6, 7) for s in (8, 0)])
+        carried = (zero(5) & (g[5] == 0xFFFF)) | ((g[0] == 0x64) & (g[1] == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0))
+        own = (zero(7) & g[7].isin(0, 1)) | (g[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00) | g[0].bitwiseAND(F.lit(0xFFC0)).isin(0xFE80, 0xFEC0) | (g[0].bitwiseAND(F.lit(0xFF00)) == 0xFF00) | ((g[0] == 0x2001) & (g[1] == 0x0DB8))
+        return F.coalesce(F.when(carried, let(last, blocked_ipv4)).otherwise(own), F.lit(False))
+
+    return F.coalesce(let(ipv6_groups(c), judge), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .keys import county_of_url, known_state
-from .numbers import SUBJECT_ACRES, acreage, coordinates, currency, text_or_null
+from .numbers import SUBJECT_ACRES, acreage, coordinates, currency, let, text_or_null
 from .text import squeeze, status_kind
 
 # Texts that mark a challenge page, and pages without results.
@@ -22,12 +22,15 @@ def visible_text(html: Column) -> Column:
     for k, v in NAMED.items():
         t = F.replace(t, F.lit(k), F.lit(v))
     t = F.regexp_replace(t, r"(?i)&#xB7;", "·")
-    # numeric references: the pieces between them joined with the characters they stand for
-    codes = F.regexp_extract_all(t, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
-    chars = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.hex(F.when(c.rlike("^[xX]"), F.conv(F.substring(c, 2, 7), 16, 10)).otherwise(c).cast("bigint")), 8, "0")), "UTF-32BE"))
-    parts = F.split(t, r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
-    joined = F.array_join(F.zip_with(parts, chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.regexp_replace(F.when(F.size(codes) > 0, joined).otherwise(t), r"\s+", " ")
+
+    def join(t: Column) -> Column:
+        """Numeric references: the pieces between them joined with the characters they stand for."""
+        code = r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"
+        number = lambda c: F.when(c.rlike("^[xX]"), F.conv(F.substring(c, 2, 7), 16, 10)).otherwise(c).cast("bigint")
+        chars = F.transform(F.regexp_extract_all(t, F.lit(code), F.lit(1)), lambda c: F.decode(F.unhex(F.lpad(F.hex(number(c)), 8, "0")), "UTF-32BE"))
+        return F.array_join(F.zip_with(F.split(t, code, -1), chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.regexp_replace(let(t, lambda x: F.when(x.contains("&#"), join(x)).otherwise(x)), r"\s+", " ")
 
 
 def error_shell(html: Column) -> Column:
@@ -154,10 +157,14 @@ def high_risk_zone(zone: Column) -> Column:
 
 def subject(ok: Column, source: str, status: Column, price: Column, acres: Column, county: Column, state: Column, note: Column) -> Column:
     """The common form of a reading: everything null unless ok, numbers above 0, a known state, the kind of its status."""
-    when = lambda c: F.when(ok, c)
-    s = when(text_or_null(F.trim(status)))
-    kind = status_kind(s)
-    return F.struct(ok.alias("ok"), F.lit(source).alias("source"), s.alias("status"), kind.alias("status_kind"), F.coalesce(kind.isin("pending", "sold"), F.lit(False)).alias("unavailable"), when(F.when(price > 0, price)).alias("price"), when(F.when(acres > 0, acres)).alias("acres"), when(text_or_null(F.trim(county))).alias("county"), when(known_state(state)).alias("state"), note.alias("note"))
+
+    def of(v: Column) -> Column:
+        when = lambda c: F.when(v["ok"], c)
+        kind = F.when(v["ok"], status_kind(v["status"]))
+        return F.struct(v["ok"].alias("ok"), F.lit(source).alias("source"), when(v["status"]).alias("status"), kind.alias("status_kind"), F.coalesce(kind.isin("pending", "sold"), F.lit(False)).alias("unavailable"), when(F.when(v["price"] > 0, v["price"])).alias("price"), when(F.when(v["acres"] > 0, v["acres"])).alias("acres"), when(v["county"]).alias("county"), when(known_state(v["state"])).alias("state"), v["note"].alias("note"))
+
+    texts = {"status": status, "county": county}
+    return let(F.struct(ok.alias("ok"), price.cast("double").alias("price"), acres.cast("double").alias("acres"), state.alias("state"), note.cast("string").alias("note"), *[text_or_null(F.trim(v)).alias(k) for k, v in texts.items()]), of)
 
 
 def note_unless(ok: Column, text: str) -> Column:
@@ -177,7 +184,10 @@ def landwatch_subject(html: Column, url: Column) -> Column:
 
 def whitetail_subject(html: Column, url: Column) -> Column:
     """Three headers in turn: the details' status, an offer, a closed offer."""
-    t, slug = visible_text(html), county_of_url(url)
+    return let(F.struct(visible_text(html).alias("t"), county_of_url(url).alias("slug")), lambda v: whitetail_reading(v["t"], v["slug"]))
+
+
+def whitetail_reading(t: Column, slug: Column) -> Column:
     closed = F.regexp_extract(t, r"Status ([A-Za-z ]{2,40}?) Property For more information", 1)
     is_closed = closed.rlike("(?i)sold|pending|under contract|off market")
     shop = r"Shop (?:[A-Za-z ]{2,30}?) ([\d,.]+)± Acres ([A-Za-z .'-]+?) County"
@@ -192,7 +202,10 @@ def whitetail_subject(html: Column, url: Column) -> Column:
 
 
 def mossyoak_subject(html: Column, url: Column) -> Column:
-    t, slug = visible_text(html), county_of_url(url)
+    return let(F.struct(visible_text(html).alias("t"), county_of_url(url).alias("slug")), lambda v: mossyoak_reading(v["t"], v["slug"]))
+
+
+def mossyoak_reading(t: Column, slug: Column) -> Column:
     block = r"Status: (.*?) Price: (\$[\d,]+|[A-Za-z ]+?) Acres: ([\d,.]+)"
     x = lambda p, i: text_or_null(F.trim(F.regexp_extract(t, p, i)))
     ok = F.coalesce(t.rlike(block), F.lit(False))
@@ -203,13 +216,16 @@ def mossyoak_subject(html: Column, url: Column) -> Column:
 
 def nationalland_subject(html: Column) -> Column:
     """The header; the county is the last one named in the 300 characters before it, else the title's. Not ok without header."""
-    t = visible_text(html)
+    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
+    return let(F.struct(visible_text(html).alias("t"), title.alias("title")), lambda v: nationalland_reading(v["t"], v["title"]))
+
+
+def nationalland_reading(t: Column, title: Column) -> Column:
     header = r"(?<![A-Za-z0-9_])(ACTIVE|PENDING|UNDER CONTRACT|SOLD)\s+([\d,.]+)\s*\+/-\s*Acres\s*\$([\d,]+)"
     ok = F.coalesce(t.rlike(header), F.lit(False))
     before = F.right(F.substring_index(t, F.regexp_extract(t, header, 0), 1), F.lit(300))
     named = r"([A-Z][a-z.'-]+(?: [A-Z][a-z.'-]+){0,2}) County, ([A-Z]{2})(?![A-Za-z0-9_])"
     last = lambda i: F.try_element_at(F.regexp_extract_all(before, F.lit(named), F.lit(i)), F.lit(-1))
-    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
     titled = r" in ([A-Z][A-Za-z.'-]*(?: [A-Z][A-Za-z.'-]*){0,2}) County, ([A-Za-z ]+?)\s*(?:\(|\||$)"
     x = lambda i: F.regexp_extract(t, header, i)
     return subject(ok, "NationalLandRealty", x(1), currency(x(3)), acreage(x(2)), F.coalesce(last(1), F.regexp_extract(title, titled, 1)), F.coalesce(last(2), F.regexp_extract(title, titled, 2)), note_unless(ok, "header not found"))

@@ -105,8 +105,9 @@ def reason_category(c: Column) -> Column:
 def merged_note(existing: Column, entry: Column) -> Column:
     """existing with entry above the analysis marker, or at the end."""
     old = F.coalesce(existing, F.lit(""))
-    above, below = F.trim(F.substring_index(old, MARKER, 1)), F.substring(old, F.locate(MARKER, old) + len(MARKER), F.length(old))
-    return F.trim(F.when(old.contains(MARKER), F.concat(above, F.lit("\n"), entry, F.lit(f"\n\n{MARKER}"), below)).otherwise(F.concat(F.trim(old), F.lit("\n"), entry)), F.lit(" \n\t\r"))
+    blank = F.lit(" \n\t\r")
+    above, below = F.trim(F.substring_index(old, MARKER, 1), blank), F.substring(old, F.locate(MARKER, old) + len(MARKER), F.length(old))
+    return F.trim(F.when(old.contains(MARKER), F.concat(above, F.lit("\n"), entry, F.lit(f"\n\n{MARKER}"), below)).otherwise(F.concat(F.trim(old, blank), F.lit("\n"), entry)), blank)
 
 
 def log_entry(log: Column, day: Column, message: Column) -> Column:

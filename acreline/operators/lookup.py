@@ -66,21 +66,19 @@ def pick(candidates: DataFrame, key: str, full: Column, short: Column) -> DataFr
 def county_in_text(pages: DataFrame, counties: DataFrame, key: str = "id", url: str = "url", text: str = "text") -> DataFrame:
     """(key, county, state): the county that URL or text names as "X county", the URL before the text.
 
-    The candidates of a page are the last one to four words before each "county" of its text, looked up by equality, so
-    the work grows with the text and not with pages times counties.
+    The candidates of a page are the ends of what stands before each " county", in the lengths that county names have,
+    looked up by equality, so the work grows with the text and not with pages times counties.
     """
     slug = F.regexp_replace(F.lower(F.url_decode(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "%(?![0-9A-Fa-f]{2})", "%25"))), "[_-]+", " ")
     body = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "), F.lit(" "))
     d = pages.select(F.col(key), slug.alias("_u"), body.alias("_b"), F.array_distinct(F.filter(F.split(slug, "[^a-z]+"), lambda x: x != "")).alias("_w"))
     names = counties.select("county", "state", F.lower("county").alias("_n")).distinct()
-    width = F.size(F.split("_n", " "))
-    sizes = [r.w for r in names.select(width.alias("w")).distinct().orderBy("w").collect()]  # the numbers of words in county names
+    sizes = [r.w for r in names.select(F.length("_n").alias("w")).distinct().orderBy("w").collect()]  # the lengths of county names
 
     def candidates(column: str) -> DataFrame:
-        # the name may be the end of a longer word, as the text is only asked to contain it
-        before = F.regexp_extract_all(F.col(column), F.lit(r"((?:[^ ]+ ){0,%d}[^ ]+) county" % (max(sizes, default=1) - 1)), F.lit(1))
-        tails = F.explode(F.flatten(F.transform(before, lambda b: F.array(*[F.array_join(F.slice(F.split(b, " "), F.greatest(F.size(F.split(b, " ")) - (n - 1), F.lit(1)), F.lit(n)), " ") for n in sizes or [1]]))))
-        return d.withColumn("_n", tails).join(names, "_n").dropDuplicates([key, "county", "state"])
+        before = F.split(F.col(column), " county")
+        ends = F.transform(F.slice(before, 1, F.size(before) - 1), lambda b: F.array(*[F.right(b, F.lit(n)) for n in sizes or [1]]))
+        return d.withColumn("_n", F.explode(F.array_distinct(F.flatten(ends)))).join(names, "_n").dropDuplicates([key, "county", "state"])
 
     name = F.lower(keys.state_name(F.col("state")))
     by_url = pick(candidates("_u"), key, F.contains("_u", name), F.array_contains("_w", F.lower("state")))

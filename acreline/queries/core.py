@@ -231,7 +231,7 @@ def joi10_silent_counties(spark, sf):
 
 @query("SELECT n_nationkey AS k, n_nationkey % 4 = 3 AS other FROM nation")
 def joi12_other_county(spark, sf):
-    text = F.element_at(F.array(*map(F.lit, ("45 acres in McClain County, OK", "45 acres, Mc Clain county", "no county named", "45 acres in Wayne County"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, ("45 acres in McClain County, OK", "45 acres, Mc Clain county", "no place named", "45 acres in Wayne County"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), lookup.mentions_other_county(text, F.lit("McClain")).alias("other"))
 
 
