@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -53,19 +53,24 @@ def greedy_fast(listings: DataFrame, index: DataFrame, order: list[Column]) -> D
     return first_of(new, ["fingerprint"], order)
 
 
-def components(edges: DataFrame, spread: str = "checkpoint") -> DataFrame:
-    """(node, root) of edges (a, b), by rounds of large-star and small-star joins until nothing changes.
-
-    Each round is written below spark.checkpoint.dir (or a folder named spread in the warehouse if that is unset).
-    """
-    spark = edges.sparkSession
+def cutter(spark: SparkSession, spread: str = "checkpoint"):
+    """A function that cuts a DataFrame's lineage by writing it below spark.checkpoint.dir, or in the warehouse if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/{spread}"
 
     def cut(df: DataFrame) -> DataFrame:
-        path = f"{base}/stars-{uuid.uuid4().hex}"
+        path = f"{base}/cut-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    return cut
+
+
+def components(edges: DataFrame, spread: str = "checkpoint") -> DataFrame:
+    """(node, root) of edges (a, b), by rounds of large-star and small-star joins until nothing changes.
+
+    Each round is written below spark.checkpoint.dir (or a folder named spread in the warehouse if that is unset).
+    """
+    cut = cutter(edges.sparkSession, spread)
     now, seen = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -80,13 +85,31 @@ def components(edges: DataFrame, spread: str = "checkpoint") -> DataFrame:
         seen = state
 
 
-def greedy(listings: DataFrame, index: DataFrame, key: str = "seq") -> DataFrame:
+def in_rounds(rows: DataFrame, cut) -> DataFrame:
+    """rows (k, u, fingerprint) that the sequential rule keeps, by joins alone.
+
+    A round keeps the rows that are the first left of both their url and their fingerprint, and drops all others of
+    these; no row is gathered with its chain. Rows in arbitrary order need few rounds.
+    """
+    left, kept = cut(rows), None
+    while not left.isEmpty():
+        first_u = left.groupBy("u").agg(F.min("k").alias("_mu"))
+        first_f = left.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("_mf"))
+        d = left.join(first_u, "u").join(first_f, "fingerprint", "left")
+        now = cut(d.where("k = _mu AND (fingerprint IS NULL OR k = _mf)").select("k", "u", "fingerprint"))
+        kept = now if kept is None else kept.unionByName(now)
+        left = cut(left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti").select("k", "u", "fingerprint"))
+    return left.limit(0) if kept is None else kept
+
+
+def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows: int = 50_000) -> DataFrame:
     """listings with kept and duplicate_of (url, fingerprint, session): the sequential rule, exact for any batch.
 
     In order of key a listing is kept if neither its url nor its fingerprint is in the index or was kept before; only kept
     ones register. A dropped row's other key stays free, so this is no ranking. Rows that share a url or fingerprint form
-    chains; rows of one chain are visited in order, everything else is joins. Rows that repeat both url and fingerprint
-    of an earlier row never enter a chain, so copies of any number cost one row.
+    chains. Chains of up to chain_rows rows are visited in order, each in one task; longer ones are resolved in rounds of
+    joins. Rows that repeat both url and fingerprint of an earlier row never enter a chain, so copies of any number cost
+    one row.
     """
     urls = index.select("url").where("url IS NOT NULL").distinct().withColumn("_u", F.lit(True))
     prints = index.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.lit(True))
@@ -97,7 +120,9 @@ def greedy(listings: DataFrame, index: DataFrame, key: str = "seq") -> DataFrame
     first_url, first_print = pair.groupBy("u").agg(F.min("k").alias("a")), pair.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("a"))
     edges = pair.join(first_url, "u").select("a", F.col("k").alias("b")).unionByName(pair.join(first_print, "fingerprint").select("a", F.col("k").alias("b"))).where("a <> b")
     chains = components(edges)
-    linked = pair.join(chains, F.col("k") == F.col("node")).select("root", "k", "u", "fingerprint")
+    cut = cutter(listings.sparkSession)
+    linked = cut(pair.join(chains, F.col("k") == F.col("node")).select("root", "k", "u", "fingerprint"))
+    long = linked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > chain_rows).select("root")
     kind = listings.schema[key].dataType.simpleString()
 
     def visit(of: pd.DataFrame) -> pd.DataFrame:
@@ -111,9 +136,10 @@ def greedy(listings: DataFrame, index: DataFrame, key: str = "seq") -> DataFrame
             out.append((r.k, why))
         return pd.DataFrame(out, columns=["k", "why"])
 
-    fate = linked.groupBy("root").applyInPandas(visit, f"k {kind}, why string")
-    alone = pair.join(fate.select("k"), "k", "left_anti").select("u", "fingerprint", "k")
-    kept = alone.unionByName(pair.join(fate.where("why IS NULL").select("k"), "k").select("u", "fingerprint", "k"))
+    fate = linked.join(long, "root", "left_anti").groupBy("root").applyInPandas(visit, f"k {kind}, why string")
+    chosen = fate.where("why IS NULL").select("k").unionByName(in_rounds(linked.join(long, "root", "left_semi").select("k", "u", "fingerprint"), cut).select("k"))
+    alone = pair.join(linked.select("k"), "k", "left_anti").select("u", "fingerprint", "k")
+    kept = alone.unionByName(pair.join(chosen, "k").select("u", "fingerprint", "k"))
     by_url, by_print = kept.select(F.col("u").alias("_p"), F.col("k").alias("_ku")), kept.where("fingerprint IS NOT NULL").select("fingerprint", F.col("k").alias("_kf"))
     out = d.withColumn("_p", F.coalesce("url", F.lit(""))).join(by_url, "_p", "left").join(by_print, "fingerprint", "left")
     why = F.coalesce("duplicate_of", F.when(F.col("_ku") < F.col(key), "url"), F.when(F.col("_kf") < F.col(key), "session"))
