@@ -58,9 +58,15 @@ def description_acres(c: Column) -> Column:
     return numbers.acreage(F.regexp_extract(c, rf"(?i)(?<![A-Za-z0-9_])with\s+({numbers.ACREAGE})\s+acres?(?![A-Za-z0-9_])", 1))
 
 
-def ld_subject(source: str, html: Column, url: Column) -> Column:
-    """The reading of a site that writes JSON-LD, helped by its panel, description or text."""
-    slug, ld_status = keys.county_of_url(url), T.status_of_availability(F.col("d.availability"))
+def with_parts(rows: DataFrame, html: str, url: str) -> DataFrame:
+    """with_detail, and what several sites' readings share, each worked out once a row: about, slug, said and some_acres."""
+    h = F.col(html)
+    return with_detail(rows, html).withColumns({"about": pages.meta_description(h), "slug": keys.county_of_url(F.col(url)), "said": text_status(h), "some_acres": generic_acres(h)})
+
+
+def ld_subject(source: str) -> Column:
+    """The reading of a site that writes JSON-LD, helped by its panel, description or text. Takes the columns of with_parts."""
+    slug, about, ld_status = F.col("slug"), F.col("about"), T.status_of_availability(F.col("d.availability"))
     none = F.lit(None)
     price, acres, county, state, head, text = F.col("d.ld_price"), none.cast("double"), none.cast("string"), none.cast("string"), none.cast("string"), none.cast("string")
     if source == "TuttLand":
@@ -71,34 +77,43 @@ def ld_subject(source: str, html: Column, url: Column) -> Column:
         county, state = numbers.text_or_null(F.trim(F.regexp_extract("t", offer, 2))), keys.known_state(F.regexp_extract("t", offer, 1))
         head = panel_status()
     elif source == "LANDFLIP":
-        about = pages.meta_description(html)
         place = description_place(about)
-        price, acres, county, state, text = F.coalesce(price, F.col("d.offer_price")), description_acres(about), place["county"], place["state"], text_status(html)
+        price, acres, county, state, text = F.coalesce(price, F.col("d.offer_price")), description_acres(about), place["county"], place["state"], F.col("said")
     else:
-        price, acres, text = F.coalesce(price, read_price()), generic_acres(html), T.merged_status(F.array(ld_status, text_status(html)))
+        price, acres, text = F.coalesce(price, read_price()), F.col("some_acres"), F.col("said")
     status = T.merged_status(F.array(head, ld_status, text))
-    ok = price.isNotNull() | acres.isNotNull() | status.isNotNull()
-    note = F.when(~ok, "listing price, acreage and status not found").when(status.isNull(), "listing status not shown on the page")
-    return pages.subject(ok, source, status, price, acres, F.coalesce(county, slug["county"]), F.coalesce(state, slug["state"]), note)
 
+    def reading(v: Column) -> Column:
+        ok = v["price"].isNotNull() | v["acres"].isNotNull() | v["status"].isNotNull()
+        note = F.when(~ok, "listing price, acreage and status not found").when(v["status"].isNull(), "listing status not shown on the page")
+        return pages.subject(ok, source, v["status"], v["price"], v["acres"], v["county"], v["state"], note)
+
+    where = [F.coalesce(county, slug["county"]).alias("county"), F.coalesce(state, slug["state"]).alias("state")]
+    return numbers.let(F.struct(price.alias("price"), acres.alias("acres"), status.alias("status"), *where), reading)
+
+
+def generic_subject() -> Column:
+    status = T.merged_status(F.array(T.status_of_availability(F.col("d.availability")), F.col("said")))
+    none = F.lit(None).cast("string")
+
+    def reading(v: Column) -> Column:
+        ok = v["price"].isNotNull() | v["acres"].isNotNull() | v["status"].isNotNull()
+        return pages.subject(ok, "generic", v["status"], v["price"], v["acres"], none, none, pages.note_unless(ok, "no price, acreage or status found on the page"))
 
-def generic_subject(html: Column) -> Column:
-    status = T.merged_status(F.array(T.status_of_availability(F.col("d.availability")), text_status(html)))
-    price, acres, none = read_price(), generic_acres(html), F.lit(None).cast("string")
-    ok = price.isNotNull() | acres.isNotNull() | status.isNotNull()
-    return pages.subject(ok, "generic", status, price, acres, none, none, pages.note_unless(ok, "no price, acreage or status found on the page"))
+    return numbers.let(F.struct(read_price().alias("price"), F.col("some_acres").alias("acres"), status.alias("status")), reading)
 
 
 def subjects(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """rows with struct subject, read the way of the site that the URL belongs to."""
-    h, u = F.col(html), F.col(url)
-    d = with_detail(rows, html).withColumn("_site", keys.source_of(u))
-    national = pages.nationalland_subject(h)
-    readers = {"LandWatch": pages.landwatch_subject(h, u), "WhitetailProperties": pages.whitetail_subject(h, u), "MossyOakProperties": pages.mossyoak_subject(h, u), "NationalLandRealty": F.when(national["ok"], national).otherwise(ld_subject("NationalLandRealty", h, u)), "TuttLand": ld_subject("TuttLand", h, u), "LANDFLIP": ld_subject("LANDFLIP", h, u), "LandAndFarm": ld_subject("LandAndFarm", h, u)}
-    out = generic_subject(h)
+    # the parts are named so that no column of rows can be taken for one
+    d = with_parts(rows.select(F.struct(*rows.columns).alias("row"), F.col(html).alias("html"), F.col(url).alias("url")), "html", "url").withColumn("site", keys.source_of(F.col("url")))
+    title, t, about, slug = pages.title_of(F.col("html")), F.col("t"), F.col("about"), F.col("slug")
+    national = numbers.let(pages.nationalland_reading(t, title), lambda v: F.when(v["ok"], v).otherwise(ld_subject("NationalLandRealty")))
+    readers = {"LandWatch": pages.landwatch_reading(t, about, slug), "WhitetailProperties": pages.whitetail_reading(t, slug), "MossyOakProperties": pages.mossyoak_reading(t, slug), "NationalLandRealty": national, **{x: ld_subject(x) for x in ("TuttLand", "LANDFLIP", "LandAndFarm")}}
+    out = generic_subject()
     for site, reading in readers.items():
-        out = F.when(F.col("_site") == site, reading).otherwise(out)
-    return d.withColumn("subject", out).drop("d", "t", "_site").select(*rows.columns, "subject")
+        out = F.when(F.col("site") == site, reading).otherwise(out)
+    return d.select("row.*", out.alias("subject"))
 
 
 def intake_details(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

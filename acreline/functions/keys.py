@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import bucket, text_or_null
+from .numbers import bucket, let, text_or_null
 
 # States and their two letters.
 STATES = {
@@ -140,19 +140,22 @@ STATE_SLUGS = "|".join(sorted((v.lower().replace(" ", "-") for v in STATES.value
 
 def county_of_url(url: Column) -> Column:
     """struct<county,state> from the path of a known site's URL, else null. State is two letters where it is known."""
-    path, site = path_of(url), source_of(url)
     shapes = {
         "LandWatch": (rf"/([a-z]+(?:-[a-z]+)*)-county-({STATE_SLUGS})(?:-|/|$)", 1, 2),
         "WhitetailProperties": (r"/hunting-land/([^/]+)/([^/]+)/", 2, 1),
         "MossyOakProperties": (rf"/property/(?:.+-)?([^/-]+)-({STATE_SLUGS})/\d+/?$", 1, 2),
         "TuttLand": (r"/land-sale/([^/]+)/([^/]+)-county/", 2, 1),
     }
-    out = F.lit(None).cast("struct<county:string,state:string>")
-    for name, (pattern, c, s) in shapes.items():
-        county = F.initcap(F.trim(F.regexp_replace(F.regexp_extract(path, pattern, c), "-+", " ")))
-        found = F.when(path.rlike(pattern), F.struct(county.alias("county"), known_state(F.regexp_extract(path, pattern, s)).alias("state")))
-        out = F.when(site == name, found).otherwise(out)
-    return out
+    pick = lambda of: F.create_map(*[F.lit(x) for k, v in shapes.items() for x in (k, v[of])])
+
+    def found(v: Column) -> Column:
+        part = lambda i: F.call_function("regexp_extract", v["path"], v["pattern"], v[i])
+        county = F.initcap(F.trim(F.regexp_replace(part("c"), "-+", " ")))
+        state = let(part("s"), known_state)
+        return F.when(F.call_function("regexp_like", v["path"], v["pattern"]), F.struct(county.alias("county"), state.alias("state")))
+
+    site = source_of(url)
+    return let(F.struct(path_of(url).alias("path"), pick(0)[site].alias("pattern"), pick(1)[site].alias("c"), pick(2)[site].alias("s")), found)
 
 
 def canonical_url(url: Column) -> Column:

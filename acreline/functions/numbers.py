@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and bounds of prices and acreages.
-ACREAGE = r"(?<![\d,]|\d\.)(?:(?:\d{1,3}(?:,\d{3})+|\d+)?\.\d+|\d{1,3}(?:,\d{3})+(?![\d,])|\d+(?![\d,]))"
+ACREAGE = r"(?<![\d,])(?<!\d\.)(?:(?:\d{1,3}(?:,\d{3})+|\d+)?\.\d+|\d{1,3}(?:,\d{3})+(?![\d,])|\d+(?![\d,]))"
 PRICE_AMOUNT = r"\$\s?(?:\d{1,3}(?:,\d{3})+(?:\.\d{1,2}(?!\d))?|\d+(?:\.\d+)?)"
 ACRES_PHRASE = rf"(?i)({ACREAGE})\s*(?:±|\+/-)?\s*acres?(?![A-Za-z0-9_])"
 SUBJECT_ACRES = rf"(?i)({ACREAGE})\s*(?:±|\+/-|\+-)?\s*[- ]?acres?(?![A-Za-z0-9_])"

@@ -172,12 +172,15 @@ def note_unless(ok: Column, text: str) -> Column:
 
 
 def landwatch_subject(html: Column, url: Column) -> Column:
-    meta = meta_description(html)
+    return let(F.struct(visible_text(html).alias("t"), meta_description(html).alias("meta"), county_of_url(url).alias("slug")), lambda v: landwatch_reading(v["t"], v["meta"], v["slug"]))
+
+
+def landwatch_reading(t: Column, meta: Column, slug: Column) -> Column:
     pattern = r"(?i)^\s*View ([\d,.]+) acres? priced at \$([\d,]+) in (.*)$"
     ok, place = F.coalesce(meta.rlike(pattern), F.lit(False)), F.regexp_extract(meta, pattern, 3)
     named = r"([A-Za-z .'-]+?) County, ([A-Z]{2})(?![A-Za-z0-9_])"
-    status = text_or_null(F.regexp_extract(visible_text(html), r"(?i)View all \d+ pictures? (Available|Under Contract|Off Market|Sold|Pending|Auction|New)(?![A-Za-z0-9_])", 1))
-    state = F.coalesce(text_or_null(F.regexp_extract(place, named, 2)), county_of_url(url)["state"])
+    status = text_or_null(F.regexp_extract(t, r"(?i)View all \d+ pictures? (Available|Under Contract|Off Market|Sold|Pending|Auction|New)(?![A-Za-z0-9_])", 1))
+    state = F.coalesce(text_or_null(F.regexp_extract(place, named, 2)), slug["state"])
     note = F.when(~ok, "LandWatch page has no listing summary (error shell)").when(status.isNull(), "LandWatch status word not shown")
     return subject(ok, "LandWatch", status, currency(F.regexp_extract(meta, pattern, 2)), acreage(F.regexp_extract(meta, pattern, 1)), F.trim(F.regexp_extract(place, named, 1)), state, note)
 
@@ -197,8 +200,7 @@ def whitetail_reading(t: Column, slug: Column) -> Column:
     of = lambda s, p, a, c: F.struct(s.alias("s"), p.alias("p"), a.alias("a"), c.alias("c"))
     none = F.lit(None).cast("double")
     r = F.when(is_closed, of(closed, none, acreage(x(shop, 1)), F.coalesce(x(shop, 2), slug["county"]))).when(t.rlike(offer), of(F.coalesce(x(offer, 1), F.lit("For Sale")), currency(x(offer, 2)), acreage(x(offer, 3)), x(offer, 4))).when(t.rlike(gone), of(x(gone, 1), none, acreage(x(gone, 2)), x(gone, 3)))
-    ok = r.isNotNull()
-    return subject(ok, "WhitetailProperties", r["s"], r["p"], r["a"], r["c"], slug["state"], note_unless(ok, "Whitetail listing header not found"))
+    return let(r, lambda v: subject(v.isNotNull(), "WhitetailProperties", v["s"], v["p"], v["a"], v["c"], slug["state"], note_unless(v.isNotNull(), "Whitetail listing header not found")))
 
 
 def mossyoak_subject(html: Column, url: Column) -> Column:
@@ -214,16 +216,19 @@ def mossyoak_reading(t: Column, slug: Column) -> Column:
     return subject(ok, "MossyOakProperties", x(block, 1), currency(x(block, 2)), acreage(x(block, 3)), county, state, note_unless(ok, "Mossy Oak details block not found"))
 
 
+def title_of(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
+
+
 def nationalland_subject(html: Column) -> Column:
     """The header; the county is the last one named in the 300 characters before it, else the title's. Not ok without header."""
-    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
-    return let(F.struct(visible_text(html).alias("t"), title.alias("title")), lambda v: nationalland_reading(v["t"], v["title"]))
+    return let(F.struct(visible_text(html).alias("t"), title_of(html).alias("title")), lambda v: nationalland_reading(v["t"], v["title"]))
 
 
 def nationalland_reading(t: Column, title: Column) -> Column:
     header = r"(?<![A-Za-z0-9_])(ACTIVE|PENDING|UNDER CONTRACT|SOLD)\s+([\d,.]+)\s*\+/-\s*Acres\s*\$([\d,]+)"
     ok = F.coalesce(t.rlike(header), F.lit(False))
-    before = F.right(F.substring_index(t, F.regexp_extract(t, header, 0), 1), F.lit(300))
+    before = F.right(F.call_function("substring_index", t, F.regexp_extract(t, header, 0), F.lit(1)), F.lit(300))
     named = r"([A-Z][a-z.'-]+(?: [A-Z][a-z.'-]+){0,2}) County, ([A-Z]{2})(?![A-Za-z0-9_])"
     last = lambda i: F.try_element_at(F.regexp_extract_all(before, F.lit(named), F.lit(i)), F.lit(-1))
     titled = r" in ([A-Z][A-Za-z.'-]*(?: [A-Z][A-Za-z.'-]*){0,2}) County, ([A-Za-z ]+?)\s*(?:\(|\||$)"

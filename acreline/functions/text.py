@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import js_round, money, text_or_null
+from .numbers import js_round, let, money, text_or_null
 
 # Phrases that say a listing is no longer available.
 UNAVAILABLE = ["under contract", "sale pending", "pending sale", "no longer available", "off market", "off-market"]
@@ -60,7 +60,7 @@ def sold(text: Column) -> Column:
 
 def availability(text: Column) -> Column:
     """Phrases that say the listing is not available, sold last."""
-    return F.array_compact(F.array(*[F.when(text.rlike(phrase_pattern(p)), F.lit(p)) for p in UNAVAILABLE], F.when(sold(text), F.lit("sold"))))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(phrase_pattern(p)), F.lit(p)) for p in UNAVAILABLE], F.when(sold(t), F.lit("sold")))))
 
 
 def status_kind(status: Column) -> Column:
@@ -76,9 +76,9 @@ def status_of_availability(c: Column) -> Column:
 
 def merged_status(readings: Column) -> Column:
     """Of several readings the first that says sold, else pending, else active, else the first at all."""
+    first = lambda some, kind: F.try_element_at(F.filter(some, lambda r: status_kind(r).eqNullSafe(F.lit(kind))), F.lit(1))
     some = F.filter(readings, lambda r: r.isNotNull() & (r != ""))
-    first = lambda kind: F.try_element_at(F.filter(some, lambda r: status_kind(r).eqNullSafe(F.lit(kind))), F.lit(1))
-    return F.coalesce(first("sold"), first("pending"), first("active"), F.try_element_at(some, F.lit(1)))
+    return let(some, lambda x: F.coalesce(first(x, "sold"), first(x, "pending"), first(x, "active"), F.try_element_at(x, F.lit(1))))
 
 
 def unavailable_status(c: Column) -> Column:
