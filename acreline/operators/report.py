@@ -145,3 +145,8 @@ def subject_line(aborted: Column, dry_run: Column, errors: Column, written: Colu
 def retry_text(status: Column, again: Column, minutes: Column, parsed: Column) -> Column:
     after = F.concat(F.lit("; retried after a "), minutes.cast("string"), F.lit("-minute cooldown"))
     return F.when(status != "retried_after_cooldown", "").when(again, F.concat(after, F.lit(" but was blocked again"))).otherwise(F.concat(after, F.lit(" and got through ("), parsed.cast("string"), F.lit(" found)")))
+
+
+def per_pass(log: DataFrame) -> DataFrame:
+    """(site, pass, n, failed) of a fetch log: each pass is counted alone, so a retry's report does not add up earlier ones."""
+    return log.groupBy("site", "pass").agg(F.count("*").alias("n"), F.count_if(F.col("category") != "ok").alias("failed"))

@@ -8,7 +8,7 @@ from ..functions import keys
 from ..operators import dedup, lookup, pricecheck, report
 from ..plans import search
 from ..sources import sinks, stores
-from .tables import counties, events, nations, query, records, table
+from .tables import counties, events, fetch_log, nations, new_folder, query, records, table
 
 RAW = "SELECT seq, county, state, max_cpa FROM county UNION ALL SELECT seq + 100, county, state, NULL FROM county WHERE seq % 2 = 0 UNION ALL SELECT seq + 200, county, state, max_cpa + 1 FROM county WHERE seq % 3 = 0"
 
@@ -276,6 +276,31 @@ def snk06_idempotent_insert(spark, sf):
     return once.join(r.select("url"), "url", "left_anti").unionByName(twice).agg(F.count("*").alias("written"))
 
 
+@query("SELECT '2024-01-01' AS date, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS tag, count(*) AS n, min(url) AS url FROM record GROUP BY 2")
+def snk07_failed_rows(spark, sf):
+    path, r = new_folder(spark, "failed"), records(spark, sf).select("id", "url")
+    sinks.append_failed(r.where("id % 2 = 0"), path, "2024-01-01", "even")
+    sinks.append_failed(r.where("id % 2 = 1"), path, "2024-01-01", "odd")
+    return spark.read.schema("id long, url string, date string, tag string").json(path).groupBy("date", "tag").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+
+
+@query("SELECT coalesce(stage, 'none') AS stage, count(*) AS n_json, count(*) AS n_csv, count(*) AS n_summary FROM record GROUP BY 1")
+def snk13_audit_outputs(spark, sf):
+    """The three outputs of an audit, each read back and counted by stage."""
+    path = new_folder(spark, "audit")
+    rows = records(spark, sf).select("id", F.coalesce("stage", F.lit("none")).alias("stage"), F.array(F.lit("a"), F.lit("b, c")).alias("reasons"))
+    sinks.write_report(rows, path, rows.groupBy("stage").agg(F.count("*").alias("n_summary")).orderBy(F.desc("n_summary"), "stage"))
+    a = spark.read.schema("id long, stage string, reasons array<string>").json(f"{path}/json").where("size(reasons) = 2").groupBy("stage").agg(F.count("*").alias("n_json"))
+    b = spark.read.option("header", True).schema("id long, stage string, reasons string").csv(f"{path}/csv").where("reasons = 'a; b, c'").groupBy("stage").agg(F.count("*").alias("n_csv"))
+    c = spark.read.schema("stage string, n_summary long").json(f"{path}/summary")
+    return a.join(b, "stage").join(c, "stage")
+
+
+@query("SELECT site, event_id % 2 AS pass, count(*) AS n, count(*) FILTER (category <> 'ok') AS failed FROM fetchlog GROUP BY 1, 2")
+def hlp31_passes(spark, sf):
+    return report.per_pass(fetch_log(spark, sf).withColumn("pass", F.col("event_id") % 2))
+
+
 @query("SELECT cast(ts AS date) AS date, 'u' || user_id AS county FROM events WHERE event_type = 'signup' AND cast(ts AS date) >= date '2024-01-10'")
 def snk09_retention(spark, sf):
     log = events(spark, sf).where("event_type = 'signup'").select(F.to_date("ts").alias("date"), F.array(F.concat(F.lit("u"), "user_id")).alias("counties"))

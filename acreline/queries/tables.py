@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,12 @@ def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select((F.col("user_id") % 11).alias("site"), "event_id", "ts", "value", category.alias("category"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 COUNTIES = ["Wayne", "Taylor", "Logan", "Lewis", "Dewey"]
 STATES = ["KY", "MO", "AL", "TN", "OK"]
 NAMES = ["Kentucky", "Missouri", "Alabama", "Tennessee", "Oklahoma"]
