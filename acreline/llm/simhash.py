@@ -194,28 +194,156 @@ def similarity(left: DataFrame, width: int = 5) -> DataFrame:
     return left.withColumn("jaccard", of("text_a", "text_b"))
 
 
-def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, max_bits: int = 8, index_width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def common_shingles(texts: DataFrame, width: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), by hash: the shingles met most often in a sixteenth of texts (n, _t), most of them at most.
+
+    They only set an order, which decides how fast candidates are found, never which.
+    """
+
+    def of(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch["_t"]]
+            yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.int64), *found])})
+
+    counts = texts.where("pmod(n, 16) = 0").select("_t").mapInPandas(of, "s long").groupBy("s").agg(F.count("*").alias("c"))
+    counts = written(counts.where("c >= 8").withColumn("power", F.floor(F.log2("c")).cast("int")), "common")
+    least, total = 64, 0
+    for r in sorted(counts.groupBy("power").agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > most:
+            break
+        least = r.power
+    d = counts.where(F.col("power") >= least).select("s", "c").toPandas()
+    s, c = d["s"].to_numpy(np.int64).view(np.uint64), d["c"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], c[order]
+
+
+def prints_of(texts: DataFrame, similar: float, width: int) -> DataFrame:
+    """(n, size, sketch, prefix) of texts (n, _t): the number of distinct shingles, their sketch and the rarest of them.
+
+    Two texts of Jaccard similarity similar or more share a shingle of both prefixes (the rarest 1 - similar of each, in
+    one order for all texts), whatever their edits. Bit h mod m of the sketch, of m bits, is the parity of the shingles
+    that fall on it, so the bits in which two sketches differ are no more than the shingles that only one text has.
+    Wordless texts have size 0 and share the prefix 0.
+    """
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
+    def of(batches):
+        names, counts = common.value
+        for batch in batches:
+            sizes, sketches, prefixes = [], [], []
+            for t in batch["_t"]:
+                h = np.unique(shingle_hashes(t, width))
+                k, m = len(h), 64
+                while m < 2 * k:
+                    m *= 2
+                odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+                rare = h
+                if len(names) and k:
+                    near = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    rare = h[np.lexsort((h, np.where(names[near] == h, counts[near], 0)))]
+                sizes.append(k), sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                prefixes.append(rare[: k - int(np.ceil(similar * k - 1e-9)) + 1].view(np.int64) if k else np.zeros(1, np.int64))
+            yield pd.DataFrame({"n": batch["n"], "size": np.array(sizes, np.int64), "sketch": sketches, "prefix": prefixes})
+
+    return texts.select("n", "_t").mapInPandas(of, "n long, size long, sketch binary, prefix array<long>")
+
+
+def whole_buckets(batches, names: list[str]):
+    """Rows sorted by the columns names, as frames that each end with the last row of a bucket."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = batch[names].to_numpy()
+        if last is not None and (own[0] == last).all() and (own[-1] == last).all():
+            held.append(batch)
+            continue
+        d = pd.concat([*held, batch], ignore_index=True)
+        last = own[-1]
+        more = np.flatnonzero((d[names].to_numpy() != last).any(axis=1))
+        cut = int(more[-1]) + 1 if len(more) else 0
+        if cut:
+            yield d.iloc[:cut].reset_index(drop=True)
+        held = [d.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def bounds(d: pd.DataFrame, names: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of the buckets of two rows or more."""
+    own = d[names].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(axis=1))))
+    ends = np.append(starts[1:], len(own))
+    return [(int(a), int(b)) for a, b in zip(starts, ends) if b - a > 1]
+
+
+def shared_prefixes(prints: DataFrame) -> DataFrame:
+    """(s, n, size, head, head_size): the texts of each shingle that is in the prefix of two or more; head is one of them."""
+    index = prints.select("n", "size", F.explode("prefix").alias("s"))
+    index = index.repartition(shuffle_partitions(prints.sparkSession), "s").sortWithinPartitions("s", "n")
+
+    def of(batches):
+        for d in whole_buckets((b[["s", "n", "size"]] for b in batches), ["s"]):
+            s = d["s"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            counts = np.diff(np.append(starts, len(s)))
+            first = np.repeat(starts, counts)
+            d["head"], d["head_size"] = d["n"].to_numpy()[first], d["size"].to_numpy()[first]
+            yield d[np.repeat(counts, counts) > 1]
+
+    return index.mapInPandas(of, "s long, n long, size long, head long, head_size long")
+
+
+def could_be(total, apart, similar: float):
+    """Whether texts of total shingles, apart or more of them in one text only, can have the similarity."""
+    return total - apart >= similar * (total + apart) - 1e-9
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (one a row, of 64-bit words) as those of size words."""
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similar: float, width: int) -> DataFrame:
+    """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before texts are read."""
+
+    @F.pandas_udf(T.BooleanType())
+    def possible(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for i, j, x, y in zip(a, b, p, q):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            m = min(len(x), len(y))
+            out.append(bool(could_be(i + j, max(abs(i - j), int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum())), similar)))
+        return pd.Series(out, dtype="bool")
+
+    side = lambda k: prints.select(F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    left = pairs.join(side("x"), "x").join(side("y"), "y").where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y")
+    left = written(left, "candidates")
+    sides = left.join(texts.select(F.col("n").alias("x"), F.col("_t").alias("text_a")), "x").join(texts.select(F.col("n").alias("y"), F.col("_t").alias("text_b")), "y")
+    return written(similarity(sides, width).where(F.col("jaccard") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+
+
+def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest key.
 
-    Candidates are the links of fingerprints of index_width words within max_bits; a link counts if the distinct
-    shingles of width words of its two texts have a Jaccard similarity of at least similar. Equal texts always count,
+    A link counts if the distinct shingles of width words of two texts have a Jaccard similarity of at least similar.
+    Candidates are texts that share a shingle of their prefixes, which every such pair does. Equal texts always count,
     null as empty, and of rows with equal text and key one stays. Rows with a null key come after all others. All
     columns of docs are kept.
     """
     named = lambda doc, g: F.sha2(F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), g), 256)
     base = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_g", F.sha2("_t", 256)).withColumn("_id", named(key, "_g"))
-    rows = written(with_fingerprint(base.select(F.col(key).alias("doc"), "_t", "_g"), "_t", index_width, "fp").select("doc", "_g", "fp"), "fingerprints")
-    one = written(rows.groupBy("_g").agg(F.min("doc").alias("doc"), F.first("fp").alias("fp")).withColumn("n", F.xxhash64("_g")), "texts")
-    head = one.groupBy("fp").agg(F.min("n").alias("n"))
-    near = links(one.select("fp").distinct(), max_bits).select("a", "b")
-    across = near.join(head.select(F.col("fp").alias("a"), F.col("n").alias("x")), "a").join(head.select(F.col("fp").alias("b"), F.col("n").alias("y")), "b").select("x", "y")
-    within = one.select("fp", F.col("n").alias("x")).join(head.withColumnRenamed("n", "y"), "fp").where("x <> y").select("x", "y")
-    pairs = written(across.unionByName(within), "candidates")
-    wanted = pairs.select(F.col("x").alias("n")).unionByName(pairs.select(F.col("y").alias("n"))).distinct()
-    sought = one.join(wanted, "n", "left_semi").select("n", named("doc", "_g").alias("_id"))
-    texts = written(base.select("_id", "_t").join(sought, "_id").dropDuplicates(["n"]).select("n", "_t"), "texts")
-    sides = pairs.join(texts.select(F.col("n").alias("x"), F.col("_t").alias("text_a")), "x").join(texts.select(F.col("n").alias("y"), F.col("_t").alias("text_b")), "y")
-    true = similarity(sides, width).where(F.col("jaccard") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    one = written(base.select(F.col(key).alias("doc"), "_g").groupBy("_g").agg(F.min("doc").alias("doc")).withColumn("n", F.xxhash64("_g")), "texts")
+    texts = written(base.select(F.xxhash64("_g").alias("n"), "_t").dropDuplicates(["n"]), "texts")
+    prints = written(prints_of(texts, similar, width), "prints")
+    shared = written(shared_prefixes(prints), "shared")
+    pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
+    true = verified(pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).distinct(), prints, texts, similar, width)
     grouped = one.join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))
     kept = kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id"))
