@@ -328,11 +328,81 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similar: flo
     return written(similarity(sides, width).where(F.col("jaccard") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
 
 
+def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, n, size, root, k): the rows of shared whose shingle's k rows still lie in more than one component."""
+    d = shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "size", F.coalesce("root", "n").alias("root"))
+    mixed = d.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high")
+    return d.join(mixed.select("s", "k"), "s")
+
+
+def close_pairs(found: DataFrame, prints: DataFrame, similar: float, forest: bool, block: int = 512) -> DataFrame:
+    """(x, y): pairs of different components in a bucket of found (as of open_buckets) whose sketches allow the similarity.
+
+    All of them, or with forest the closest that join the components of a block. A bucket is dealt out in pairs of blocks
+    and its rows meet inside a task, so that only pairs that may be similar become rows.
+    """
+    d = found.join(prints.select("n", "sketch"), "n").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    d = d.withColumn("b", F.expr("cast(pmod(hash(n), blocks) AS int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    d = d.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "size", "root", "sketch")
+    names = ["s", "i", "j"]
+    d = d.repartition(shuffle_partitions(found.sparkSession), *names).sortWithinPartitions(*names)
+
+    def near(n, size, root, b, across, sketch):
+        """(at, at, apart) of the pairs of one bucket, by the sizes of their sketches."""
+        words, out = np.array([len(x) // 8 for x in sketch]), []
+        for m in np.unique(words):
+            low = np.flatnonzero(words == m)
+            own = np.stack([np.frombuffer(sketch[k], np.uint64) for k in low])
+            for other in np.unique(words[words >= m]):
+                # a text of twice the size or more has a sketch of up to four times the words and is out of reach
+                if other > 2 * m:
+                    continue
+                high = np.flatnonzero(words == other)
+                their = own if other == m else np.stack([folded(np.frombuffer(sketch[k], np.uint64), m) for k in high])
+                for r, x in enumerate(low):
+                    ys, rows = (high[r + 1 :], their[r + 1 :]) if other == m else (high, their)
+                    ok = (root[ys] != root[x]) & (n[ys] != n[x]) & ((b[ys] != b[x]) | (not across))
+                    ys, rows = ys[ok], rows[ok]
+                    if len(ys):
+                        apart = np.maximum(np.abs(size[ys] - size[x]), np.bitwise_count(rows ^ own[r]).sum(axis=1, dtype=np.int64))
+                        ok = could_be(size[ys] + size[x], apart, similar)
+                        out += [(int(x), int(y), int(z)) for y, z in zip(ys[ok], apart[ok])]
+        return out
+
+    def of(batches):
+        for d in whole_buckets(batches, names):
+            n, size, root, b, i, j = (d[k].to_numpy() for k in ("n", "size", "root", "b", "i", "j"))
+            sketch, out = d["sketch"].to_numpy(), []
+            for first, end in bounds(d, names):
+                k = slice(first, end)
+                if (root[k] == root[first]).all():
+                    continue
+                pairs = near(n[k], size[k], root[k], b[k], i[first] != j[first], sketch[k])
+                if forest and len(pairs) > 1:
+                    up, tree = {}, []
+                    for x, y, z in sorted(pairs, key=lambda p: p[2]):
+                        ends = []
+                        for r in (int(root[first + x]), int(root[first + y])):
+                            while r in up:
+                                up[r] = r = up.get(up[r], up[r])
+                            ends.append(r)
+                        if ends[0] != ends[1]:
+                            up[ends[0]] = ends[1]
+                            tree.append((x, y, z))
+                    pairs = tree
+                out += [(min(n[first + x], n[first + y]), max(n[first + x], n[first + y])) for x, y, _ in pairs]
+            yield pd.DataFrame(out, columns=["x", "y"], dtype="int64").drop_duplicates()
+
+    return d.mapInPandas(of, "x long, y long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest key.
 
     A link counts if the distinct shingles of width words of two texts have a Jaccard similarity of at least similar.
-    Candidates are texts that share a shingle of their prefixes, which every such pair does. Equal texts always count,
+    Candidates are texts that share a shingle of their prefixes, which every such pair does: first the head of each
+    shingle's texts with the others, in the end all pairs that no verified links connect, so no failed candidate stands
+    for another. Equal texts always count,
     null as empty, and of rows with equal text and key one stays. Rows with a null key come after all others. All
     columns of docs are kept.
     """
@@ -344,6 +414,10 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     shared = written(shared_prefixes(prints), "shared")
     pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
     true = verified(pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).distinct(), prints, texts, similar, width)
+    # in a bucket of several components first the closest pairs that would join them, then all that are left
+    for forest in (True, False):
+        left = written(open_buckets(shared, components(true)), "open")
+        true = true.unionByName(verified(close_pairs(left, prints, similar, forest), prints, texts, similar, width))
     grouped = one.join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))
     kept = kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id"))

@@ -370,6 +370,37 @@ def test_near_duplicate_stage_finds_far_fingerprints(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("edits", [6, 10])
+def test_near_duplicate_stage_in_dense_families(spark, edits):
+    """Variants of a text of which many pairs lie below J 0.8: chains of verified links decide, not links to one head."""
+    rng, texts = np.random.default_rng(edits), {}
+    for family in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+        for v in range(40):
+            own = words.copy()
+            for at in rng.choice(300, rng.integers(1, edits + 1), replace=False):
+                own[at] = f"v{rng.integers(0, 3000)}"
+            texts[100 * family + v] = " ".join(own)
+    root, js = similar_groups(texts)
+    assert 4 < len(set(root.values())) < 160 and any(0.7 < j < 0.8 for j in js.values())
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
+
+
+def test_near_duplicate_blocks_meet(spark):
+    """All pairs of a bucket are seen, also across blocks and sketches of different sizes."""
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 270)]
+    texts = {k: " ".join(words[: int(n)]) for k, n in enumerate(rng.integers(200, 270, 40))}
+    texts = {k: t for k, t in texts.items() if t not in list(texts.values())[:k]}
+    prints = simhash.prints_of(spark.createDataFrame(list(texts.items()), "n long, _t string"), 0.8, 5).cache()
+    assert len({len(r.sketch) for r in prints.collect()}) == 2
+    one = prints.selectExpr("0L AS s", "n", "size", "n AS root", f"{len(texts)}L AS k")
+    js = similar_groups(texts)[1]
+    got = {(r.x, r.y) for r in simhash.close_pairs(one, prints, 0.8, False, 7).collect()}
+    assert got >= {p for p, j in js.items() if j >= 0.8}
+
+
 def test_op8(spark, tables):
     pages = rows_of(tables, "pages")
     low = {}
