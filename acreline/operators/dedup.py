@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ def against_index(listings: DataFrame, index: DataFrame, key: str = "seq", toler
     """listings (with keys) with duplicate_of: url, fingerprint or null, and suspect: the first index row near in price.
 
     index: seq, url, fingerprint, location_key, price. A suspect has the same location key and a price within tolerance
-    of the lower price; it only flags. Each side of the price join is dealt out by location key and price band, so that
-    one location's rows need not meet all at once.
+    of the lower price; it only flags. The index is reduced to its first row of each location and price; each location
+    and price band is sorted by price in a task and gives the first row of a price range at once, so pairs are never
+    made. Listings of a large band are dealt out in salts, each with the band's reduced index.
     """
     urls = index.select("url").where("url IS NOT NULL").distinct().withColumn("_u", F.lit(True))
     prints = index.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.lit(True))
@@ -31,10 +33,40 @@ def against_index(listings: DataFrame, index: DataFrame, key: str = "seq", toler
     d = d.withColumn("duplicate_of", F.when(F.col("_u"), "url").when(F.col("_f"), "fingerprint")).drop("_u", "_f")
     # prices within the tolerance lie in the same or the next band of width ln(1 + tolerance)
     band = lambda p: F.floor(F.log(p) / F.log1p(F.lit(tolerance)))
-    left = d.where("price > 0 AND location_key IS NOT NULL").select(F.col(key).alias("_k"), "location_key", F.col("price").alias("_p"), F.explode(F.array(band(F.col("price")) - 1, band(F.col("price")), band(F.col("price")) + 1)).alias("_b"))
-    right = index.where("price > 0").select("location_key", "price", "seq", band(F.col("price")).alias("_b"))
-    near = left.join(right, ["location_key", "_b"]).where(F.abs(F.col("_p") - F.col("price")) / F.least("_p", "price") <= tolerance)
-    first = near.groupBy("_k").agg(F.min("seq").alias("suspect"))
+    price = F.col("price").cast("double").alias("_p")
+    left = listings.where("price > 0 AND location_key IS NOT NULL").select(F.col(key).alias("_k"), "location_key", price, band(F.col("price")).alias("_b"))
+    salts = left.groupBy("location_key", "_b").agg(F.ceil(F.count("*") / 20_000).cast("int").alias("_n"))
+    left = left.join(salts, ["location_key", "_b"]).withColumn("_s", F.expr("cast(pmod(xxhash64(_k), _n) AS int)")).drop("_n")
+    right = index.where("price > 0 AND seq IS NOT NULL").groupBy("location_key", price).agg(F.min("seq").alias("seq"))
+    right = right.withColumn("_b", F.explode(F.array(*(band(F.col("_p")) + i for i in (-1, 0, 1))))).join(salts, ["location_key", "_b"])
+    right = right.withColumn("_s", F.explode(F.expr("sequence(0, _n - 1)")))
+    right = right.select(F.col("location_key").alias("_l"), F.col("_b").alias("_c"), F.col("_s").alias("_t"), F.col("_p").alias("_q"), F.col("seq").alias("_i"))
+
+    def suspects(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_k": a["_k"].iloc[:0], "suspect": b["_i"].iloc[:0]})
+        b = b.sort_values("_i", ignore_index=True)
+        order = np.argsort(b["_q"].to_numpy(), kind="stable")
+        prices, own, n = b["_q"].to_numpy()[order], a["_p"].to_numpy(), len(order)
+        near = lambda at: np.abs(own - prices[at]) / np.minimum(own, prices[at]) <= tolerance
+        low, high = np.searchsorted(prices, own / (1 + tolerance)), np.searchsorted(prices, own * (1 + tolerance), "right")
+        # the bounds by multiplication may be off by the last bits, the quotient decides
+        low, high = np.maximum(low - 2, 0), np.minimum(high + 2, n)
+        for _ in range(4):
+            low = np.where((low < high) & ~near(np.minimum(low, n - 1)), low + 1, low)
+            high = np.where((low < high) & ~near(np.maximum(high - 1, 0)), high - 1, high)
+        least = [order]
+        while 2 ** len(least) <= n:
+            half = 2 ** (len(least) - 1)
+            least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+        some = np.flatnonzero(low < high)
+        low, high = low[some], high[some]
+        power = np.floor(np.log2(high - low)).astype(int)
+        first = np.array([min(least[p][x], least[p][y - 2**p]) for x, y, p in zip(low, high, power)], dtype=int)
+        return pd.DataFrame({"_k": a["_k"].to_numpy()[some], "suspect": b["_i"].to_numpy()[first]})
+
+    kinds = f"_k {listings.schema[key].dataType.simpleString()}, suspect {index.schema['seq'].dataType.simpleString()}"
+    first = left.groupBy("location_key", "_b", "_s").cogroup(right.groupBy("_l", "_c", "_t")).applyInPandas(suspects, kinds).groupBy("_k").agg(F.min("suspect").alias("suspect"))
     return d.join(first, F.col(key) == F.col("_k"), "left").drop("_k")
 
 

@@ -186,6 +186,14 @@ def joi05_duplicate_layers(spark, sf):
     return out.agg(F.count("*").alias("n"), F.count("suspect").alias("suspects"), F.count_if(F.col("duplicate_of") == "url").alias("same_url"))
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM listing ix WHERE ix.acres >= 40 AND ix.nk = qs.nk AND floor(ix.acres / 5 + 0.5) = floor(qs.acres / 5 + 0.5) AND ix.l_orderkey * 10 + ix.l_linenumber < qs.l_orderkey * 10 + qs.l_linenumber AND abs(ix.price - qs.price) / least(ix.price, qs.price) <= 0.10)) AS suspects FROM listing qs WHERE acres >= 40")
+def joi05_duplicate_layers_whole(spark, sf):
+    """Every listing against all that came before it."""
+    d = dedup.with_keys(listings(spark, sf).where("acres >= 40")).withColumn("id", F.xxhash64(*ARRIVAL)).withColumn("arrival", F.expr("l_orderkey * 10 + l_linenumber"))
+    index = d.select(F.col("arrival").alias("seq"), "url", "fingerprint", "location_key", "price")
+    return dedup.against_index(d, index, "id").agg(F.count("*").alias("n"), F.count_if(F.col("suspect") < F.col("arrival")).alias("suspects"))
+
+
 @query("SELECT lower(chr(65 + nk)) || '|' || state || '|' || cast(greatest(5, floor(acres / 5 + 0.5) * 5) AS bigint) AS location_key, count(*) AS n FROM listing GROUP BY 1")
 def joi06_location_index(spark, sf):
     return dedup.with_keys(listings(spark, sf)).groupBy("location_key").agg(F.count("*").alias("n"))

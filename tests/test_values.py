@@ -101,3 +101,14 @@ def test_writing_twice_changes_nothing(spark):
 def test_broken_log_lines_are_left_out(spark):
     lines = spark.createDataFrame([('{"date": "2024-01-02", "counties": ["a"]}',), ("",), ("{broken",), ('{"date": "2024-01-03"}',)], "value string")
     assert [(str(r.date), r.counties) for r in stores.coverage_log(lines).collect()] == [("2024-01-02", ["a"])]
+
+
+def test_suspects_against_a_plain_loop(spark):
+    """Every listing against the whole table, with prices at the bounds, and no pairs made by a join."""
+    r = random.Random(4)
+    rows = [(i, f"u{i}", None, r.choice(["a", "a", "b", None]), r.choice([100.0, 110.0, 90.9, 121.0, 1.1 * r.randint(80, 130), r.uniform(50, 200), 0.0])) for i in range(400)]
+    d = spark.createDataFrame(rows, "seq long, url string, fingerprint string, location_key string, price double")
+    got = dedup.against_index(d, d)
+    near = lambda a, b: a[3] is not None and a[3] == b[3] and min(a[4], b[4]) > 0 and abs(a[4] - b[4]) / min(a[4], b[4]) <= 0.10
+    assert {x.seq: x.suspect for x in got.collect()} == {a[0]: min((b[0] for b in rows if near(a, b)), default=None) for a in rows}
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().toString()
