@@ -380,13 +380,23 @@ def set08_json_search(spark, sf):
     return pages_of(places(spark, sf), '<script type="application/ld+json">{"a": [{"b": {"latitude": 31.5, "longitude": -90.5, "k": {k}}}]}</script>').select("k", cards.detail_of(F.col("html"))["geo"].alias("geo"))
 
 
+def plugin_counts(d):
+    """The places that each site's reader finds on a page with the cards of all sites."""
+    d = pages_of(d, '<div class="property-card search-result listing-card"><h3>T</h3><p class="price">$ {price}</p><p class="acres">{acres} acres</p><a href="/property/{k}">Tract</a></div><div class="rs-listing-card"><b class="card-title"><a href="/p">T</a></b></div><div><a href="/a/pid/{k}">Tract A</a> $ {price} {acres} acres</div><div><a href="/hunting-land/a/b/{k}">Tract B</a> $ {price} {acres} acres</div><div class="listings-archive row"><a href="/listings/x">T</a></div><article class="list-block" data-url="/land/{k}"></article><div data-property="T" data-slug="s"></div><article class="tl-tile"><a class="tl-hit" href="/x">T</a></article>')
+    d = d.select("k", "html", F.explode(F.array(*map(F.lit, cards.SEARCH))).alias("site"))
+    return cards.search_listings(d).groupBy("site").agg(F.countDistinct("k").alias("n"))  # eleven sites
+
+
 @query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) WHERE k <= 20 GROUP BY 1")
 def udf01_plugins(spark, sf):
     """Every registered site reads its own kind of page."""
-    few = places(spark, sf).where("k <= 20")
-    kinds = spark.createDataFrame([(x,) for x in cards.SEARCH], "site string")
-    d = pages_of(few, '<div class="property-card search-result listing-card"><h3>T</h3><p class="price">$ {price}</p><p class="acres">{acres} acres</p><a href="/property/{k}">Tract</a></div><div class="rs-listing-card"><b class="card-title"><a href="/p">T</a></b></div><div><a href="/a/pid/{k}">Tract A</a> $ {price} {acres} acres</div><div><a href="/hunting-land/a/b/{k}">Tract B</a> $ {price} {acres} acres</div><div class="listings-archive row"><a href="/listings/x">T</a></div><article class="list-block" data-url="/land/{k}"></article><div data-property="T" data-slug="s"></div><article class="tl-tile"><a class="tl-hit" href="/x">T</a></article>')
-    return cards.search_listings(d.select("k", "html").crossJoin(F.broadcast(kinds))).groupBy("site").agg(F.countDistinct("k").alias("n"))  # eleven sites
+    return plugin_counts(places(spark, sf).where("k <= 20"))
+
+
+@query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) GROUP BY 1")
+def udf01_plugins_whole(spark, sf):
+    """Every registered site reads the pages of all places."""
+    return plugin_counts(places(spark, sf))
 
 
 @query("SELECT k, site FROM place, (SELECT unnest(['landwatch', 'tuttland']) AS site)")
