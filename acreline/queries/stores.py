@@ -319,6 +319,12 @@ def snk11_evidence(spark, sf):
     return sinks.evidence(table(spark, sf, "pages"), 2000).select("page_id", F.length("html").cast("bigint").alias("n"))
 
 
+@query("SELECT page_id, length(substr(html, 1, 500000)) AS n FROM pages")
+def snk11_evidence_whole(spark, sf):
+    """Snapshots with the bound of production."""
+    return sinks.evidence(table(spark, sf, "pages")).select("page_id", F.length("html").cast("bigint").alias("n"))
+
+
 @query("SELECT doc_id, '\"' || replace(text, '\"', '\"\"') || '\",' || lang || chr(10) AS line FROM documents WHERE regexp_matches(text, '[\",\n]') UNION ALL SELECT doc_id, coalesce(text, '') || ',' || lang || chr(10) FROM documents WHERE NOT coalesce(regexp_matches(text, '[\",\n]'), false)")
 def snk12_csv(spark, sf):
     return sinks.csv_lines(table(spark, sf, "documents"), ["text", "lang"]).select("doc_id", "line")

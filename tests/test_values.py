@@ -112,3 +112,8 @@ def test_suspects_against_a_plain_loop(spark):
     near = lambda a, b: a[3] is not None and a[3] == b[3] and min(a[4], b[4]) > 0 and abs(a[4] - b[4]) / min(a[4], b[4]) <= 0.10
     assert {x.seq: x.suspect for x in got.collect()} == {a[0]: min((b[0] for b in rows if near(a, b)), default=None) for a in rows}
     assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().toString()
+
+
+def test_evidence_is_cut_at_its_default_bound(spark):
+    d = spark.createDataFrame([(1, "x" * 2_001), (2, "y" * 500_001)], "page_id int, html string")
+    assert sorted((r.page_id, len(r.html)) for r in sinks.evidence(d).collect()) == [(1, 2_001), (2, 500_000)]
