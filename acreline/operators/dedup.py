@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..scratch import written
+from .graph import components
 
 
 def with_keys(listings: DataFrame) -> DataFrame:
@@ -75,8 +76,10 @@ def first_of(rows: DataFrame, keys_: list[str], order: list[Column]) -> DataFram
     known = F.lit(True)
     for k in keys_:
         known = known & F.col(k).isNotNull()
-    r = F.row_number().over(Window.partitionBy(*keys_).orderBy(*order))
-    return rows.where(known).withColumn("_r", r).where("_r = 1").drop("_r").unionByName(rows.where(~known))
+    # a row with a null key is a partition of its own, so such rows meet in no task and are all first
+    alone = F.when(~known, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    r = F.row_number().over(Window.partitionBy(*keys_, "_alone").orderBy(*order))
+    return rows.withColumn("_alone", alone).withColumn("_r", r).where("_r = 1").drop("_r", "_alone")
 
 
 def greedy_fast(listings: DataFrame, index: DataFrame, order: list[Column]) -> DataFrame:
@@ -85,52 +88,20 @@ def greedy_fast(listings: DataFrame, index: DataFrame, order: list[Column]) -> D
     return first_of(new, ["fingerprint"], order)
 
 
-def cutter(spark: SparkSession, spread: str = "checkpoint"):
-    """A function that cuts a DataFrame's lineage by writing it below spark.checkpoint.dir, or in the warehouse if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/{spread}"
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{base}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return cut
-
-
-def components(edges: DataFrame, spread: str = "checkpoint") -> DataFrame:
-    """(node, root) of edges (a, b), by rounds of large-star and small-star joins until nothing changes.
-
-    Each round is written below spark.checkpoint.dir (or a folder named spread in the warehouse if that is unset).
-    """
-    cut = cutter(edges.sparkSession, spread)
-    now, seen = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        now = cut(large.join(low, "u").select(ends.alias("e")).select("e.*").where("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == seen:
-            return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
-
-
-def in_rounds(rows: DataFrame, cut) -> DataFrame:
+def in_rounds(rows: DataFrame) -> DataFrame:
     """rows (k, u, fingerprint) that the sequential rule keeps, by joins alone.
 
     A round keeps the rows that are the first left of both their url and their fingerprint, and drops all others of
     these; no row is gathered with its chain. Rows in arbitrary order need few rounds.
     """
-    left, kept = cut(rows), None
+    left, kept = written(rows, "left"), None
     while not left.isEmpty():
         first_u = left.groupBy("u").agg(F.min("k").alias("_mu"))
         first_f = left.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("_mf"))
         d = left.join(first_u, "u").join(first_f, "fingerprint", "left")
-        now = cut(d.where("k = _mu AND (fingerprint IS NULL OR k = _mf)").select("k", "u", "fingerprint"))
+        now = written(d.where("k = _mu AND (fingerprint IS NULL OR k = _mf)").select("k", "u", "fingerprint"), "kept")
         kept = now if kept is None else kept.unionByName(now)
-        left = cut(left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti").select("k", "u", "fingerprint"))
+        left = written(left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti").select("k", "u", "fingerprint"), "left")
     return left.limit(0) if kept is None else kept
 
 
@@ -152,8 +123,7 @@ def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows:
     first_url, first_print = pair.groupBy("u").agg(F.min("k").alias("a")), pair.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("a"))
     edges = pair.join(first_url, "u").select("a", F.col("k").alias("b")).unionByName(pair.join(first_print, "fingerprint").select("a", F.col("k").alias("b"))).where("a <> b")
     chains = components(edges)
-    cut = cutter(listings.sparkSession)
-    linked = cut(pair.join(chains, F.col("k") == F.col("node")).select("root", "k", "u", "fingerprint"))
+    linked = written(pair.join(chains, F.col("k") == F.col("node")).select("root", "k", "u", "fingerprint"), "chains")
     long = linked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > chain_rows).select("root")
     kind = listings.schema[key].dataType.simpleString()
 
@@ -169,7 +139,7 @@ def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows:
         return pd.DataFrame(out, columns=["k", "why"])
 
     fate = linked.join(long, "root", "left_anti").groupBy("root").applyInPandas(visit, f"k {kind}, why string")
-    chosen = fate.where("why IS NULL").select("k").unionByName(in_rounds(linked.join(long, "root", "left_semi").select("k", "u", "fingerprint"), cut).select("k"))
+    chosen = fate.where("why IS NULL").select("k").unionByName(in_rounds(linked.join(long, "root", "left_semi").select("k", "u", "fingerprint")).select("k"))
     alone = pair.join(linked.select("k"), "k", "left_anti").select("u", "fingerprint", "k")
     kept = alone.unionByName(pair.join(chosen, "k").select("u", "fingerprint", "k"))
     by_url, by_print = kept.select(F.col("u").alias("_p"), F.col("k").alias("_ku")), kept.where("fingerprint IS NOT NULL").select("fingerprint", F.col("k").alias("_kf"))
