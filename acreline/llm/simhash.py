@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, written
+from ..operators.graph import components
+from .common import Scratch, shuffle_partitions, written
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -38,7 +39,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """64-bit SimHash as a signed integer: a bit is 1 if it is set in over half the shingle hashes."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -87,10 +92,12 @@ def spanning_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int, int]]
     return out
 
 
-def links(fps: DataFrame, max_bits: int) -> DataFrame:
+def links(fps: DataFrame, max_bits: int, most: int = 4096) -> DataFrame:
     """(a, b, bits): links among the distinct values of column fp that connect all that a chain of links connects.
 
-    Each bucket of the index gives its own minimum spanning forest, so rows stay below the entries of the index.
+    Each bucket of the index gives its own minimum spanning forest, so rows stay below the entries of the index. A task
+    holds no more than most fingerprints of a bucket: those of a fuller one are passed on and dealt out in pairs of
+    blocks, so that no bucket is one task's work.
     """
     entries = []
     for tag, (shift, width) in enumerate(segments(max_bits)):
@@ -100,67 +107,64 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     index = fps.select("fp", F.explode(F.expr(f"concat({', '.join(entries)})")).alias("key"))
     n = shuffle_partitions(fps.sparkSession)
     index = index.repartition(n, "key").sortWithinPartitions("key")
+    scratch = Scratch(fps.sparkSession, "buckets")
+    first = scratch.written(index.mapInPandas(lambda batches: bucket_links(batches, max_bits, most), "a long, b long, bits int"), "links")
+    # rows without bits: (key, fp) of the buckets that are too full for a task
+    full = first.where("bits IS NULL").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    blocks = full.groupBy("key").agg(F.ceil(F.count("*") / (most // 2)).cast("int").alias("blocks"))
+    d = full.join(blocks, "key").withColumn("b", F.expr("cast(pmod(xxhash64(fp), blocks) AS int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    d = d.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+    again = d.mapInPandas(lambda batches: bucket_links(batches, max_bits, None), "a long, b long, bits int")
+    out = written(first.where("bits IS NOT NULL").unionByName(again).dropDuplicates(["a", "b"]), "links")
+    scratch.clear()
+    return out
 
-    def of_buckets(batches):
-        """A batch begins with the rest of the last bucket; its own last bucket waits for the next one."""
-        keys, vals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-
-        def done(key, val):
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-            ends = np.append(starts[1:], len(key))
-            a, b, c = [], [], []
-            pair = np.flatnonzero(ends - starts == 2)
-            if len(pair):
-                x, y = val[starts[pair]], val[starts[pair] + 1]
-                bits = np.bitwise_count((x ^ y).view(np.uint64))
-                ok = bits <= max_bits
-                a, b, c = [np.minimum(x, y)[ok]], [np.maximum(x, y)[ok]], [bits[ok].astype(np.int32)]
-            for s in np.flatnonzero(ends - starts > 2):
-                own = np.sort(val[starts[s] : ends[s]])
-                if found := spanning_links(own.view(np.uint64), max_bits):
-                    i, j, bits = map(np.array, zip(*found))
-                    a.append(np.minimum(own[i], own[j])), b.append(np.maximum(own[i], own[j])), c.append(bits.astype(np.int32))
-            if a:
-                out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "bits": np.concatenate(c)})
-                if len(out):
-                    yield out.drop_duplicates()
 
-        for batch in batches:
-            key, val = batch["key"].to_numpy(), batch["fp"].to_numpy()
-            if not len(key):
+def bucket_links(batches, max_bits: int, most: int | None):
+    """Links of the buckets of rows (key, fp) sorted by key; with most, (key, fp, null) of the rows of fuller buckets."""
+
+    def done(key, val):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(key))
+        a, b, c = [], [], []
+        pair = np.flatnonzero(ends - starts == 2)
+        if len(pair):
+            x, y = val[starts[pair]], val[starts[pair] + 1]
+            bits = np.bitwise_count((x ^ y).view(np.uint64))
+            ok = bits <= max_bits
+            a, b, c = [np.minimum(x, y)[ok]], [np.maximum(x, y)[ok]], [bits[ok].astype(np.int32)]
+        for s in np.flatnonzero(ends - starts > 2):
+            if most and ends[s] - starts[s] > most:
+                yield passed(key[starts[s]], val[starts[s] : ends[s]])
                 continue
-            if len(keys[-1]) and keys[-1][-1] == key[0] == key[-1]:
-                keys.append(key), vals.append(val)
-                continue
-            key, val = np.concatenate([*keys, key]), np.concatenate([*vals, val])
-            cut = int(np.searchsorted(key, key[-1]))
-            yield from done(key[:cut], val[:cut])
-            keys, vals = [key[cut:]], [val[cut:]]
-        yield from done(np.concatenate(keys), np.concatenate(vals))
-
-    return index.mapInPandas(of_buckets, "a long, b long, bits int").dropDuplicates(["a", "b"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node of its component.
-
-    Alternates large-star and small-star steps; each is an aggregate and a join on the node, and each round is written
-    to the shared folder, so lost executors cost no more than a round.
-    """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-        if state == seen:
-            break
-        seen = state
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            own = np.sort(val[starts[s] : ends[s]])
+            if found := spanning_links(own.view(np.uint64), max_bits):
+                i, j, bits = map(np.array, zip(*found))
+                a.append(np.minimum(own[i], own[j])), b.append(np.maximum(own[i], own[j])), c.append(bits.astype(np.int32))
+        if a:
+            out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "bits": np.concatenate(c)})
+            if len(out):
+                yield out.drop_duplicates()
+
+    passed = lambda key, val: pd.DataFrame({"a": np.full(len(val), key), "b": val, "bits": pd.Series([None] * len(val), dtype="Int32")})
+    # a batch begins with the rest of the last bucket; its own last bucket waits for the next one
+    key, val, full = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for batch in batches:
+        key, val = np.concatenate([key, batch["key"].to_numpy()]), np.concatenate([val, batch["fp"].to_numpy()])
+        if full is not None and len(key):
+            cut = int(np.searchsorted(key, full, "right"))
+            yield passed(full, val[:cut])
+            key, val = key[cut:], val[cut:]
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        yield from done(key[:cut], val[:cut])
+        key, val, full = key[cut:], val[cut:], None
+        if most and len(key) > most:
+            full = key[0]
+            yield passed(full, val)
+            key, val = key[:0], val[:0]
+    yield from done(key, val)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,75 +183,89 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, key: str
     return rows.join(of_fp, "fp").select(F.col("doc").alias(key), "fp", "component_id")
 
 
-def similarity(left: DataFrame, width: int = 5) -> DataFrame:
-    """left (text_a, text_b) with column jaccard of the two texts' distinct shingles; two wordless texts have 1."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(n, size, fp, sketch, shingles) of texts (n, _t): the distinct shingles' number, fingerprint, sketch and hashes.
 
-    @F.pandas_udf(T.DoubleType())
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            p, q = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
-            same = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(same / (len(p) + len(q) - same) if len(p) + len(q) else 1.0)
-        return pd.Series(out, dtype="float64")
+    Bit h mod m of the sketch, of m bits, is the parity of the shingles that fall on it, so the bits in which two sketches
+    differ are no more than the shingles that only one text has. shingles are sorted 64-bit hashes. Wordless texts have
+    size 0.
+    """
+
+    def of(batches):
+        for batch in batches:
+            sizes, prints, sketches, sets = [], [], [], []
+            for t in batch["_t"]:
+                every = shingle_hashes(t, width)
+                h = np.unique(every)
+                k, m = len(h), 64
+                while m < 2 * k:
+                    m *= 2
+                odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+                sizes.append(k), prints.append(majority(every)), sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()), sets.append(h.tobytes())
+            yield pd.DataFrame({"n": batch["n"], "size": np.array(sizes, np.int64), "fp": np.array(prints, np.int64), "sketch": sketches, "shingles": sets})
+
+    return texts.select("n", "_t").mapInPandas(of, "n long, size long, fp long, sketch binary, shingles binary")
 
-    return left.withColumn("jaccard", of("text_a", "text_b"))
 
+#: Shingles are counted in 2 ** COUNTER_BITS counters, by the first bits of their hashes.
+COUNTER_BITS = 18
 
-def common_shingles(texts: DataFrame, width: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), by hash: the shingles met most often in a sixteenth of texts (n, _t), most of them at most.
 
-    They only set an order, which decides how fast candidates are found, never which.
+def counted(sets: DataFrame) -> np.ndarray:
+    """How many texts have the shingles of each counter, over all texts; an array of one size whatever the table's.
+
+    It only sets the order of shingles, which decides how fast candidates are found, never which.
     """
 
     def of(batches):
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch["_t"]]
-            yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.int64), *found])})
-
-    counts = texts.where("pmod(n, 16) = 0").select("_t").mapInPandas(of, "s long").groupBy("s").agg(F.count("*").alias("c"))
-    counts = written(counts.where("c >= 8").withColumn("power", F.floor(F.log2("c")).cast("int")), "common")
-    least, total = 64, 0
-    for r in sorted(counts.groupBy("power").agg(F.count("*").alias("k")).collect(), reverse=True):
-        total += r.k
-        if total > most:
-            break
-        least = r.power
-    d = counts.where(F.col("power") >= least).select("s", "c").toPandas()
-    s, c = d["s"].to_numpy(np.int64).view(np.uint64), d["c"].to_numpy(np.int64)
-    order = np.argsort(s)
-    return s[order], c[order]
-
-
-def prints_of(texts: DataFrame, similar: float, width: int) -> DataFrame:
-    """(n, size, sketch, prefix) of texts (n, _t): the number of distinct shingles, their sketch and the rarest of them.
-
-    Two texts of Jaccard similarity similar or more share a shingle of both prefixes (the rarest 1 - similar of each, in
-    one order for all texts), whatever their edits. Bit h mod m of the sketch, of m bits, is the parity of the shingles
-    that fall on it, so the bits in which two sketches differ are no more than the shingles that only one text has.
-    Wordless texts have size 0 and share the prefix 0.
+            for x in batch["shingles"]:
+                np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"i": at.astype(np.int32), "c": total[at]})
+
+    found = sets.select("shingles").mapInPandas(of, "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toPandas()  # a row a counter
+    out = np.zeros(1 << COUNTER_BITS, np.int64)
+    out[found["i"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    return out
+
+
+def prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """(s, n, size): the prefix of each text, its rarest 1 - similar shingles in one order for all texts.
+
+    Two texts of Jaccard similarity similar or more share a shingle of both prefixes, whatever their edits. Wordless texts
+    share the prefix 0.
     """
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    shared = sets.sparkSession.sparkContext.broadcast(counted(sets))
 
     def of(batches):
-        names, counts = common.value
+        counts = shared.value
         for batch in batches:
-            sizes, sketches, prefixes = [], [], []
-            for t in batch["_t"]:
-                h = np.unique(shingle_hashes(t, width))
-                k, m = len(h), 64
-                while m < 2 * k:
-                    m *= 2
-                odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-                rare = h
-                if len(names) and k:
-                    near = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    rare = h[np.lexsort((h, np.where(names[near] == h, counts[near], 0)))]
-                sizes.append(k), sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                prefixes.append(rare[: k - int(np.ceil(similar * k - 1e-9)) + 1].view(np.int64) if k else np.zeros(1, np.int64))
-            yield pd.DataFrame({"n": batch["n"], "size": np.array(sizes, np.int64), "sketch": sketches, "prefix": prefixes})
+            own = [np.zeros(1, np.int64)] * len(batch)
+            for i, x in enumerate(batch["shingles"]):
+                if k := len(h := np.frombuffer(x, np.uint64)):
+                    order = np.argsort(counts[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
+                    own[i] = h[order[: k - int(np.ceil(similar * k - 1e-9)) + 1]].view(np.int64)
+            sizes = [len(x) for x in own]
+            yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.int64), *own]), "n": np.repeat(batch["n"].to_numpy(), sizes), "size": np.repeat(batch["size"].to_numpy(), sizes)})
 
-    return texts.select("n", "_t").mapInPandas(of, "n long, size long, sketch binary, prefix array<long>")
+    return sets.select("n", "size", "shingles").mapInPandas(of, "s long, n long, size long")
+
+
+def shared_prefixes(index: DataFrame) -> DataFrame:
+    """(s, n, size, head, head_size): the rows of prefixes whose shingle two or more texts have; head is one of them."""
+    heads = index.groupBy("s").agg(F.min(F.struct("n", "size")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    return index.join(heads, "s").select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"))
+
+
+def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
+    """(x, y): texts with equal fingerprints, each with one of them, and one text of each of two linked fingerprints."""
+    low = sets.groupBy("fp").agg(F.min("n").alias("x"))
+    equal = sets.join(low, "fp").where("n <> x").select("x", F.col("n").alias("y"))
+    found = links(low.select("fp"), max_bits)
+    linked = found.join(low.select(F.col("fp").alias("a"), F.col("x").alias("m")), "a").join(low.select(F.col("fp").alias("b"), F.col("x").alias("o")), "b")
+    return equal.unionByName(linked.select(F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y")))
 
 
 def whole_buckets(batches, names: list[str]):
@@ -279,23 +297,6 @@ def bounds(d: pd.DataFrame, names: list[str]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(starts, ends) if b - a > 1]
 
 
-def shared_prefixes(prints: DataFrame) -> DataFrame:
-    """(s, n, size, head, head_size): the texts of each shingle that is in the prefix of two or more; head is one of them."""
-    index = prints.select("n", "size", F.explode("prefix").alias("s"))
-    index = index.repartition(shuffle_partitions(prints.sparkSession), "s").sortWithinPartitions("s", "n")
-
-    def of(batches):
-        for d in whole_buckets((b[["s", "n", "size"]] for b in batches), ["s"]):
-            s = d["s"].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            counts = np.diff(np.append(starts, len(s)))
-            first = np.repeat(starts, counts)
-            d["head"], d["head_size"] = d["n"].to_numpy()[first], d["size"].to_numpy()[first]
-            yield d[np.repeat(counts, counts) > 1]
-
-    return index.mapInPandas(of, "s long, n long, size long, head long, head_size long")
-
-
 def could_be(total, apart, similar: float):
     """Whether texts of total shingles, apart or more of them in one text only, can have the similarity."""
     return total - apart >= similar * (total + apart) - 1e-9
@@ -309,8 +310,12 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similar: float, width: int) -> DataFrame:
-    """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before texts are read."""
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch, most: int = 256) -> DataFrame:
+    """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before shingles are read.
+
+    The shingles of a text that is in more than most pairs as x are dealt out in several parts, so that no task has all
+    pairs of a text.
+    """
 
     @F.pandas_udf(T.BooleanType())
     def possible(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
@@ -321,11 +326,27 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, similar: flo
             out.append(bool(could_be(i + j, max(abs(i - j), int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum())), similar)))
         return pd.Series(out, dtype="bool")
 
-    side = lambda k: prints.select(F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    left = pairs.join(side("x"), "x").join(side("y"), "y").where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y")
-    left = written(left, "candidates")
-    sides = left.join(texts.select(F.col("n").alias("x"), F.col("_t").alias("text_a")), "x").join(texts.select(F.col("n").alias("y"), F.col("_t").alias("text_b")), "y")
-    return written(similarity(sides, width).where(F.col("jaccard") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+    @F.pandas_udf(T.BooleanType())
+    def alike(p: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(p, q):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(similarity(x, y) >= similar)
+        return pd.Series(out, dtype="bool")
+
+    side = lambda k: sets.select(F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    left = scratch.written(pairs.join(side("x"), "x").join(side("y"), "y").where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y"), "candidates")
+    parts = left.groupBy("x").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    left = left.join(parts, "x").select("x", "y", F.expr("cast(pmod(xxhash64(y), parts) AS int)").alias("part"))
+    first = parts.join(sets.select(F.col("n").alias("x"), F.col("shingles").alias("p")), "x").select("x", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    both = left.join(first, ["x", "part"]).join(sets.select(F.col("n").alias("y"), F.col("shingles").alias("q")), "y")
+    return scratch.written(both.where(alike("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same / (len(x) + len(y) - same) if len(x) + len(y) else 1.0
 
 
 def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -335,13 +356,14 @@ def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return d.join(mixed.select("s", "k"), "s")
 
 
-def close_pairs(found: DataFrame, prints: DataFrame, similar: float, forest: bool, block: int = 512) -> DataFrame:
-    """(x, y): pairs of different components in a bucket of found (as of open_buckets) whose sketches allow the similarity.
+def close_pairs(found: DataFrame, sets: DataFrame, similar: float, forest: bool, block: int = 512) -> DataFrame:
+    """(x, y, s): pairs of different components in a bucket of found (as of open_buckets) whose sketches allow the similarity.
 
-    All of them, or with forest the closest that join the components of a block. A bucket is dealt out in pairs of blocks
-    and its rows meet inside a task, so that only pairs that may be similar become rows.
+    All of them, or with forest the closest that join the components of a block; then a row (null, null, s) tells that
+    bucket s has more. A bucket is dealt out in pairs of blocks and its rows meet inside a task, so that only pairs that
+    may be similar become rows.
     """
-    d = found.join(prints.select("n", "sketch"), "n").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    d = found.join(sets.select("n", "sketch"), "n").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
     d = d.withColumn("b", F.expr("cast(pmod(hash(n), blocks) AS int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     d = d.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "size", "root", "sketch")
     names = ["s", "i", "j"]
@@ -374,6 +396,8 @@ def close_pairs(found: DataFrame, prints: DataFrame, similar: float, forest: boo
             n, size, root, b, i, j = (d[k].to_numpy() for k in ("n", "size", "root", "b", "i", "j"))
             sketch, out = d["sketch"].to_numpy(), []
             for first, end in bounds(d, names):
+                if end - first == 2 and (root[first] == root[first + 1] or not could_be(size[first] + size[first + 1], abs(size[first] - size[first + 1]), similar)):
+                    continue
                 k = slice(first, end)
                 if (root[k] == root[first]).all():
                     continue
@@ -389,36 +413,45 @@ def close_pairs(found: DataFrame, prints: DataFrame, similar: float, forest: boo
                         if ends[0] != ends[1]:
                             up[ends[0]] = ends[1]
                             tree.append((x, y, z))
+                    if len(tree) < len(pairs):
+                        out.append((None, None, int(d["s"].iloc[first])))
                     pairs = tree
-                out += [(min(n[first + x], n[first + y]), max(n[first + x], n[first + y])) for x, y, _ in pairs]
-            yield pd.DataFrame(out, columns=["x", "y"], dtype="int64").drop_duplicates()
+                out += [(int(min(n[first + x], n[first + y])), int(max(n[first + x], n[first + y])), None) for x, y, _ in pairs]
+            yield pd.DataFrame(out, columns=["x", "y", "s"], dtype="Int64").drop_duplicates()
 
-    return d.mapInPandas(of, "x long, y long").distinct()
+    return d.mapInPandas(of, "x long, y long, s long").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest key.
 
     A link counts if the distinct shingles of width words of two texts have a Jaccard similarity of at least similar.
-    Candidates are texts that share a shingle of their prefixes, which every such pair does: first the head of each
-    shingle's texts with the others, in the end all pairs that no verified links connect, so no failed candidate stands
-    for another. Equal texts always count,
-    null as empty, and of rows with equal text and key one stays. Rows with a null key come after all others. All
-    columns of docs are kept.
+    First come candidates by multi-index hashing: texts whose fingerprints lie within max_bits. As such similarity often
+    leaves more bits apart, all texts that share a shingle of their prefixes, which every similar pair does, are compared
+    as well: the head of each shingle's texts with the others, then in each shingle's texts the closest that verified
+    links do not yet connect, in the end all such pairs, so that no failed candidate stands for another. Equal texts
+    always count, null as empty, and of rows with equal text and key one stays. Rows with a null key come after all
+    others. All columns of docs are kept, whatever their names but _t, _g and _id.
     """
-    named = lambda doc, g: F.sha2(F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), g), 256)
-    base = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_g", F.sha2("_t", 256)).withColumn("_id", named(key, "_g"))
-    one = written(base.select(F.col(key).alias("doc"), "_g").groupBy("_g").agg(F.min("doc").alias("doc")).withColumn("n", F.xxhash64("_g")), "texts")
-    texts = written(base.select(F.xxhash64("_g").alias("n"), "_t").dropDuplicates(["n"]), "texts")
-    prints = written(prints_of(texts, similar, width), "prints")
-    shared = written(shared_prefixes(prints), "shared")
+    scratch = Scratch(docs.sparkSession, "similar")
+    named = lambda doc, g: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.hex(g)), 256))
+    base = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_g", F.unhex(F.sha2("_t", 256))).withColumn("_id", named(key, "_g"))
+    # a number for each different text, fixed as the table is written
+    texts = base.select("_g", "_t", F.col(key).alias("doc")).groupBy("_g").agg(F.min("doc").alias("doc"), F.first("_t").alias("_t"))
+    texts = scratch.written(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
+    sets = scratch.written(shingle_sets(texts, width), "sets")
+    shared = scratch.written(shared_prefixes(scratch.written(prefixes(sets, similar), "prefixes")), "shared")
     pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
-    true = verified(pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).distinct(), prints, texts, similar, width)
+    pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
+    true = verified(pairs, sets, similar, scratch)
     # in a bucket of several components first the closest pairs that would join them, then all that are left
     for forest in (True, False):
-        left = written(open_buckets(shared, components(true)), "open")
-        true = true.unionByName(verified(close_pairs(left, prints, similar, forest), prints, texts, similar, width))
-    grouped = one.join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+        left = scratch.written(open_buckets(shared, components(true)), "open")
+        found = scratch.written(close_pairs(left, sets, similar, forest), "close")
+        true = true.unionByName(verified(found.where("s IS NULL").select("x", "y"), sets, similar, scratch))
+        shared = shared.join(found.where("s IS NOT NULL").select("s").distinct(), "s", "left_semi")
+    grouped = texts.drop("_t").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))
-    kept = kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id"))
+    kept = written(kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id")), "kept")
+    scratch.clear()
     return base.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)

@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from acreline.operators.graph import components
 from acreline.llm import chat, decontaminate, html_main, mixing, pii, quality, queries, sharding, simhash, token_store, warc
 
 LONG = "alpha beta gamma delta " * 4000
@@ -322,10 +323,29 @@ def test_op7_links_of_a_dense_cluster(spark, bits):
 
 def test_op7_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (-5, 1001)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 1000: -5, 1001: -5, -5: -5}
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_of_stars_and_loops(spark, hot, monkeypatch):
+    """Centres with the smallest, the largest and a middle name, also as nodes that are looked up by broadcast."""
+    monkeypatch.setattr("acreline.operators.graph.HOT_LINKS", hot)
+    edges = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(100, 150)] + [(225, i) for i in range(200, 250)] + [(i, i + 1) for i in range(300, 320)] + [(7, 7), (500, None), (600, 601), (601, 600), (600, 601)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys([*range(100, 150), 999], 100), **dict.fromkeys(range(200, 250), 200), **dict.fromkeys(range(300, 321), 300), 600: 600, 601: 600}
+
+
+def test_op7_full_buckets_are_split(spark):
+    """The same links' components when a task may hold few fingerprints of a bucket only."""
+    rng = np.random.default_rng(3)
+    fps = sorted({int(np.bitwise_xor.reduce([0x123456789ABCDEF0] + [1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False)])) for _ in range(300)})
+    root = grouped(fps, 4)
+    low = {f: min(x for x in fps if root[x] == root[f]) for f in fps}
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, most=6)).collect()}
+    assert {f: got.get(f, f) for f in fps} == low and len(set(low.values())) < len(fps)
+
+
 def test_near_duplicate_stage(spark):
     words = [f"w{i * 7919 % 5003}" for i in range(400)]
     near = words.copy()
@@ -393,7 +413,7 @@ def test_near_duplicate_blocks_meet(spark):
     words = [f"w{x}" for x in rng.integers(0, 3000, 270)]
     texts = {k: " ".join(words[: int(n)]) for k, n in enumerate(rng.integers(200, 270, 40))}
     texts = {k: t for k, t in texts.items() if t not in list(texts.values())[:k]}
-    prints = simhash.prints_of(spark.createDataFrame(list(texts.items()), "n long, _t string"), 0.8, 5).cache()
+    prints = simhash.shingle_sets(spark.createDataFrame(list(texts.items()), "n long, _t string"), 5).cache()
     assert len({len(r.sketch) for r in prints.collect()}) == 2
     one = prints.selectExpr("0L AS s", "n", "size", "n AS root", f"{len(texts)}L AS k")
     js = similar_groups(texts)[1]
