@@ -254,9 +254,9 @@ def prefixes(sets: DataFrame, similar: float) -> DataFrame:
 
 
 def shared_prefixes(index: DataFrame) -> DataFrame:
-    """(s, n, size, head, head_size): the rows of prefixes whose shingle two or more texts have; head is one of them."""
+    """(s, n, size, head, head_size, k): the rows of prefixes whose shingle k texts have, two or more; head is one of them."""
     heads = index.groupBy("s").agg(F.min(F.struct("n", "size")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    return index.join(heads, "s").select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"))
+    return index.join(heads, "s").select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"), "k")
 
 
 def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
@@ -349,15 +349,13 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return same / (len(x) + len(y) - same) if len(x) + len(y) else 1.0
 
 
-def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(s, n, size, root, k): the rows of shared whose shingle's k rows still lie in more than one component."""
-    d = shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "size", F.coalesce("root", "n").alias("root"))
-    mixed = d.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high")
-    return d.join(mixed.select("s", "k"), "s")
+def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, n, size, root, k): the rows of shared with the component of each text."""
+    return shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "size", F.coalesce("root", "n").alias("root"), "k")
 
 
 def close_pairs(found: DataFrame, sets: DataFrame, similar: float, forest: bool, block: int = 512) -> DataFrame:
-    """(x, y, s): pairs of different components in a bucket of found (as of open_buckets) whose sketches allow the similarity.
+    """(x, y, s): pairs of different components in a bucket of found (as of with_roots) whose sketches allow the similarity.
 
     All of them, or with forest the closest that join the components of a block; then a row (null, null, s) tells that
     bucket s has more. A bucket is dealt out in pairs of blocks and its rows meet inside a task, so that only pairs that
@@ -446,8 +444,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     true = verified(pairs, sets, similar, scratch)
     # in a bucket of several components first the closest pairs that would join them, then all that are left
     for forest in (True, False):
-        left = scratch.written(open_buckets(shared, components(true)), "open")
-        found = scratch.written(close_pairs(left, sets, similar, forest), "close")
+        found = scratch.written(close_pairs(with_roots(shared, components(true)), sets, similar, forest), "close")
         true = true.unionByName(verified(found.where("s IS NULL").select("x", "y"), sets, similar, scratch))
         shared = shared.join(found.where("s IS NOT NULL").select("s").distinct(), "s", "left_semi")
     grouped = texts.drop("_t").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -193,6 +194,37 @@ def test_op4_longest_matches(spark):
     assert decontaminate.drop_contaminated(docs, tests).count() == 0
 
 
+def test_op4_matches_of_few_words(spark, monkeypatch):
+    """Texts of three words, so that every window repeats: the longest matches that lie in no other, in one block and in many."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: ["abc"[i] for i in rng.integers(0, 3, n)]
+    items = {k: draw(int(rng.integers(1, 40))) for k in range(12)}
+    docs = {k: draw(int(rng.integers(0, 60))) + (["x"] if k % 3 else []) + items[k % 12][: int(rng.integers(3, 40))] for k in range(30)}
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
+    got = {r.doc_id: r.matched for r in decontaminate.with_matches(frame(docs, "doc_id"), frame(items, "item_id"), 5).collect()}
+    for k, d in docs.items():
+        starts = {p for v in items.values() for n in [min(5, len(v))] for s in range(len(v) - n + 1) for p in range(len(d) - n + 1) if d[p : p + n] == v[s : s + n]}
+        reach = {p: max(n for v in items.values() for s in range(len(v)) for n in range(len(v) - s + 1) if d[p : p + n] == v[s : s + n]) for p in starts}
+        want = {(p, n) for p, n in reach.items() if not any(q < p and q + m >= p + n for q, m in reach.items())}
+        assert {(m.doc_start, m.n_words) for m in got[k].matches} == want
+        for m in got[k].matches:
+            assert items[int(m.item)][m.item_start : m.item_start + m.n_words] == d[m.doc_start : m.doc_start + m.n_words]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    parts = {r.doc_id: r.matched for r in decontaminate.with_matches(frame(docs, "doc_id"), frame(items, "item_id"), 5).collect()}
+    assert all((parts[k].words, parts[k].hits, parts[k]["items"]) == (got[k].words, got[k].hits, got[k]["items"]) for k in docs)
+
+
+def test_op4_one_word_repeated(spark):
+    """A megabyte of one word against an item of the same word, in seconds."""
+    docs = spark.createDataFrame([(1, "same " * 200_000), (2, "same " * 9)], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, "same " * 2000), (8, "same " * 500)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.matched for r in decontaminate.with_matches(docs, tests).collect()}
+    assert time.time() - began < 30
+    assert len(got[1].hits) == 200_000 and got[1]["items"] == ["7", "8"] and got[2].hits == []
+    assert all(m.n_words == 2000 for m in got[1].matches)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
