@@ -22,12 +22,12 @@ BASE = [("email", EMAIL, "%@%"), ("ip", IP, "%.%.%.%"), ("card", CARD, None), ("
 
 # Fixed patterns of the candidates, which may overlap each other and the base spans.
 CANDIDATES = [
-    ("email", r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,24})++", "%at%"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\((?i:at)\)|\[(?i:at)\]|\{(?i:at)\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?i:dot)\)|\[(?i:dot)\]) ?[A-Za-z]{2,24})++", "(at)"),
     ("phone", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ ./-][0-9][0-9 ./-]{4,14}[0-9](?![0-9A-Za-z])", None),
     ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "%-%"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", None),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "%:%"),
-    ("secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,512}(?![A-Za-z0-9_/+=-])", None),
+    ("secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+(?![A-Za-z0-9_/+=-])", None),
 ]
 KINDS = [k for k, _, _ in BASE] + sorted({k for k, _, _ in CANDIDATES} - {k for k, _, _ in BASE})
 CONTEXT = 32
@@ -37,20 +37,43 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+SPANS = "array<struct<k:string,s:int,e:int,v:string,l:string>>"
+#: Prefix sums go over so many matches at a time, so that a text of very many matches costs no square of their number.
+STEP = 128
+
+
 def spans(text: str, kind: str, pattern: str, hint: str | None) -> str:
     """SQL for array<struct<k,s,e,v,l>>: leftmost non-overlapping matches with places in code points and the text before.
 
-    The text between matches comes from a split at the same pattern, so that no position function is needed.
+    The text between matches comes from a split at the same pattern, so that no position function is needed; places are
+    prefix sums of the pieces' lengths, first within steps of matches, then over the steps.
     """
     found = f"regexp_extract_all({text}, {literal(pattern)}, 0)"
-    if hint:
+    if hint == "(at)":
+        found = f"CASE WHEN contains(lower({text}), '(at)') OR contains(lower({text}), '[at]') OR contains(lower({text}), '{{at}}') THEN {found} ELSE array() END"
+    elif hint:
         found = f"CASE WHEN {text} LIKE '{hint}' THEN {found} ELSE array() END"
     cut = f"slice(split({text}, {literal(pattern)}, -1), 1, size(m))"
-    return f"""transform(array({found}), m -> CASE WHEN size(m) = 0 THEN cast(array() AS array<struct<k:string,s:int,e:int,v:string,l:string>>) ELSE
-        aggregate(zip_with({cut}, m, (p, v) -> named_struct('p', p, 'v', v)),
-            named_struct('at', 0, 'out', cast(array() AS array<struct<k:string,s:int,e:int,v:string,l:string>>)),
-            (a, x) -> named_struct('at', a.at + length(x.p) + length(x.v), 'out', concat(a.out, array(named_struct('k', '{kind}', 's', a.at + length(x.p), 'e', a.at + length(x.p) + length(x.v), 'v', x.v, 'l', right(x.p, {CONTEXT}))))),
-            a -> a.out) END)[0]"""
+    within = f"""aggregate(slice(z, i * {STEP} + 1, {STEP}), named_struct('at', 0, 'out', cast(array() AS {SPANS})),
+        (a, x) -> named_struct('at', a.at + length(x.p) + length(x.v), 'out', concat(a.out, array(named_struct('k', '{kind}', 's', a.at + length(x.p), 'e', a.at + length(x.p) + length(x.v), 'v', x.v, 'l', right(x.p, {CONTEXT}))))))"""
+    over = f"""aggregate(transform(sequence(0, cast((size(z) - 1) div {STEP} AS int)), i -> {within}), named_struct('at', 0, 'out', cast(array() AS array<{SPANS}>)),
+        (a, y) -> named_struct('at', a.at + y.at, 'out', concat(a.out, array(transform(y.out, x -> named_struct('k', x.k, 's', a.at + x.s, 'e', a.at + x.e, 'v', x.v, 'l', x.l))))), a -> flatten(a.out))"""
+    return f"""transform(array({found}), m -> CASE WHEN size(m) = 0 THEN cast(array() AS {SPANS}) ELSE
+        transform(array(zip_with({cut}, m, (p, v) -> named_struct('p', p, 'v', v))), z -> {over})[0] END)[0]"""
+
+
+def before(spans: str, end: str, field: str, than: str) -> str:
+    """SQL for how many of spans, in order, have the field below (or, for e, not above) than: by halving, as they are sorted."""
+    sign = "<" if field == "s" else "<="
+    return f"""aggregate(sequence(1, {end}), named_struct('l', 0, 'h', size({spans})), (w, i) -> CASE WHEN w.l >= w.h THEN w
+        WHEN {spans}[shiftright(w.l + w.h, 1)].{field} {sign} {than} THEN named_struct('l', shiftright(w.l + w.h, 1) + 1, 'h', w.h) ELSE named_struct('l', w.l, 'h', shiftright(w.l + w.h, 1)) END, w -> w.l)"""
+
+
+def overlapping(spans: str, x: str) -> str:
+    """SQL for those of spans (of one kind: sorted and apart) that overlap x; together they are no more than all spans."""
+    steps = f"cast(ceil(log2(size({spans}) + 1)) AS int)"
+    low, high = before(spans, steps, "e", f"{x}.s"), before(spans, steps, "s", f"{x}.e")
+    return f"CASE WHEN size({spans}) = 0 THEN {spans} ELSE transform(array({low}), low -> slice({spans}, low + 1, greatest(0, {high} - low)))[0] END"
 
 
 LUHN = """pmod(aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN cast(substr({d}, length({d}) - i + 1, 1) AS int)
@@ -100,6 +123,8 @@ def examples_sql(n: int, seed: int) -> str:
     hexa = f"sha2(concat('{seed}', id), 256)"
     good = {"phone": "array('phone ', 'call me at ', 'Tel: ', 'mobile ', 'contact: ', 'and ', 'then the ', '')", "email": "array('mail ', 'write to ', 'contact ', 'and ', '')", "id": "array('ssn ', 'social security ', 'and ', '')", "iban": "array('IBAN ', 'bank account ', 'to ', '')", "ip": "array('from ', 'host ', '')", "secret": "array('token = ', 'password=', 'secret: ', 'api key ', 'auth ', 'and the ', '')"}
     bad = "array('version ', 'order ', 'invoice ', 'part ', 'page ', 'date ', 'price ', 'figure ', 'commit ', 'build ', 'ratio ', 'chapter ')"
+    # where formats differ, wrong candidates also stand in plain running text, so that the format must tell them
+    plain = bad.replace("array(", "array('and ', 'then the ', 'of ', 'with ', 'to ', '', '', '', '', '', '', '', ")
     n1, n2, n3 = num("a", 3), num("b", 4), num("c", 4)
     pos = {
         "phone": f"element_at(array(concat('(', {n1}, ') ', {num('d', 3)}, '-', {n2}), concat({n1}, '-', {num('d', 3)}, '-', {n2}), concat('0', {n1}, ' ', {n2}, {num('e', 3)}), concat({n1}, '.', {num('d', 3)}, '.', {n2})), cast({r('f', 4)} + 1 AS int))",
@@ -119,7 +144,7 @@ def examples_sql(n: int, seed: int) -> str:
     }
     pick = lambda a, tag: f"element_at({a}, cast(pmod(xxhash64({seed}, '{tag}', id), size({a})) + 1 AS int))"
     case = lambda of: "CASE k " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in of.items()) + " END"
-    before = case({k: f"CASE WHEN y = 1 THEN {pick(good[k], 'l')} ELSE {pick(bad, 'l')} END" for k in pos})
+    before = case({k: f"CASE WHEN y = 1 THEN {pick(good[k], 'l')} ELSE {pick(bad if k == "id" else plain, 'l')} END" for k in pos})
     kinds = ", ".join(f"'{k}'" for k in pos)
     return f"""SELECT id, k, y, {before} AS l, CASE WHEN y = 1 THEN {case(pos)} ELSE {case(neg)} END AS v FROM (
         SELECT id, element_at(array({kinds}), cast({r('k', len(pos))} + 1 AS int)) AS k, {r('y', 2)} AS y FROM range({n}))"""
@@ -157,16 +182,17 @@ class Trees:
 _fitted: dict[tuple, Trees] = {}
 
 
-def train(spark: SparkSession, examples: int = 6000, rounds: int = 12, depth: int = 4, precision: float = 0.95, seed: int = 7) -> Trees:
+def train(spark: SparkSession, examples: int = 6000, rounds: int = 12, depth: int = 4, precision: float = 0.95, prior: float = 20.0, seed: int = 7) -> Trees:
     """Fits the trees on three quarters of examples labelled candidates and calibrates each kind's threshold on the rest.
 
-    A threshold is the lowest score (in hundredths) from which on the held-out precision is at least precision. The
+    A threshold is the lowest score (in hundredths) from which on the held-out precision is at least precision, where each
+    wrong candidate counts prior times, as a corpus has about so many for a right one while the examples have one. The
     examples come from formats and contexts, not from the corpus, so the model is the same for every corpus.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    if (known := (examples, rounds, depth, precision, seed)) in _fitted:
+    if (known := (examples, rounds, depth, precision, prior, seed)) in _fitted:
         return _fitted[known]
     d = spark.sql(examples_sql(examples, seed)).select("id", "k", F.col("y").cast("double").alias("label"), F.struct("k", "v", "l").alias("x"))
     d = d.select("id", "k", "label", F.array(*[F.expr(e) for e in features("x")]).alias("f")).coalesce(1).cache()
@@ -179,7 +205,7 @@ def train(spark: SparkSession, examples: int = 6000, rounds: int = 12, depth: in
     for kind in {r.k for r in scored}:
         good = of = 0
         for r in sorted((r for r in scored if r.k == kind), key=lambda r: -r.s):
-            good, of = good + r.good, of + r.all
+            good, of = good + r.good, of + r.good + prior * (r.all - r.good)
             if good / of >= precision:
                 trees.thresholds[kind] = r.s / 100
     _fitted[known] = trees
@@ -196,16 +222,24 @@ def find(docs: DataFrame, text: str = "text", trees: Trees | None = None, base:
     are replaced, all others stay.
     """
     trees = trees or train(docs.sparkSession)
-    d = docs.drop(base, every).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumn("_b", F.expr("concat(" + ", ".join(spans("_t", *k) for k in BASE) + ")")).withColumn("_b", F.expr(f"filter(_b, x -> {valid('x')})"))
-    d = d.withColumn("_c", F.expr("concat(" + ", ".join(spans("_t", *k) for k in CANDIDATES) + ")"))
-    d = d.withColumn("_c", F.expr("filter(_c, c -> NOT exists(_b, b -> b.s < c.e AND c.s < b.e))"))
-    d = d.withColumn("_c", F.expr(f"transform(transform(_c, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'f', array({', '.join(features('x'))}))), y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 'p', transform(array(y.f), f -> {trees.score()})[0]))"))
-    d = d.withColumn("_c", F.expr(f"filter(_c, c -> {trees.accepted('c.k', 'c.p')})"))
-    d = d.withColumn("_c", F.expr("filter(_c, c -> NOT exists(_c, o -> o.s < c.e AND c.s < o.e AND (o.p > c.p OR o.p = c.p AND (o.s < c.s OR o.s = c.s AND (o.e > c.e OR o.e = c.e AND o.k < c.k)))))"))
-    order = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-    own = lambda a: F.expr(f"transform(array_sort(transform({a}, x -> named_struct('o', {order}, 'start', x.s, 'end', x.e, 'kind', x.k))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
-    return d.withColumn(base, own("_b")).withColumn(every, own("concat(transform(_b, x -> named_struct('k', x.k, 's', x.s, 'e', x.e)), transform(_c, x -> named_struct('k', x.k, 's', x.s, 'e', x.e)))")).drop("_t", "_b", "_c")
+    given = [f"_in{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*given).withColumn("_t", F.coalesce(F.col(given[docs.columns.index(text)]), F.lit("")))
+    kinds = [k for k, _, _ in CANDIDATES]
+    d = d.withColumns({f"_b_{k[0]}": F.expr(f"filter({spans('_t', *k)}, x -> {valid('x')})") for k in BASE} | {f"_g_{k[0]}": F.expr(spans("_t", *k)) for k in CANDIDATES})
+    # candidates apart from the base spans, with the trees' score; then those at or over their kind's threshold
+    alone = lambda k: f"filter(_g_{k}, c -> " + " AND ".join(f"size({overlapping(f'_b_{b}', 'c')}) = 0" for b, _, _ in BASE) + ")"
+    d = d.withColumn("_a", F.expr(f"concat({', '.join(map(alone, kinds))})"))
+    d = d.withColumn("_s", F.expr(f"transform(transform(_a, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'f', array({', '.join(features('x'))}))), y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 'p', transform(array(y.f), f -> {trees.score()})[0]))"))
+    d = d.withColumns({f"_c_{k}": F.expr(f"filter(_s, c -> c.k = '{k}' AND {trees.accepted('c.k', 'c.p')})") for k in kinds})
+    better = "(o.p > c.p OR o.p = c.p AND (o.s < c.s OR o.s = c.s AND (o.e > c.e OR o.e = c.e AND o.k < c.k)))"
+    own = lambda k: f"filter(_c_{k}, c -> " + " AND ".join(f"NOT exists({overlapping(f'_c_{o}', 'c')}, o -> {better})" for o in kinds if o != k) + ")"
+    part = lambda x: f"transform({x}, x -> named_struct('kind', x.k, 'start', x.s, 'end', x.e))"
+    of_base, of_more = {k: f"_b_{k}" for k, _, _ in BASE}, {k: own(k) for k in kinds}
+    order = "(x, y) -> CASE WHEN x.start < y.start THEN -1 WHEN x.start > y.start THEN 1 WHEN x.end < y.end THEN -1 WHEN x.end > y.end THEN 1 ELSE 0 END"
+    both = lambda k: f"array_sort(concat({', '.join(part(of[k]) for of in (of_base, of_more) if k in of)}), {order})"
+    d = d.withColumns({"_base": F.expr(f"concat({', '.join(part(of_base[k]) for k, _, _ in BASE)})"), "_all": F.expr(f"concat({', '.join(map(both, KINDS))})")})
+    kept = [F.col(g).alias(c) for g, c in zip(given, docs.columns) if c not in (base, every)]
+    return d.select(*kept, F.col("_base").alias(base), F.col("_all").alias(every))
 
 
 def digest(column: str) -> Column:

@@ -42,7 +42,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.digest("pii_base"), 256).alias("base_sha256"), pii.digest("pii_spans").alias("spans"))
+    return found.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.digest("pii_base"), 256).alias("base_sha256"), pii.digest("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
