@@ -27,31 +27,32 @@ def unescape(c: Column) -> Column:
     return F.replace(c, F.lit("<||"), F.lit("<|"))
 
 
-def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, history_budget: int = 256, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, history_budget: int = 256, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None) -> DataFrame:
     """(conv, window, first_turn, last_turn, n_repeated, n_tokens, formatted, loss) for each window of each conversation.
 
     Turns are ordered by turn, role and text, nulls first; null roles and texts are empty. first_turn and last_turn number
     the new turns from 1; the first n_repeated turns of the window are the system turn and history and never targets. loss
     holds start and end (code points, end exclusive) of the escaped texts under the mask. A turn is never cut: a window
-    goes over the budget only if one new turn with its system turn and history does. Null conversations are one
+    goes over the budget only if one new turn with its system turn alone does: history gives way first. tokens names a
+    column with the turns' own token counts (null: none), such as operator 1's; without it words and signs are counted. Null conversations are one
     conversation; repeated rows are turns of their own; an empty table gives no windows. Other columns are not looked at.
     """
     order = Window.partitionBy("c").orderBy("n", "r", "x")
-    t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("x"))
-    t = t.withColumn("k", F.regexp_count("x", F.lit(TOKEN)) + MARKERS).withColumn("i", F.row_number().over(order))
+    t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("x"), (F.coalesce(F.col(tokens), F.lit(0)) if tokens else F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))).cast("long").alias("k"))
+    t = t.withColumn("k", F.col("k") + MARKERS).withColumn("i", F.row_number().over(order))
     t = t.withColumn("q", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     head = F.concat(F.lit(START), F.replace(escape(F.col("r")), F.lit("\n"), F.lit("<|nl|>")), F.lit("\n"))
     d = t.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "r", "q", head.alias("head"), escape(F.col("x")).alias("body")))).alias("t"))
     # A lambda over an array of one value names the value, so that it is worked out once a row: t are the turns, u their
     # number and whether the first is the system's. before(i) is the prefix sum of all turns before the i-th.
     before = lambda i: f"(CASE WHEN {i} <= 1 THEN 0L ELSE t[{i} - 2].q END)"
-    history = f"element_at(filter(sequence(least(greatest(i - {history_turns}, u.sys + 1), i), i), j -> {before('i')} - {before('j')} <= {history_budget}), 1)"
-    last = "element_at(a, -1)"
-    spans = f"""aggregate(sequence(1, u.n), cast(array() AS array<struct<h:int,f:int,l:int>>), (a, i) ->
-        CASE WHEN size(a) = 0 THEN array(named_struct('h', 1, 'f', 1, 'l', 1))
-             WHEN t[i - 1].q - {before(last + ".h")} + CASE WHEN {last}.h > u.sys THEN {before("(u.sys + 1)")} ELSE 0L END <= {budget}
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('h', {last}.h, 'f', {last}.f, 'l', i)))
-             ELSE concat(a, array(named_struct('h', {history}, 'f', i, 'l', i))) END)"""
+    history = f"element_at(filter(sequence(least(greatest(i - {history_turns}, u.sys + 1), i), i), j -> j = i OR {before('i')} - {before('j')} <= {history_budget} AND t[i - 1].q - {before('j')} + {before('(u.sys + 1)')} <= {budget}), 1)"
+    spans = f"""aggregate(sequence(1, u.n), named_struct('now', named_struct('h', 1, 'f', 1, 'l', 1), 'out', cast(array() AS array<struct<h:int,f:int,l:int>>)), (a, i) ->
+        CASE WHEN i = 1 THEN a
+             WHEN t[i - 1].q - {before("a.now.h")} + CASE WHEN a.now.h > u.sys THEN {before("(u.sys + 1)")} ELSE 0L END <= {budget}
+             THEN named_struct('now', named_struct('h', a.now.h, 'f', a.now.f, 'l', i), 'out', a.out)
+             ELSE named_struct('now', named_struct('h', {history}, 'f', i, 'l', i), 'out', concat(a.out, array(a.now))) END,
+        a -> concat(a.out, array(a.now)))"""
     shape = f"""named_struct('f', b.f, 'l', b.l, 'n_repeated', CASE WHEN b.h > u.sys THEN u.sys ELSE 0 END + b.f - b.h,
         'n_tokens', t[b.l - 1].q - {before("b.h")} + CASE WHEN b.h > u.sys THEN {before("(u.sys + 1)")} ELSE 0L END,
         'all', concat(slice(t, 1, CASE WHEN b.h > u.sys THEN u.sys ELSE 0 END), slice(t, b.h, b.l - b.h + 1)))"""

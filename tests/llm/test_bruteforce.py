@@ -584,3 +584,27 @@ def test_unicode_forms_do_not_cross_spaces(spark):
         s = "".join(rng.choice(alphabet, 40))
         for form in (s, unicodedata.normalize("NFD", s)):
             assert np.frombuffer(ids.of(form), "<u2").tolist() == t.encode(form, add_special_tokens=False).ids
+
+
+def test_op10_budget_holds(spark):
+    """Only a new turn that with its system turn is too long goes over the budget; history gives way. Counts may be given."""
+    rng, rows = np.random.default_rng(10), []
+    for c in range(40):
+        for i in range(int(rng.integers(1, 30))):
+            n = int(rng.choice([3, 40, 250, 905, 1200], p=[0.3, 0.3, 0.2, 0.15, 0.05]))
+            rows.append((c, i, "system" if i == 0 and c % 2 else ["user", "assistant"][i % 2], "w " * n, n))
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, counts int")
+    cost, system = {(r[0], r[1] + 1): r[4] + chat.MARKERS for r in rows}, {r[0] for r in rows if r[2] == "system"}
+    for given in (None, "counts"):
+        got = chat.windows(turns, 1024, tokens=given).collect()
+        for w in got:
+            head = cost[w.conv_id, 1] if w.conv_id in system and w.first_turn > 1 else 0
+            assert w.n_tokens <= 1024 or w.first_turn == w.last_turn and w.n_repeated == (1 if head else 0) and w.n_tokens == head + cost[w.conv_id, w.first_turn]
+        assert sum(w.last_turn - w.first_turn + 1 for w in got) == len(rows)
+
+
+def test_op10_long_conversation(spark):
+    turns = spark.range(100_000).selectExpr("0L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('word ', 20) AS text")
+    began = time.time()
+    assert chat.windows(turns).agg({"n_tokens": "max"}).first()[0] <= 1024
+    assert time.time() - began < 30
