@@ -125,6 +125,19 @@ def test_op2_marks_and_references():
     assert html_main.blocks("a <!-- x") == [(html_main.FRAME, "a")]
 
 
+def test_op2_parts_of_an_article():
+    page = """<article><header class="entry-header"><h1>Headline</h1></header><div class="section-header"><h2>Part</h2></div><p>a &am<b>p;</b> b &amp; c</p><p style="display: none">hid</p>
+    <article class="comment"><p>nice</p></article><article class="related-card">more</article><footer>f</footer></article><header>site</header>"""
+    assert [t for z, t in html_main.blocks(page) if z == html_main.ARTICLE] == ["Headline", "Part", "a &amp; b & c"]
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a '" * 250_000, "</b>" * 250_000, "<b>" * 150_000 + "<p>x</p>" * 50_000, "<div>" * 200_000 + "</i>" * 200_000, "<p><b>" * 150_000, "<!--" * 200_000, "&" * 1_000_000, "<script>" * 100_000])
+def test_op2_hostile_pages_are_read_once(page):
+    began = time.time()
+    html_main.blocks(page)
+    assert time.time() - began < 10
+
+
 def test_op2_repeated_frames_go_on_pages_without_article(spark):
     line = "all rights reserved by the owners of this very fine site since long"
     pages = [(i, "http://h.example/x", f"<div><p>{line}</p><p>story{i} is told only here and nowhere else at all</p></div>") for i in range(6)]
