@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, key: str
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(n, size, fp, sketch, shingles) of texts (n, _t): the distinct shingles' number, fingerprint, sketch and hashes.
+    """texts (_t and others) with size, fp, sketch, shingles instead of _t: number, fingerprint, sketch and hashes of the distinct shingles.
 
     Bit h mod m of the sketch, of m bits, is the parity of the shingles that fall on it, so the bits in which two sketches
     differ are no more than the shingles that only one text has. shingles are sorted 64-bit hashes. Wordless texts have
@@ -202,9 +202,10 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                     m *= 2
                 odd = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
                 sizes.append(k), prints.append(majority(every)), sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()), sets.append(h.tobytes())
-            yield pd.DataFrame({"n": batch["n"], "size": np.array(sizes, np.int64), "fp": np.array(prints, np.int64), "sketch": sketches, "shingles": sets})
+            yield batch.drop(columns="_t").assign(size=np.array(sizes, np.int64), fp=np.array(prints, np.int64), sketch=sketches, shingles=sets)
 
-    return texts.select("n", "_t").mapInPandas(of, "n long, size long, fp long, sketch binary, shingles binary")
+    rest = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "_t"]
+    return texts.mapInPandas(of, ", ".join([*rest, "size long, fp long, sketch binary, shingles binary"]))
 
 
 #: Shingles are counted in 2 ** COUNTER_BITS counters, by the first bits of their hashes.
@@ -253,10 +254,16 @@ def prefixes(sets: DataFrame, similar: float) -> DataFrame:
     return sets.select("n", "size", "shingles").mapInPandas(of, "s long, n long, size long")
 
 
-def shared_prefixes(index: DataFrame) -> DataFrame:
-    """(s, n, size, head, head_size, k): the rows of prefixes whose shingle k texts have, two or more; head is one of them."""
-    heads = index.groupBy("s").agg(F.min(F.struct("n", "size")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    return index.join(heads, "s").select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"), "k")
+def shared_prefixes(index: DataFrame, similar: float) -> DataFrame:
+    """(s, n, size, head, head_size, k): the rows of prefixes whose shingle k texts have, two or more; head is one of them.
+
+    Only texts that have one of similar size in their shingle's texts: in order of size, the one before or behind.
+    """
+    by_size = Window.partitionBy("s").orderBy("size", "n")
+    every = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = index.select("*", F.min(F.struct("n", "size")).over(every).alias("h"), F.count("*").over(every).alias("k"), F.lag("size").over(by_size).alias("low"), F.lead("size").over(by_size).alias("high"))
+    near = (F.col("low") >= similar * F.col("size") - 1e-9) | (F.col("size") >= similar * F.col("high") - 1e-9)
+    return d.where(near).select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"), "k")
 
 
 def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
@@ -310,6 +317,10 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
+#: Up to this many numbers of texts are broadcast (under 32 MB).
+BROADCAST_TEXTS = 500_000
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch, most: int = 256) -> DataFrame:
     """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before shingles are read.
 
@@ -336,6 +347,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch
 
     side = lambda k: sets.select(F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     left = scratch.written(pairs.join(side("x"), "x").join(side("y"), "y").where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y"), "candidates")
+    # if the candidates' texts are few, by a count, the shingles of all others need not be dealt out
+    asked = left.select(F.explode(F.array("x", "y")).alias("n")).distinct()
+    if asked.count() <= BROADCAST_TEXTS:
+        sets = sets.join(F.broadcast(asked), "n", "left_semi")
     parts = left.groupBy("x").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     left = left.join(parts, "x").select("x", "y", F.expr("cast(pmod(xxhash64(y), parts) AS int)").alias("part"))
     first = parts.join(sets.select(F.col("n").alias("x"), F.col("shingles").alias("p")), "x").select("x", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
@@ -435,10 +450,9 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     named = lambda doc, g: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.hex(g)), 256))
     base = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_g", F.unhex(F.sha2("_t", 256))).withColumn("_id", named(key, "_g"))
     # a number for each different text, fixed as the table is written
-    texts = base.select("_g", "_t", F.col(key).alias("doc")).groupBy("_g").agg(F.min("doc").alias("doc"), F.first("_t").alias("_t"))
-    texts = scratch.written(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
+    texts = base.groupBy("_g").agg(F.first("_t").alias("_t")).withColumn("n", F.monotonically_increasing_id())
     sets = scratch.written(shingle_sets(texts, width), "sets")
-    shared = scratch.written(shared_prefixes(scratch.written(prefixes(sets, similar), "prefixes")), "shared")
+    shared = scratch.written(shared_prefixes(prefixes(sets, similar), similar), "shared")
     pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
     pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
     true = verified(pairs, sets, similar, scratch)
@@ -447,7 +461,8 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
         found = scratch.written(close_pairs(with_roots(shared, components(true)), sets, similar, forest), "close")
         true = true.unionByName(verified(found.where("s IS NULL").select("x", "y"), sets, similar, scratch))
         shared = shared.join(found.where("s IS NOT NULL").select("s").distinct(), "s", "left_semi")
-    grouped = texts.drop("_t").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    lowest = base.select("_g", F.col(key).alias("doc")).groupBy("_g").agg(F.min("doc").alias("doc"))
+    grouped = sets.select("n", "_g").join(lowest, "_g").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))
     kept = written(kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id")), "kept")
     scratch.clear()

@@ -427,6 +427,13 @@ def test_near_duplicate_stage(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5]
 
 
+def test_near_duplicate_stage_keeps_large_keys(spark):
+    """Keys beyond the whole numbers of a double stay exact beside null keys."""
+    rows = [(2**60 + i, f"text number {i % 2} has some words") for i in range(4)] + [(None, "another text")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 2**60, 2**60 + 1]
+
+
 def similar_groups(texts, least=0.8, width=5):
     """Components of the links of texts by brute force: {key: smallest key of its component}, and the similarities."""
     sets = {k: set(np.unique(simhash.shingle_hashes(t, width)).tolist()) for k, t in texts.items()}
