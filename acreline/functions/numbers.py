@@ -96,7 +96,7 @@ def headline_acres(text: Column) -> Column:
     """The first acreage of a card, refined by a later figure that agrees with it."""
     found = acreages(text)
     first = F.try_element_at(found, F.lit(1))
-    return F.when(first.isNotNull(), most_precise(first, F.slice(found, 2, 100_000)))
+    return F.when(first.isNotNull(), most_precise(first, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))))
 
 
 def refined_acres(headline: Column, text: Column) -> Column:

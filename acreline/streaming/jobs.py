@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, time: str | None = None) -> DataFrame:
-    """A stream of the rows of a Parquet table; a time column becomes a timestamp that a watermark can use."""
-    d = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+def table_stream(spark: SparkSession, sf_dir: str, name: str, time: str | None = None, files: int | None = None) -> DataFrame:
+    """A stream of the rows of a Parquet table, of so many files a micro-batch; a time column becomes a timestamp that a watermark can use."""
+    r = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).option("pathGlobFilter", "*.parquet")
+    d = (r.option("maxFilesPerTrigger", files) if files else r).parquet(f"{sf_dir}/{name}.parquet*")
     return d.withColumn(time, F.col(time).cast("timestamp")) if time else d
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives what it wrote, from the shared folder."""
+    """Runs a stream over all that is there and gives what it wrote, from the shared folder.
+
+    In mode complete each micro-batch has the whole result, so the last one's is given; in mode update the rows of all.
+    """
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
@@ -27,7 +31,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     else:
 
         def keep(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{path}/out/{batch}")
+            rows.write.mode("overwrite").parquet(f"{path}/out/{'all' if mode == 'complete' else batch}")
 
         q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()

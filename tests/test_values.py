@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acreline.functions import keys, numbers, text
 from acreline.operators import classify, dedup
 from acreline.sources import sinks, stores
+from acreline.streaming import jobs
 
 
 def values(spark, column, inputs, kind="string"):
@@ -117,3 +118,10 @@ def test_suspects_against_a_plain_loop(spark):
 def test_evidence_is_cut_at_its_default_bound(spark):
     d = spark.createDataFrame([(1, "x" * 2_001), (2, "y" * 500_001)], "page_id int, html string")
     assert sorted((r.page_id, len(r.html)) for r in sinks.evidence(d).collect()) == [(1, 2_001), (2, 500_000)]
+
+
+def test_complete_mode_gives_the_last_result(spark, tmp_path):
+    """Three files, one a micro-batch: one row for one window, not one for each micro-batch."""
+    spark.range(30).selectExpr("timestamp_seconds(id) AS ts", "'a' AS k").repartition(3).write.parquet(str(tmp_path / "log.parquet"))
+    stream = jobs.table_stream(spark, str(tmp_path), "log", files=1).groupBy("k").count()
+    assert [(r.k, r["count"]) for r in jobs.drained(stream, "complete", "complete").collect()] == [("a", 30)]
