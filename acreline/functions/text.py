@@ -46,9 +46,14 @@ def phrase_pattern(phrase: str) -> str:
     return r"(?i)(?<![A-Za-z0-9_])" + r"[\s-]+".join(words) + r"(?![A-Za-z0-9_])"
 
 
+def found(t: Column, low: Column, phrases: list[str]) -> list[Column]:
+    """Each phrase or null: where low, t in lower case, has the phrase's longest word, the pattern decides."""
+    return [F.when(low.contains(max(p.split(), key=len)) & t.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases]
+
+
 def present(text: Column, phrases: list[str]) -> Column:
     """The phrases that occur in text, in the list's order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases]))
+    return let(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda x: F.array_compact(F.array(*found(x["t"], x["low"], phrases))))
 
 
 def sold(text: Column) -> Column:
@@ -60,7 +65,8 @@ def sold(text: Column) -> Column:
 
 def availability(text: Column) -> Column:
     """Phrases that say the listing is not available, sold last."""
-    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(phrase_pattern(p)), F.lit(p)) for p in UNAVAILABLE], F.when(sold(t), F.lit("sold")))))
+    both = F.struct(text.alias("t"), F.lower(text).alias("low"))
+    return let(both, lambda x: F.array_compact(F.array(*found(x["t"], x["low"], UNAVAILABLE), F.when(x["low"].contains("sold") & sold(x["t"]), F.lit("sold")))))
 
 
 def status_kind(status: Column) -> Column:

@@ -37,18 +37,20 @@ def write_snapshot(table: DataFrame, path: str) -> str:
 
 
 def write_batch(store_path: str, key: str = "url"):
-    """A function for foreachBatch: appends the guarded rows that are not there yet, refused ones to a side table."""
+    """A function for foreachBatch: writes the guarded rows that are not there yet, refused ones to a side table.
+
+    Each batch has a folder of its own, rows/batch=n and refused/batch=n, so one that runs again replaces what it wrote.
+    """
 
     def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
         good, bad = guarded(rows.dropDuplicates([key]))
-        bad.write.mode("append").parquet(f"{store_path}/refused")
-        try:
-            store = rows.sparkSession.read.parquet(f"{store_path}/rows")
-            good = insert_new(store, good, key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        good.write.mode("append").parquet(f"{store_path}/rows")
+        bad.write.mode("overwrite").parquet(f"{store_path}/refused/batch={batch}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store_path}/rows")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            written = spark.read.schema(good.select(key).schema.add("batch", "long")).parquet(f"{store_path}/rows")
+            good = insert_new(written.where(F.col("batch") != batch), good, key)
+        good.write.mode("overwrite").parquet(f"{store_path}/rows/batch={batch}")
 
     return write
 

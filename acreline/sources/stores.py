@@ -86,10 +86,10 @@ def candidates(records: DataFrame, stages: list[str]) -> DataFrame:
 
 def in_list(records: DataFrame, ids: list) -> DataFrame:
     """The records of a list of ids, in its order."""
-    wanted = F.lit(None).cast("int")
-    for i, v in reversed(list(enumerate(ids))):
-        wanted = F.when(F.col("id") == F.lit(v), i).otherwise(wanted)
-    return records.where(F.col("id").isin(ids)).orderBy(wanted)
+    kind = records.schema["id"].dataType.simpleString()
+    first = [(v, i) for i, v in enumerate(dict.fromkeys(ids)) if v is not None]
+    wanted = records.sparkSession.createDataFrame(first, f"id {kind}, _place long")
+    return records.join(F.broadcast(wanted), "id").orderBy("_place").select(*records.columns)
 
 
 def with_saved_page(records: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -125,3 +125,31 @@ def test_complete_mode_gives_the_last_result(spark, tmp_path):
     spark.range(30).selectExpr("timestamp_seconds(id) AS ts", "'a' AS k").repartition(3).write.parquet(str(tmp_path / "log.parquet"))
     stream = jobs.table_stream(spark, str(tmp_path), "log", files=1).groupBy("k").count()
     assert [(r.k, r["count"]) for r in jobs.drained(stream, "complete", "complete").collect()] == [("a", 30)]
+
+
+def test_batch_writer_replaces_a_repeated_batch(spark, tmp_path):
+    kind = "url string, price double, acres double"
+    first = spark.createDataFrame([("a", 5000.0, 10.0), ("a", 5000.0, 10.0), ("b", 1.0, 10.0)], kind)
+    second = spark.createDataFrame([("a", 5000.0, 10.0), ("c", 9000.0, 10.0)], kind)
+    write = sinks.write_batch(str(tmp_path / "store"))
+    for batch, rows in ((0, first), (0, first), (1, second), (1, second), (0, first)):
+        write(rows, batch)
+    read = lambda side: sorted(r.url for r in spark.read.parquet(str(tmp_path / "store" / side)).collect())
+    assert read("rows") == ["a", "c"] and read("refused") == ["b"]
+
+
+def test_records_of_a_long_id_list_come_in_its_order(spark):
+    records = spark.range(5000).selectExpr("cast(id AS int) AS id", "id % 3 AS stage")
+    ids = [4999, None, 7, 7, 100_000, *range(3000, 0, -1)]
+    got = [r.id for r in stores.in_list(records, ids).collect()]
+    assert got == [4999, 7, *[i for i in range(3000, 0, -1) if i != 7]]
+    assert stores.in_list(records, []).columns == ["id", "stage"] and stores.in_list(records, []).count() == 0
+
+
+def test_phrases_agree_with_their_patterns_alone(spark):
+    texts = ["No  Access, off-market; LANDLOCKED creek-bottom", "no accessory, flatter", "SALE\u00a0PENDING sale-pending", "Sold - today", "unsold - ", "", None, "\u212aelvin roc\u212ay rocky LEVEL", "pond" * 9 + " pond"]
+    every = [*text.UNAVAILABLE, *text.DEALBREAKERS, *text.YELLOW_FLAGS, *text.POSITIVES]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(text.phrase_pattern(p)), F.lit(p)) for p in every]))
+    assert all(r.got == r.want for r in d.select(text.present(F.col("t"), every).alias("got"), plain.alias("want")).collect())
+    assert [r.a for r in d.select(text.availability(F.col("t")).alias("a")).collect()][3:7] == [["sold"], [], [], []]
