@@ -28,8 +28,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.shard(docs, 40)
-    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+    return sharding.shard(docs, 40, drop_text=True).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,17 @@ def test_op3_weights_and_buckets(spark):
     assert sorted(slots) == list(range(len(slots)))
 
 
+def test_op3_without_texts(spark):
+    """Digests in place of texts give the same shards and gapless slots, repeated keys and null texts included."""
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, None if i % 4 == 0 else "é" * (i % 3), i) for i in range(200)], "doc_id long, text string, _t long")
+    full = sharding.shard(docs, 3, rows_per_bucket=10).drop("text").collect()
+    bare = sharding.shard(docs, 3, rows_per_bucket=10, drop_text=True)
+    assert bare.columns == ["doc_id", "_t", "text_crc32", "size", "law", "shard", "slot", "grown_shard"]
+    bare = bare.collect()
+    assert Counter((r.doc_id, r._t, r["size"], r.shard, r.grown_shard) for r in full) == Counter((r.doc_id, r._t, r["size"], r.shard, r.grown_shard) for r in bare)
+    assert sorted((r.shard, r.slot) for r in full) == sorted((r.shard, r.slot) for r in bare)
+
+
 def contaminated(docs, tests, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t or ""))
     items = [("null" if i["item_id"] is None else str(i["item_id"]), words(i["text"])) for i in tests]
