@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Target shares of the production mix; sources not named share what is left in equal parts.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.1}
 
@@ -20,8 +22,11 @@ def uniform(seed: int, *cols: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float], total: float | None, source: str) -> DataFrame:
-    """(source, rate, cdf): rate is target rows over the source's rows, cdf the Poisson distribution from 0 up."""
-    n = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_s")).agg(F.count("*").alias("_n"))
+    """(source, rate, cdf): rate is target rows over the source's rows, cdf the Poisson distribution from 0 up.
+
+    The rows of each source are counted once, into a table in the shared folder.
+    """
+    n = written(docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_s")).agg(F.count("*").alias("_n")), "sources")
     named = F.create_map(*[x for k, v in sorted(targets.items()) for x in (F.lit(k), F.lit(float(v)))]) if targets else F.create_map(F.lit(""), F.lit(0.0))
     n = n.withColumn("_w", F.element_at(named, F.col("_s")) if targets else F.lit(None).cast("double"))
     rows, others, given = n.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_w").isNull().cast("long")), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
