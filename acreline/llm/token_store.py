@@ -103,7 +103,8 @@ def splits(path: str) -> tuple[bool, bool]:
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards of docs in ascending order of key below out; gives the written manifest: key, h1, h2, shard, row, n_tokens.
 
-    Every text is encoded whole and end_id appended; null is empty. Null keys come first; rows of equal keys are ordered
+    Every text is encoded to its end and end_id appended; null is empty. Where the tokenizer's file shows that pieces
+    between spaces are independent, the pieces are encoded and remembered (WordIds), else the text as one. Null keys come first; rows of equal keys are ordered
     by text. Shards are ranges of keys, each written by one task under a name that a rerun gives it again.
     """
     from tokenizers import Tokenizer
