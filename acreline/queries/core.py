@@ -462,10 +462,10 @@ def win08_first_counties(spark, sf):
     return counties(spark, sf).orderBy("seq").limit(7).select("county", "state")
 
 
-@query(", s AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)) SELECT u, greatest(0, (SELECT count(*) FROM s) - 15) AS remainder FROM s ORDER BY u LIMIT 15")
+@query(", s AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150)) SELECT u, greatest(0, (SELECT count(*) FROM s) - 15) AS remainder FROM s ORDER BY u LIMIT 15")
 def win09_silent_top(spark, sf):
     e = events(spark, sf)
-    silent = e.select(F.col("user_id").alias("u")).distinct().join(e.where("event_type = 'signup' AND value > 40").select(F.col("user_id").alias("u")), "u", "left_anti")
+    silent = e.select(F.col("user_id").alias("u")).distinct().join(e.where("event_type = 'signup' AND value > 150").select(F.col("user_id").alias("u")), "u", "left_anti")
     return report.top(silent, [F.col("u")], 15).select("u", "remainder")
 
 
