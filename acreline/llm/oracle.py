@@ -64,5 +64,30 @@ FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM e WHERE n_copies > 0)
 """
 
 
+_NEAR = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _op12(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """Each round: all distances, the nearest, then means, an empty centroid as it was."""
+    out = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor({dim} * cast(x AS double)) AS hugeint)) AS v, embedding AS e FROM embeddings
+     WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+     f"c0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(cast(vec_id AS varchar), 'null')), e) - 1 AS i, v FROM v) WHERE i < {k})"]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS (SELECT r, arg_min(i, (d, i)) AS i, min(d) AS d FROM (SELECT v.r, c.i, {_NEAR} AS d FROM v, c{n} AS c) GROUP BY r)")
+        if n < rounds:
+            mean = "(s - (s % n + n) % n) // n"
+            out.append(f"m{n} AS (SELECT i, list({mean} ORDER BY p) AS v FROM (SELECT i, p, sum(x) AS s, count(*) AS n FROM (SELECT a.i, unnest(v.v) AS x, unnest(range({dim})) AS p FROM v JOIN a{n} AS a USING (r)) GROUP BY i, p) GROUP BY i)")
+            out.append(f"c{n + 1} AS (SELECT c.i, coalesce(m.v, c.v) AS v FROM c{n} AS c LEFT JOIN m{n} AS m USING (i))")
+    return f"""
+WITH {", ".join(out)}
+SELECT vec_id, cast(a.i AS int) AS cluster, cast(d AS bigint) AS distance, cast(sum(d) OVER (PARTITION BY a.i) AS bigint) AS cluster_inertia,
+       cast(sum(d) OVER () AS bigint) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} AS a USING (r) JOIN c{rounds} AS c ON a.i = c.i
+"""
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op6_quality_rules": OP6, "op9_poisson_mix": OP9}
+    return {"op4_decontamination": OP4, "op6_quality_rules": OP6, "op9_poisson_mix": OP9, "op12_drake_clusters": OP12}

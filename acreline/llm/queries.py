@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, mixing, pii, quality, sharding, simhash, token_store, warc
+from . import chat, clustering, decontaminate, html_main, mixing, packing, pii, quality, sharding, simhash, token_store, warc
 from .common import new_dir, table
 
 
-def op1_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+def op1_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    store = token_store.token_store(docs, tokenizer, end_id=2)
+    store = token_store.token_store(docs, tokenizer or word_tokenizer(), end_id=2)
     return token_store.read_all(docs.select("doc_id"), store)
 
 
@@ -72,5 +74,15 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids, _ = clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    return clustering.with_sums(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_concat_and_cut(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pieces(packing.pack(docs, tokenizer or word_tokenizer(), width=2048, end_id=1))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_main_text, op3_rendezvous_shards, op4_decontamination, op5_pii_boosting, op6_quality_rules, op7_simhash, op8_warc, op9_poisson_mix, op10_chat_windows)}
+    return {f.__name__: f for f in (op1_token_store, op2_main_text, op3_rendezvous_shards, op4_decontamination, op5_pii_boosting, op6_quality_rules, op7_simhash, op8_warc, op9_poisson_mix, op10_chat_windows, op12_drake_clusters, op13_concat_and_cut)}
