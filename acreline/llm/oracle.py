@@ -64,6 +64,22 @@ FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM e WHERE n_copies > 0)
 """
 
 
+OP11 = f"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, n AS k, w[s:s + n - 1] AS g FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM p, (VALUES (1), (2), (3)) AS t(n) WHERE len(w) >= n)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+m AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3) GROUP BY ALL),
+s AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM c LEFT JOIN m USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a),
+t AS (SELECT s.lang, s.g, a, cut, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+      FROM s JOIN f AS x ON x.lang = s.lang AND x.g = s.g[1:cut] JOIN f AS y ON y.lang = s.lang AND y.g = s.g[cut + 1:s.k]),
+b AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, cast(score AS bigint) AS score FROM t QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, cast(n AS bigint) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 _NEAR = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -90,4 +106,4 @@ OP12 = _op12()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op6_quality_rules": OP6, "op9_poisson_mix": OP9, "op12_drake_clusters": OP12}
+    return {"op4_decontamination": OP4, "op6_quality_rules": OP6, "op9_poisson_mix": OP9, "op11_collocations": OP11, "op12_drake_clusters": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clustering, decontaminate, html_main, mixing, packing, pii, quality, sharding, simhash, token_store, warc
+from . import chat, clustering, collocations, decontaminate, html_main, mixing, packing, pii, quality, sharding, simhash, token_store, warc
 from .common import new_dir, table
 
 
@@ -74,6 +74,11 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.phrases(table(spark, sf_dir, "documents"), least=10, cover=50, most=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids, _ = clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
     return clustering.with_sums(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -85,4 +90,4 @@ def op13_concat_and_cut(spark: SparkSession, sf_dir: str, tokenizer: str | None
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_main_text, op3_rendezvous_shards, op4_decontamination, op5_pii_boosting, op6_quality_rules, op7_simhash, op8_warc, op9_poisson_mix, op10_chat_windows, op12_drake_clusters, op13_concat_and_cut)}
+    return {f.__name__: f for f in (op1_token_store, op2_main_text, op3_rendezvous_shards, op4_decontamination, op5_pii_boosting, op6_quality_rules, op7_simhash, op8_warc, op9_poisson_mix, op10_chat_windows, op11_collocations, op12_drake_clusters, op13_concat_and_cut)}
