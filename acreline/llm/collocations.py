@@ -20,17 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, written
+from .common import Scratch, written
+from .sketch import ENTRIES, Bits, bits_for, entries, reached
 
 #: Characters of texts that make a chunk; a longer text is a chunk of its own.
 CHUNK = 4_000_000
 #: Phrases of one automaton (some 100 MB); a chunk with more is scanned by several.
 PHRASES = 150_000
-#: Counters of a sketch come in blocks of 2 ** BLOCK_BITS, each summed in one task.
-BLOCK_BITS = 16
-#: A sketch has at most 2 ** MOST_BITS counters, a bit of each (64 MB) is broadcast. It prunes as long as the least count
-#: is above the words to a counter.
-MOST_BITS = 29
 #: Bytes that end a piece become BREAK, which no word has.
 BREAK = b"."
 _PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10)
@@ -77,16 +73,6 @@ def unbroken(h: np.ndarray, n: int) -> np.ndarray:
     return ok
 
 
-class Bits:
-    """One bit a counter: whether it reaches the least count."""
-
-    def __init__(self, bits: int, packed: np.ndarray):
-        self.bits, self.packed = bits, packed
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def chunks(batches):
     """{lang: [text, ...]} of about CHUNK characters at a time; a null lang is und."""
     held, n = defaultdict(list), 0
@@ -109,19 +95,14 @@ def words_of(texts: list[str]) -> list[bytes]:
     return out
 
 
-def reached(docs: DataFrame, least: int, bits: int, lower: Bits | None, scratch: Scratch) -> Bits:
-    """The bits of a sketch of words and pairs, or, with the bits of that one, of the triples whose pairs it allows.
-
-    A chunk's hashes go to their block as places and counts in it (3 bytes a different one); a task sums blocks one after
-    another. The driver gets a bit a counter.
-    """
-    spark, size = docs.sparkSession, 1 << BLOCK_BITS
-    shared = spark.sparkContext.broadcast(lower)
+def sketched(docs: DataFrame, least: int, bits: int, lower: Bits | None, scratch: Scratch) -> Bits:
+    """The bits of a sketch of words and pairs, or, with the bits of that one, of the triples whose pairs it allows."""
+    shared = docs.sparkSession.sparkContext.broadcast(lower)
 
     def add(batches):
         low, langs = shared.value, {}
         for chunk in chunks(batches):
-            every = []
+            every = [np.empty(0, np.int64)]
             for lang, texts in chunk.items():
                 if len(langs) > 64:
                     langs.clear()
@@ -133,38 +114,9 @@ def reached(docs: DataFrame, least: int, bits: int, lower: Bits | None, scratch:
                     pair = unbroken(h, 2)
                     pair[pair] = low[counters(h, 2, low.bits)[pair]]
                     every.append(counters(h, 3, bits)[pair[:-1] & pair[1:]])
-            at, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, np.int64), np.empty(0, np.int64))
-            # a count goes as several of up to 255; beyond the least it tells nothing more
-            n = np.minimum(n, least)
-            times = -(-n // 255)
-            at, n = np.repeat(at, times), np.repeat(n, times)
-            last = np.cumsum(times) - 1
-            full = np.full(len(at), 255, np.int64)
-            full[last] = n[last] - 255 * (times - 1)
-            block, first = np.unique(at >> BLOCK_BITS, return_index=True)
-            places, values = np.split((at & (size - 1)).astype("<u2"), first[1:]), np.split(full.astype(np.uint8), first[1:])
-            yield pd.DataFrame({"block": block.astype(np.int32), "places": [x.tobytes() for x in places][: len(block)], "counts": [x.tobytes() for x in values][: len(block)]})
-
-    def sums(batches):
-        now, total = None, None
-        done = lambda: pd.DataFrame({"block": [now], "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
-        for batch in batches:
-            own = batch["block"].to_numpy()
-            for first, end in zip(starts := np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else [], [*starts[1:], len(own)] if len(own) else []):
-                if now != own[first]:
-                    if now is not None:
-                        yield done()
-                    now, total = int(own[first]), np.zeros(size, np.int64)
-                places = np.frombuffer(b"".join(batch["places"].iloc[first:end]), "<u2")
-                total += np.bincount(places, np.frombuffer(b"".join(batch["counts"].iloc[first:end]), np.uint8), size).astype(np.int64)
-        if now is not None:
-            yield done()
-
-    parts = docs.mapInPandas(add, "block int, places binary, counts binary").repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
-    packed = np.zeros((1 << bits) // 8, np.uint8)
-    for r in scratch.written(parts.mapInPandas(sums, "block int, bits binary"), "bits").collect():
-        packed[r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
-    return Bits(bits, packed)
+            yield entries(np.concatenate(every), least)
+
+    return reached(docs.mapInPandas(add, ENTRIES), bits, least, scratch)
 
 
 def allowed(h: np.ndarray, pairs: Bits, triples: Bits) -> list[np.ndarray]:
@@ -223,10 +175,10 @@ def phrases(docs: DataFrame, least: int = 10, cover: int = 50, most: int = 2000,
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     if bits is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = min(MOST_BITS, max(BLOCK_BITS, int(size // 8).bit_length()))
+        bits = bits_for(size // 8)
     scratch = Scratch(spark, "phrases")
-    pairs = reached(docs, least, bits, None, scratch)
-    triples = reached(docs, least, bits, pairs, scratch)
+    pairs = sketched(docs, least, bits, None, scratch)
+    triples = sketched(docs, least, bits, pairs, scratch)
     f = scratch.written(counted(docs, pairs, triples).where(f"words = 0 OR f >= {int(least)}"), "counts")
     found = top(with_scores(f, cover), most)
     found = written(found.join(f.where("words = 0").select("lang", F.col("f").alias("n")), "lang"), "phrases")
