@@ -105,15 +105,14 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1, pa
     item = np.dtype(dtype).itemsize
     tokens = scratch.written(encoded(docs, tokenizer, end_id, key, text), "tokens")
     # a task reads runs of rows of one or more partitions; their places tell where a run ends
-    made = scratch.written(fragments(tokens.join(F.broadcast(bases(tokens)), "part").select("part", "base", "at", "key", "n", "ids"), width, item), "fragments")
-    whole = made.where(F.col("n") == width).select("sequence_id", "ids", "n", "pieces")
+    made = written(fragments(tokens.join(F.broadcast(bases(tokens)), "part").select("part", "base", "at", "key", "n", "ids"), width, item), "sequences")
+    scratch.clear()
     ends = made.where(F.col("n") < width).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("first", "ids", "n", "pieces"))).alias("f"))
     joined = ends.select("sequence_id", F.expr("aggregate(f, cast('' AS binary), (s, x) -> concat(s, x.ids))").alias("ids"), F.expr("aggregate(f, 0, (s, x) -> s + x.n)").alias("n"), F.flatten("f.pieces").alias("pieces"))
     pad = F.unhex(F.repeat(F.lit(np.array([pad_id], dtype).tobytes().hex()), F.lit(width) - F.col("n")))
-    joined = joined.withColumn("ids", F.concat("ids", pad))
-    out = written(whole.unionByName(joined).select("sequence_id", "ids", F.col("n").alias("n_tokens"), "pieces"), "sequences")
-    scratch.clear()
-    return out
+    joined = written(joined.withColumn("ids", F.concat("ids", pad)), "ends")
+    # what lies inside a partition is read where it was written first
+    return made.where(F.col("n") == width).select("sequence_id", "ids", "n", "pieces").unionByName(joined).withColumnRenamed("n", "n_tokens")
 
 
 def pieces(sequences: DataFrame, width: int = 2048, key: str = "doc_id") -> DataFrame:
