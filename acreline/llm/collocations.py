@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, written
-from .sketch import ENTRIES, Bits, bits_for, entries, reached
+from .sketch import ENTRIES, Bits, bits_for, entries, mixed, reached
 
 #: Characters of texts that make a chunk; a longer text is a chunk of its own.
 CHUNK = 4_000_000
@@ -51,12 +51,6 @@ class Hashes(dict):
         return h
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def counters(h: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The counter of the n words that begin at each place but the last n - 1; of those over a break too."""
     x = mixed(h[: len(h) - n + 1] + np.uint64(n))

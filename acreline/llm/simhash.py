@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from .common import Scratch, shuffle_partitions, written
+from .sketch import ENTRIES, bits_for, entries, mixed, reached
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -232,38 +233,56 @@ def counted(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, similar: float) -> DataFrame:
-    """(s, n, size): the prefix of each text, its rarest 1 - similar shingles in one order for all texts.
+def prefixes(sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """(s, n, size): of the prefix of each text, its rarest 1 - similar shingles in one order for all texts, those that others may have too.
 
-    Two texts of Jaccard similarity similar or more share a shingle of both prefixes, whatever their edits. Wordless texts
+    Two texts of Jaccard similarity similar or more share a shingle of both prefixes, whatever their edits. Shingles of
+    one text alone, nearly all, are left out by a sketch of all prefixes, whose counters are upper bounds. Wordless texts
     share the prefix 0.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(counted(sets))
+    spark = sets.sparkSession
+    order = spark.sparkContext.broadcast(counted(sets))
+    bits = bits_for((1 - similar) * (sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0))
+
+    def own(batch):
+        out = [np.zeros(1, np.uint64)] * len(batch)
+        for i, x in enumerate(batch["shingles"]):
+            if k := len(h := np.frombuffer(x, np.uint64)):
+                by = np.argsort(order.value[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
+                out[i] = h[by[: k - int(np.ceil(similar * k - 1e-9)) + 1]]
+        return out
+
+    counter = lambda h: (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def add(batches):
+        for batch in batches:
+            yield entries(counter(np.concatenate([np.empty(0, np.uint64), *own(batch)])), 2)
+
+    shared = spark.sparkContext.broadcast(reached(sets.select("shingles").mapInPandas(add, ENTRIES), bits, 2, scratch))
 
     def of(batches):
-        counts = shared.value
         for batch in batches:
-            own = [np.zeros(1, np.int64)] * len(batch)
-            for i, x in enumerate(batch["shingles"]):
-                if k := len(h := np.frombuffer(x, np.uint64)):
-                    order = np.argsort(counts[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
-                    own[i] = h[order[: k - int(np.ceil(similar * k - 1e-9)) + 1]].view(np.int64)
-            sizes = [len(x) for x in own]
-            yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.int64), *own]), "n": np.repeat(batch["n"].to_numpy(), sizes), "size": np.repeat(batch["size"].to_numpy(), sizes)})
+            rows = own(batch)
+            sizes, s = [len(x) for x in rows], np.concatenate([np.empty(0, np.uint64), *rows])
+            ok = shared.value[counter(s)]
+            yield pd.DataFrame({"s": s.view(np.int64)[ok], "n": np.repeat(batch["n"].to_numpy(), sizes)[ok], "size": np.repeat(batch["size"].to_numpy(), sizes)[ok]})
 
     return sets.select("n", "size", "shingles").mapInPandas(of, "s long, n long, size long")
 
 
-def shared_prefixes(index: DataFrame, similar: float) -> DataFrame:
-    """(s, n, size, head, head_size, k): the rows of prefixes whose shingle k texts have, two or more; head is one of them.
+def shared_prefixes(index: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """(s, n, size, head, head_size, k, sizes): the rows of prefixes whose shingle k texts have, two or more; head is one of them, sizes the sum of theirs.
 
-    Only texts that have one of similar size in their shingle's texts: in order of size, the one before or behind.
+    Of shingles that the very same texts have (by their number and two sums of 64-bit hashes of them) one stands for all.
+    Everything about a shingle is a sum, added up before it is dealt out, so a shingle of very many texts is no task's work.
     """
-    by_size = Window.partitionBy("s").orderBy("size", "n")
-    every = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = index.select("*", F.min(F.struct("n", "size")).over(every).alias("h"), F.count("*").over(every).alias("k"), F.lag("size").over(by_size).alias("low"), F.lead("size").over(by_size).alias("high"))
-    near = (F.col("low") >= similar * F.col("size") - 1e-9) | (F.col("size") >= similar * F.col("high") - 1e-9)
-    return d.where(near).select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"), "k")
+    index = scratch.written(index, "prefixes")
+    each = index.groupBy("s").agg(
+        F.count("*").alias("k"), F.min(F.struct("n", "size")).alias("h"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("sizes"),
+        F.bit_xor(F.xxhash64("n")).alias("x"), F.sum(F.xxhash64("n", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    each = each.where((F.col("k") > 2) | (F.col("k") == 2) & (F.col("low") >= similar * F.col("high") - 1e-9))
+    each = each.groupBy("k", "x", "y").agg(F.min("s").alias("s"), F.first("h").alias("h"), F.first("sizes").alias("sizes"))
+    return index.join(each.select("s", "h", "k", "sizes"), "s").select("s", "n", "size", F.col("h.n").alias("head"), F.col("h.size").alias("head_size"), "k", "sizes")
 
 
 def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
@@ -319,13 +338,17 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
 
 #: Up to this many numbers of texts are broadcast (under 32 MB).
 BROADCAST_TEXTS = 500_000
+#: A text that is in over so many pairs as x is dealt out in parts.
+PAIRS = 256
+#: So many of such texts are broadcast with their parts; with more of them the limit above grows.
+HOT_TEXTS = 100_000
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch, most: int = 256) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
     """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before shingles are read.
 
-    The shingles of a text that is in more than most pairs as x are dealt out in several parts, so that no task has all
-    pairs of a text.
+    A text that is in very many pairs as x is dealt out in several parts, its sketch and its shingles too, so that no task
+    has all pairs of a text.
     """
 
     @F.pandas_udf(T.BooleanType())
@@ -345,16 +368,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch
             out.append(similarity(x, y) >= similar)
         return pd.Series(out, dtype="bool")
 
-    side = lambda k: sets.select(F.col("n").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    left = scratch.written(pairs.join(side("x"), "x").join(side("y"), "y").where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y"), "candidates")
+    pairs = scratch.written(pairs, "pairs")
+    most = max(PAIRS, pairs.count() // HOT_TEXTS)
+    hot = pairs.groupBy("x").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    hot = F.broadcast(scratch.written(hot, "hot"))
+    pairs = pairs.join(hot, "x", "left").select("x", "y", F.expr("cast(pmod(xxhash64(y), coalesce(parts, 1)) AS int)").alias("part"))
+    of_x = lambda *cols: sets.select(F.col("n").alias("x"), *cols).join(hot, "x", "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    named = lambda k: [F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")]
+    both = pairs.join(of_x(*named("x")), ["x", "part"]).join(sets.select(F.col("n").alias("y"), *named("y")), "y")
+    left = scratch.written(both.where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y", "part"), "candidates")
     # if the candidates' texts are few, by a count, the shingles of all others need not be dealt out
     asked = left.select(F.explode(F.array("x", "y")).alias("n")).distinct()
     if asked.count() <= BROADCAST_TEXTS:
         sets = sets.join(F.broadcast(asked), "n", "left_semi")
-    parts = left.groupBy("x").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    left = left.join(parts, "x").select("x", "y", F.expr("cast(pmod(xxhash64(y), parts) AS int)").alias("part"))
-    first = parts.join(sets.select(F.col("n").alias("x"), F.col("shingles").alias("p")), "x").select("x", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    both = left.join(first, ["x", "part"]).join(sets.select(F.col("n").alias("y"), F.col("shingles").alias("q")), "y")
+    both = left.join(of_x(F.col("shingles").alias("p")), ["x", "part"]).join(sets.select(F.col("n").alias("y"), F.col("shingles").alias("q")), "y")
     return scratch.written(both.where(alike("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
 
 
@@ -364,21 +391,26 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return same / (len(x) + len(y) - same) if len(x) + len(y) else 1.0
 
 
-def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(s, n, size, root, k): the rows of shared with the component of each text."""
-    return shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "size", F.coalesce("root", "n").alias("root"), "k")
+def of_several(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(s, n, size, root, k, sizes): the rows of shared with the component of each text, of shingles whose texts are not all in one."""
+    d = scratch.written(shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "size", F.coalesce("root", "n").alias("root"), "k", "sizes"), "rooted")
+    several = d.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("s")
+    return d.join(several, "s", "left_semi")
 
 
-def close_pairs(found: DataFrame, sets: DataFrame, similar: float, forest: bool, block: int = 512) -> DataFrame:
-    """(x, y, s): pairs of different components in a bucket of found (as of with_roots) whose sketches allow the similarity.
+def close_links(found: DataFrame, sets: DataFrame, similar: float, exact: bool, block: int = 512, shingles: int = 512_000) -> DataFrame:
+    """(x, y, more) of the buckets of found (as of of_several): pairs x, y of different components that join them.
 
-    All of them, or with forest the closest that join the components of a block; then a row (null, null, s) tells that
-    bucket s has more. A bucket is dealt out in pairs of blocks and its rows meet inside a task, so that only pairs that
-    may be similar become rows.
+    A bucket is dealt out in pairs of blocks of about block texts and shingles shingles, whose rows meet inside a task.
+    Of the pairs whose sketches allow the similarity the closest that join all components of a block are given; a row
+    with more, its x a bucket's s, tells that there were others. With exact, pairs are told by the texts' own
+    shingles instead, and given if they have the similarity: the closest first, until all components are joined or no pair
+    is left. Either way a block gives fewer rows than it has texts.
     """
-    d = found.join(sets.select("n", "sketch"), "n").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    more = ["sketch", "shingles"] if exact else ["sketch"]
+    d = found.join(sets.select("n", *more), "n").withColumn("blocks", F.expr(f"cast(greatest(ceil(k / {block}), ceil(sizes / {shingles})) AS int)"))
     d = d.withColumn("b", F.expr("cast(pmod(hash(n), blocks) AS int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    d = d.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "size", "root", "sketch")
+    d = d.select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "size", "root", *more)
     names = ["s", "i", "j"]
     d = d.repartition(shuffle_partitions(found.sparkSession), *names).sortWithinPartitions(*names)
 
@@ -401,13 +433,28 @@ def close_pairs(found: DataFrame, sets: DataFrame, similar: float, forest: bool,
                     if len(ys):
                         apart = np.maximum(np.abs(size[ys] - size[x]), np.bitwise_count(rows ^ own[r]).sum(axis=1, dtype=np.int64))
                         ok = could_be(size[ys] + size[x], apart, similar)
-                        out += [(int(x), int(y), int(z)) for y, z in zip(ys[ok], apart[ok])]
-        return out
+                        out.append(np.stack([np.full(ok.sum(), x), ys[ok], apart[ok]]))
+        return np.concatenate(out, axis=1).T if out else np.empty((0, 3), np.int64)
+
+    def joining(pairs, root, shingle):
+        """The pairs, closest first, that join components; of those whose shingles are given only similar ones."""
+        up, tree = {}, []
+        for x, y, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+            ends = []
+            for r in (root[x], root[y]):
+                while r in up:
+                    up[r] = r = up.get(up[r], up[r])
+                ends.append(r)
+            if ends[0] != ends[1] and (shingle is None or similarity(shingle[x], shingle[y]) >= similar):
+                up[ends[0]] = ends[1]
+                tree.append((x, y))
+        return tree
 
     def of(batches):
         for d in whole_buckets(batches, names):
-            n, size, root, b, i, j = (d[k].to_numpy() for k in ("n", "size", "root", "b", "i", "j"))
-            sketch, out = d["sketch"].to_numpy(), []
+            n, size, root, b, i, j, s = (d[k].to_numpy() for k in ("n", "size", "root", "b", "i", "j", "s"))
+            sketch, links, rest = d["sketch"].to_numpy(), [], []
+            shingle = [np.frombuffer(x, np.uint64) for x in d["shingles"]] if exact else None
             for first, end in bounds(d, names):
                 if end - first == 2 and (root[first] == root[first + 1] or not could_be(size[first] + size[first + 1], abs(size[first] - size[first + 1]), similar)):
                     continue
@@ -415,24 +462,19 @@ def close_pairs(found: DataFrame, sets: DataFrame, similar: float, forest: bool,
                 if (root[k] == root[first]).all():
                     continue
                 pairs = near(n[k], size[k], root[k], b[k], i[first] != j[first], sketch[k])
-                if forest and len(pairs) > 1:
-                    up, tree = {}, []
-                    for x, y, z in sorted(pairs, key=lambda p: p[2]):
-                        ends = []
-                        for r in (int(root[first + x]), int(root[first + y])):
-                            while r in up:
-                                up[r] = r = up.get(up[r], up[r])
-                            ends.append(r)
-                        if ends[0] != ends[1]:
-                            up[ends[0]] = ends[1]
-                            tree.append((x, y, z))
-                    if len(tree) < len(pairs):
-                        out.append((None, None, int(d["s"].iloc[first])))
-                    pairs = tree
-                out += [(int(min(n[first + x], n[first + y])), int(max(n[first + x], n[first + y])), None) for x, y, _ in pairs]
-            yield pd.DataFrame(out, columns=["x", "y", "s"], dtype="Int64").drop_duplicates()
-
-    return d.mapInPandas(of, "x long, y long, s long").distinct()
+                tree = joining(pairs, root[k].tolist(), shingle[k] if exact else None)
+                links += [(n[first + x], n[first + y]) for x, y in tree]
+                if len(tree) < len(pairs) and not exact:
+                    rest.append(s[first])
+            # 64-bit numbers: no column may have both numbers and nulls here
+            if links:
+                x, y = np.array(links, np.int64).T
+                yield pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "more": np.zeros(len(x), bool)}).drop_duplicates()
+            if rest:
+                rest = np.unique(np.array(rest, np.int64))
+                yield pd.DataFrame({"x": rest, "y": rest, "more": np.ones(len(rest), bool)})
+
+    return d.mapInPandas(of, "x long, y long, more boolean").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,7 +484,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     First come candidates by multi-index hashing: texts whose fingerprints lie within max_bits. As such similarity often
     leaves more bits apart, all texts that share a shingle of their prefixes, which every similar pair does, are compared
     as well: the head of each shingle's texts with the others, then in each shingle's texts the closest that verified
-    links do not yet connect, in the end all such pairs, so that no failed candidate stands for another. Equal texts
+    links do not yet connect, in the end all such pairs block by block, so that no failed candidate stands for another. Equal texts
     always count, null as empty, and of rows with equal text and key one stays. Rows with a null key come after all
     others. All columns of docs are kept, whatever their names but _t, _g and _id.
     """
@@ -452,15 +494,17 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     # a number for each different text, fixed as the table is written
     texts = base.groupBy("_g").agg(F.first("_t").alias("_t")).withColumn("n", F.monotonically_increasing_id())
     sets = scratch.written(shingle_sets(texts, width), "sets")
-    shared = scratch.written(shared_prefixes(prefixes(sets, similar), similar), "shared")
+    shared = scratch.written(shared_prefixes(prefixes(sets, similar, scratch), similar, scratch), "shared")
     pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
     pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
     true = verified(pairs, sets, similar, scratch)
-    # in a bucket of several components first the closest pairs that would join them, then all that are left
-    for forest in (True, False):
-        found = scratch.written(close_pairs(with_roots(shared, components(true)), sets, similar, forest), "close")
-        true = true.unionByName(verified(found.where("s IS NULL").select("x", "y"), sets, similar, scratch))
-        shared = shared.join(found.where("s IS NOT NULL").select("s").distinct(), "s", "left_semi")
+    # buckets of several components: first the closest pairs that would join them, then, where there were others, all
+    # pairs by their shingles
+    found = scratch.written(close_links(of_several(shared, components(true), scratch), sets, similar, False), "close")
+    true = true.unionByName(verified(found.where("NOT more").select("x", "y"), sets, similar, scratch))
+    left = shared.join(found.where("more").select(F.col("x").alias("s")), "s", "left_semi")
+    last = scratch.written(close_links(of_several(left, components(true), scratch), sets, similar, True), "last")
+    true = true.unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
     lowest = base.select("_g", F.col(key).alias("doc")).groupBy("_g").agg(F.min("doc").alias("doc"))
     grouped = sets.select("n", "_g").join(lowest, "_g").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))

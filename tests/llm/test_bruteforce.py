@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from acreline.operators.graph import components
-from acreline.llm import chat, decontaminate, html_main, mixing, pii, quality, queries, sharding, simhash, token_store, warc
+from acreline.llm import chat, decontaminate, encode, html_main, mixing, pii, quality, queries, sharding, simhash, token_store, warc
 
 LONG = "alpha beta gamma delta " * 4000
 AWKWARD = [
@@ -45,13 +46,15 @@ def odd(tmp_path_factory):
     pq.write_table(pa.table({"item_id": pa.array([1, 10, 2, None, 3], pa.int64()), "text": pa.array(["alpha beta gamma delta alpha beta gamma delta alpha beta gamma", "a text without a key", "another line", "", None], pa.string())}), d / "benchmark.parquet")
     turns = [(0, 0, "system", "be brief"), (0, 1, "user", "hi <|im_start|>"), (0, 2, "assistant", None), (0, 3, "user", "x " * 3000), (0, 4, "assistant", "y<|" + " y" * 500), (0, 5, None, "<||"), (None, 0, "user", "q\n"), (None, 1, "assistant", "a"), (1, 0, "assistant", "only"), (1, 0, "assistant", "only"), (2, None, "us\ner", "<|nl|>"), (2, 0, "assistant", "")]
     pq.write_table(pa.table({"conv_id": pa.array([x[0] for x in turns], pa.int64()), "turn": pa.array([x[1] for x in turns], pa.int64()), "role": pa.array([x[2] for x in turns], pa.string()), "text": pa.array([x[3] for x in turns], pa.string()), "window": ["w"] * len(turns)}), d / "conversations.parquet")
+    vectors = [(i, [float(i % 5)] * 64) for i in range(40)] + [(None, [1.5] * 64), (50, None), (51, [1.0]), (52, [None] * 64), (53, [float("nan")] * 64), (0, [0.0] * 64)]
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}), d / "embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="module")
 def empty(odd, tmp_path_factory):
     d = tmp_path_factory.mktemp("none")
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         pq.write_table(pq.read_table(f"{odd}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
     return str(d)
 
@@ -502,10 +505,43 @@ def test_near_duplicate_blocks_meet(spark):
     texts = {k: t for k, t in texts.items() if t not in list(texts.values())[:k]}
     prints = simhash.shingle_sets(spark.createDataFrame(list(texts.items()), "n long, _t string"), 5).cache()
     assert len({len(r.sketch) for r in prints.collect()}) == 2
-    one = prints.selectExpr("0L AS s", "n", "size", "n AS root", f"{len(texts)}L AS k")
-    js = similar_groups(texts)[1]
-    got = {(r.x, r.y) for r in simhash.close_pairs(one, prints, 0.8, False, 7).collect()}
-    assert got >= {p for p, j in js.items() if j >= 0.8}
+    one = prints.selectExpr("0L AS s", "n", "size", "n AS root", f"{len(texts)}L AS k", "0L AS sizes")
+    root, js = similar_groups(texts)
+    first = {(r.x, r.y) for r in simhash.close_links(one, prints, 0.8, False, 7).where("NOT more").collect()}
+    last = {(r.x, r.y) for r in simhash.close_links(one, prints, 0.8, True, 7).collect()}
+    assert last <= {p for p, j in js.items() if j >= 0.8} and len(last) >= len(texts) - len(set(root.values()))
+    found = {r.node: r.root for r in components(spark.createDataFrame(sorted(last), "a long, b long")).collect()}
+    assert {n: found.get(n, n) for n in texts} == root
+    assert simhash.close_links(one, prints, 0.8, False, 7).where("more AND x = 0").count() or first >= {p for p, j in js.items() if j >= 0.8}
+    # bounded by the sum of sizes too: a shingle a block
+    assert {(r.x, r.y) for r in simhash.close_links(one.withColumn("sizes", F.lit(900_000)), prints, 0.8, True, shingles=50_000).collect()} <= {p for p, j in js.items() if j >= 0.8}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_duplicate_stage_on_variants(spark, seed):
+    """Many variants of one text just above and below the similarity: no link is lost, in whatever bucket it lies."""
+    texts = {}
+    rng = np.random.default_rng(seed)
+    if seed < 3:
+        vocabulary = [f"w{x}" for x in range(400)]
+        words = list(rng.choice(vocabulary, 200))
+        for v in range(300):
+            own = words.copy()
+            for at in rng.choice(200, rng.integers(1, 10), replace=False):
+                own[at] = str(rng.choice(vocabulary))
+            texts[v] = " ".join(own)
+    else:
+        for family in range(8):
+            words = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+            for v in range(40):
+                own = words.copy()
+                for at in rng.choice(300, rng.integers(1, 12), replace=False):
+                    own[at] = f"v{rng.integers(0, 3000)}"
+                texts[100 * family + v] = " ".join(own)
+    texts = {k: t for k, t in texts.items() if t not in {x for j, x in texts.items() if j < k}}
+    root, js = similar_groups(texts)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
 
 
 def test_op8(spark, tables):
@@ -606,14 +642,14 @@ def test_unicode_forms_do_not_cross_spaces(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    t, ids = Tokenizer.from_file(path), token_store.WordIds(path, "<u2", True)
+    t, ids = Tokenizer.from_file(path), encode.Encoder(path, "<u2")
     rng = np.random.default_rng(3)
-    assert token_store.splits(path) == (True, True)
+    assert ids.pieces
     alphabet = list("abABÀé.,!abΣσςÉé \n\t'sd12.,<|>́  \x1c\x85İıß\U0001f600") + ["<|endoftext|>", "  "]
     for _ in range(300):
         s = "".join(rng.choice(alphabet, 40))
         for form in (s, unicodedata.normalize("NFD", s)):
-            assert np.frombuffer(ids.of(form), "<u2").tolist() == t.encode(form, add_special_tokens=False).ids
+            assert np.frombuffer(ids.of([form])[0], "<u2").tolist() == t.encode(form, add_special_tokens=False).ids
 
 
 def test_op10_budget_holds(spark):
