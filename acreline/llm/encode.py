@@ -65,9 +65,10 @@ class Encoder:
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list(set().union(*cut).difference(self.known))
+        got = [list(map(self.known.get, c)) for c in cut]
+        new = list({p for c, ids in zip(cut, got) if None in ids for p, x in zip(c, ids) if x is None})
         self.known.update(zip(new, self.apart(new)))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        out = [b"".join(map(self.known.__getitem__, c) if None in ids else ids) for c, ids in zip(cut, got)]
         for p in new:
             if len(p) > 64:
                 del self.known[p]

@@ -10,11 +10,9 @@ before its own), with a stored fingerprint, shard, first row and number of rows
 from __future__ import annotations
 
 import io
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,94 +21,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import file_system, new_dir, put_file, shuffle_partitions
+from .encode import encoder, id_type, parts
 
 HEAD = b"TOKSHARD"
-#: Words whose ids a task remembers; beyond it the memory begins anew.
-REMEMBERED = 1_000_000
 SHARD_BYTES = 128 << 20
 BUCKET_KEYS = 1_000_000
 
 
-#: A run of letters with signs behind it; such a piece's words are the letters and the signs.
-PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
-
-
-class WordIds(dict):
-    """Ids of space-separated pieces, as the library gives them, remembered.
-
-    The tokenizer must not join across spaces and must treat runs of them alike, as those do that split at white space.
-    With plain, it also lowers case and forms words of letters and of signs apart: then Word, has the ids of word and of
-    the comma. That is used for Latin letters alone, which no normal form changes.
-    """
-
-    def __init__(self, path: str, dtype: str, plain: bool):
-        super().__init__()
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.dtype, self.plain = Tokenizer.from_file(path), dtype, plain
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def __missing__(self, piece: str) -> bytes:
-        m = PLAIN.fullmatch(piece) if self.plain else None
-        if m and max(piece) < "\u0250" and "\u0130" not in piece and m[1].isalpha():
-            low = m[1].lower()
-            if low != piece:
-                ids = self[low] + self[m[2]] if m[2] else self[low]
-            else:
-                # what encode does to a bare word, without what it does around it
-                mapped = low if low.isascii() else self.bytes.pre_tokenize_str(low)[0][0]
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.dtype).tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str, dtype: str, plain: bool) -> WordIds:
-    """One for each worker process, so that a task begins with what the last one has seen."""
-    return WordIds(path, dtype, plain)
-
-
-def splits(path: str) -> tuple[bool, bool]:
-    """Whether pieces between spaces are independent, and whether letters and signs are words of their own in lower case.
-
-    Read from the tokenizer's file: it drops white space before it forms words; it lowers case and its pattern has the
-    alternatives of a run of letters and of a run of other signs.
-    """
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
-    pre, norm = whole.get("pre_tokenizer") or {}, whole.get("normalizer") or {}
-    parts = pre.get("pretokenizers", [pre])
-    cut = [p for p in parts if p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
-    at_spaces = bool(cut) or any(p.get("type") in ("Whitespace", "WhitespaceSplit") for p in parts)
-    rules = cut[0]["pattern"].get("Regex", "").split("|") if cut else []
-    kinds = {n.get("type") for n in norm.get("normalizers", [norm])}
-    own = [p.get("type") for p in parts] == ["Split", "ByteLevel"] and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
-    return at_spaces, own and {"[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"} <= set(rules) and "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"}
-
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards of docs in ascending order of key below out; gives the written manifest: key, h1, h2, shard, row, n_tokens.
 
-    Every text is encoded to its end and end_id appended; null is empty. Where the tokenizer's file shows that pieces
-    between spaces are independent, the pieces are encoded and remembered (WordIds), else the text as one. Null keys come first; rows of equal keys are ordered
-    by text. Shards are ranges of keys, each written by one task under a name that a rerun gives it again.
+    Every whole text is encoded by the library (encode.Encoder) and end_id appended; null is empty. Null keys come first;
+    rows of equal keys are ordered by text. Shards are ranges of keys, each written by one task under a name that a rerun gives it again.
     """
-    from tokenizers import Tokenizer
-
-    words = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
-    dtype, (exact, plain) = "<u2" if max(words, end_id + 1) <= 65536 else "<u4", splits(tokenizer)
+    dtype = id_type(tokenizer, end_id)
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16), F.lit(0)).alias("n")).first().n
     n = max(shuffle_partitions(spark), -(-int(size) // SHARD_BYTES))
@@ -119,17 +44,17 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, keys, first = TaskContext.get().partitionId(), [], [0]
-        ids, end = word_ids(tokenizer, dtype, plain), np.array([end_id], dtype).tobytes()
-        whole = lambda x: np.array(ids.tokenizer.encode(x or "", add_special_tokens=False).ids, dtype).tobytes()
+        end = np.array([end_id], dtype).tobytes()
 
         def fill(f):
             f.write(HEAD + struct.pack("<HHI", 1, np.dtype(dtype).itemsize, 0))
             for batch in batches:
-                for k, t in zip(batch["k"], batch["t"]):
-                    own = (ids.of(t) if exact else whole(t)) + end
-                    f.write(own)
-                    keys.append(None if pd.isna(k) else k)
-                    first.append(first[-1] + len(own) // np.dtype(dtype).itemsize)
+                texts = batch["t"].tolist()
+                for a, b in parts(texts):
+                    for k, own in zip(batch["k"].iloc[a:b], encoder(tokenizer, dtype).of(texts[a:b])):
+                        f.write(own + end)
+                        keys.append(None if pd.isna(k) else k)
+                        first.append(first[-1] + len(own + end) // np.dtype(dtype).itemsize)
             f.write(np.array(first, "<u8").tobytes())
             f.write(struct.pack("<Q", len(keys)))
 
