@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 #: Words of one suffix array; a longer document gets an array of its own.
 SHARD_WORDS = 2_000_000
@@ -233,28 +233,42 @@ def with_matches(docs: DataFrame, tests: DataFrame, window: int = 10, text: str
     words) in the document and in one of the items that have it. Null and wordless texts have nothing; test texts without
     words are never found; equal and repeated rows are judged alike; empty tables give empty results or no hits.
 
-    What is broadcast is a block of test texts of about BLOCK_BYTES. With more of them the blocks are searched one after
-    another, and the documents with what was found so far are written between, so that no task holds two blocks.
+    What is broadcast is a block of test texts of about BLOCK_BYTES. With more of them each block's matches are written
+    as narrow rows by document, without the documents, of those that have some; in the end they are added up by document
+    and joined once. The tests are read once, into one table of all blocks.
     """
+    spark = docs.sparkSession
     t = tests.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = t.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    d, spark = docs.drop(out), docs.sparkSession
+    rest = [c for c in docs.columns if c != out]
+    if blocks == 1:
+        search, _ = search_block([(r.i, r.t) for r in t.toLocalIterator()], window, spark)
+        return docs.select(*rest, search(F.col(text)).alias(out))
+    scratch = Scratch(spark, "blocks")
+    t = scratch.written(t.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "tests")
+    # a row is known by its text's digest: equal texts have equal matches
+    d = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("g"))
+    found = None
     for b in range(blocks):
-        own = t if blocks == 1 else t.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        search, shared = search_block([(r.i, r.t) for r in own.toLocalIterator()], window, spark)
-        if b == 0:
-            d = d.withColumn(out, search(F.col(text)))
-        else:
-            d = d.withColumn("_more", search(F.col(text)))
-            both = lambda f: F.concat(F.col(f"{out}.{f}"), F.col(f"_more.{f}"))
-            d = d.withColumn(out, F.struct(F.col(f"{out}.words").alias("words"), F.array_sort(F.array_distinct(both("hits"))).alias("hits"), F.array_sort(F.array_distinct(both("items"))).alias("items"), both("matches").alias("matches"))).drop("_more")
-        if b < blocks - 1:
-            d = written(d, "matched")
-            shared.unpersist()
-    return d.select(*[c for c in docs.columns if c != out], out)
+        search, shared = search_block([(r.i, r.t) for r in t.where(F.col("b") == b).select("i", "t").toLocalIterator()], window, spark)
+        own = scratch.written(d.select("g", search(F.col("t")).alias("m")).where("size(m.hits) > 0").select("g", "m.*"), "matches")
+        own = own.dropDuplicates(["g"])
+        found = own if found is None else found.unionByName(own)
+        shared.unpersist()
+    every = lambda f: F.flatten(F.collect_list(f))
+    found = found.groupBy("g").agg(F.array_sort(F.array_distinct(every("hits"))).alias("hits"), F.array_sort(F.array_distinct(every("items"))).alias("items"), every("matches").alias("matches"))
+    found = written(found, "matched")
+    scratch.clear()
+    search, _ = search_block([], window, spark)
+    none = d.withColumn("m", search(F.col("t"))).join(found, "g", "left")
+    both = lambda f: F.coalesce(F.col(f), F.col(f"m.{f}")).alias(f)
+    return none.select("row.*", F.struct(F.col("m.words").alias("words"), both("hits"), both("items"), both("matches")).alias(out))
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of a test text, with the columns of docs; nothing is shuffled."""
-    return with_matches(docs, tests, window, text, item, item_text, "_matched").where(F.size("_matched.hits") == 0).select(*docs.columns)
+    """docs without the rows that hold a window of a test text, with the columns of docs, whatever their names; with one block of tests nothing is shuffled."""
+    out = "matched"
+    while out in docs.columns:
+        out += "_"
+    return with_matches(docs, tests, window, text, item, item_text, out).where(F.size(f"{out}.hits") == 0).select(*docs.columns)
