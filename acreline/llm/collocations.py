@@ -1,10 +1,11 @@
 """Phrase collocations: candidates from sketch upper bounds, counted by automata.
 
 A first pass adds the hashes of all words and pairs of words to a sketch, whose counters are upper bounds of their counts; a
-second one those of the triples whose pairs may be frequent. Of a sketch only one bit a counter is kept: whether it
-reaches the least count. A last pass scans the texts in chunks: the phrases of a chunk that all bits allow are compiled
-into automata, which count all their overlapping occurrences; chunks' counts are summed. Every occurrence of a phrase that
-reaches the least count is counted, as its bits are set; one that does not is dropped by its exact count afterwards.
+second one those of the triples whose pairs may be frequent, and of the words of such pairs. Of a sketch only one bit a
+counter is kept: whether it reaches the least count. A last pass scans the texts in chunks: the phrases of a chunk that all
+bits allow are compiled into automata, which count all their overlapping occurrences; chunks' counts, and those of the
+pairs' words, are summed. Every occurrence of a phrase that reaches the least count is counted, as its bits are set; one
+that does not is dropped by its exact count afterwards.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import Scratch, written
 from .sketch import ENTRIES, Bits, bits_for, entries, mixed, reached
 
 #: Characters of texts that make a chunk; a longer text is a chunk of its own.
-CHUNK = 4_000_000
+CHUNK = 6_000_000
 #: Phrases of one automaton (some 100 MB); a chunk with more is scanned by several.
 PHRASES = 150_000
 #: Bytes that end a piece become BREAK, which no word has.
@@ -37,18 +38,22 @@ def tokens(text: str | None) -> list[bytes]:
     return ((text or "").encode("utf-8", "surrogatepass").translate(_PIECES) + BREAK).replace(BREAK, b" . ").split()
 
 
-class Hashes(dict):
-    """64-bit hashes of a language's words, remembered; 0 stands for BREAK alone."""
+class Numbers(dict):
+    """Numbers of a language's words, from 1 on; 0 stands for BREAK alone. hashes has 64 bits for each number, 0 for BREAK."""
 
     def __init__(self, lang: str):
-        self.seed = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+        self.seed, self.known = zlib.crc32(lang.encode("utf-8", "surrogatepass")), [0]
         self[BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed) or 1
-        if len(self) < 1_000_000:
-            self[word] = h
-        return h
+        self[word] = n = len(self.known)
+        self.known.append(xxhash.xxh64_intdigest(word, self.seed) or 1)
+        return n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, hashes) of words."""
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ids, np.array(self.known, np.uint64)[ids]
 
 
 def counters(h: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -94,55 +99,80 @@ def sketched(docs: DataFrame, least: int, bits: int, lower: Bits | None, scratch
     shared = docs.sparkSession.sparkContext.broadcast(lower)
 
     def add(batches):
-        low, langs = shared.value, {}
+        low = shared.value
         for chunk in chunks(batches):
-            every = [np.empty(0, np.int64)]
+            every, sure = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lang, texts in chunk.items():
-                if len(langs) > 64:
-                    langs.clear()
-                known = langs.setdefault(lang, Hashes(lang))
-                h = np.fromiter(map(known.__getitem__, words_of(texts)), np.uint64)
+                _, h = Numbers(lang).of(words_of(texts))
                 if low is None:
                     every += [counters(h, n, bits)[unbroken(h, n)] for n in (1, 2)]
                 elif len(h) > 2:
                     pair = unbroken(h, 2)
                     pair[pair] = low[counters(h, 2, low.bits)[pair]]
                     every.append(counters(h, 3, bits)[pair[:-1] & pair[1:]])
-            yield entries(np.concatenate(every), least)
+                    sure.append(np.unique(counters(h, 1, bits)[covered(len(h), np.flatnonzero(pair), 2)]))
+            yield entries(np.concatenate(every), least, np.concatenate(sure))
 
     return reached(docs.mapInPandas(add, ENTRIES), bits, least, scratch)
 
 
+def covered(size: int, at: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of size places lies in one of the n places from those of at on."""
+    out = np.zeros(size, bool)
+    for i in range(n):
+        out[at + i] = True
+    return out
+
+
 def allowed(h: np.ndarray, pairs: Bits, triples: Bits) -> list[np.ndarray]:
-    """Where words, pairs and triples begin that every sketch allows."""
+    """Where pairs and triples begin that every sketch allows."""
     one = unbroken(h, 1)
     one[one] = pairs[counters(h, 1, pairs.bits)[one]]
     two = one[:-1] & one[1:]
     two[two] = pairs[counters(h, 2, pairs.bits)[two]] if len(h) > 1 else False
     three = two[:-1] & two[1:]
     three[three] = triples[counters(h, 3, triples.bits)[three]] if len(h) > 2 else False
-    return [np.flatnonzero(x) for x in (one, two, three)]
+    return [np.flatnonzero(two), np.flatnonzero(three)]
+
+
+def different(ids: np.ndarray, at: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(place, n) of one occurrence of each different pair and triple of numbers that begins at places at."""
+    two, three = at
+    size = int(ids.max(initial=0)) + 1
+    _, first = np.unique(ids[two] * size + ids[two + 1], return_index=True)
+    _, rank = np.unique(ids[three] * size + ids[three + 1], return_inverse=True)
+    _, other = np.unique(rank * size + ids[three + 2], return_index=True)
+    return [(int(i), 2) for i in two[first]] + [(int(i), 3) for i in three[other]]
 
 
 def counted(docs: DataFrame, pairs: Bits, triples: Bits) -> DataFrame:
-    """(lang, phrase, words, f): occurrences of the phrases of one to three words that the sketches allow; phrase null: all words."""
+    """(lang, phrase, words, f): occurrences of the pairs and triples that the sketches allow, and of the words of pairs; phrase null: all words."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((pairs, triples))
 
     def of(batches):
-        two, three = shared.value
+        low, high = shared.value
         for chunk in chunks(batches):
             for lang, texts in chunk.items():
                 words = words_of(texts)
-                known = Hashes(lang)
-                h = np.fromiter(map(known.__getitem__, words), np.uint64)
-                at = allowed(h, two, three)
-                line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-                phrases = {b" ".join(words[i : i + n]) for n, places in enumerate(at, 1) for i in places.tolist()}
-                phrases = [p.decode("utf-8", "surrogatepass") for p in phrases]
+                numbers = Numbers(lang)
+                ids, h = numbers.of(words)
                 yield pd.DataFrame({"lang": lang, "phrase": [None], "words": 0, "f": int((h != 0).sum())})
-                for first in range(0, len(phrases), PHRASES):
-                    own = phrases[first : first + PHRASES]
+                # words of pairs that may be frequent, wherever they are
+                counts, known = np.bincount(ids), np.array(numbers.known, np.uint64)
+                counts[0] = 0
+                some = np.flatnonzero((counts > 0) & high[counters(known, 1, high.bits)])
+                names = list(numbers)
+                if len(some):
+                    yield pd.DataFrame({"lang": lang, "phrase": [names[i].decode("utf-8", "surrogatepass") for i in some], "words": np.ones(len(some), np.int32), "f": counts[some]})
+                at = allowed(h, low, high)
+                found = [b" ".join(words[i : i + n]).decode("utf-8", "surrogatepass") for i, n in different(ids, at)]
+                # what lies in no phrase becomes a delimiter
+                inside = covered(len(h), at[0], 2)
+                kept = np.flatnonzero(inside | np.concatenate(([False], inside[:-1])))
+                line = f" {b' '.join([words[i] if inside[i] else BREAK for i in kept.tolist()]).decode('utf-8', 'surrogatepass')} "
+                for first in range(0, len(found), PHRASES):
+                    own = found[first : first + PHRASES]
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                     for i, p in enumerate(own):
                         automaton.add_word(f" {p} ", i)

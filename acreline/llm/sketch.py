@@ -37,9 +37,15 @@ class Bits:
         return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def entries(at: np.ndarray, least: int) -> pd.DataFrame:
-    """Rows (block, places, counts) of the counters at, repeats counted: 3 bytes for each different one."""
+def entries(at: np.ndarray, least: int, sure: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows (block, places, counts) of the counters at, repeats counted: 3 bytes for each different one. Those of sure count as the least."""
     at, n = np.unique(at, return_counts=True)
+    if sure is not None:
+        both = np.union1d(at, sure)
+        count = np.zeros(len(both), np.int64)
+        count[np.searchsorted(both, at)] = n
+        count[np.searchsorted(both, np.unique(sure))] = least
+        at, n = both, count
     # beyond the least a count tells nothing more; one over 255 goes as several
     n = np.minimum(n, least)
     times = -(-n // 255)
