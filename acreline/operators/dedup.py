@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..scratch import written
+from ..scratch import Scratch, written
 from .graph import components
 
 
@@ -88,24 +88,56 @@ def greedy_fast(listings: DataFrame, index: DataFrame, order: list[Column]) -> D
     return first_of(new, ["fingerprint"], order)
 
 
+def with_firsts(rows: DataFrame, by: str) -> DataFrame:
+    """rows with how many of the rows of by come before (0, 1, or 2 for more) and the first of them; nulls share nothing."""
+    one = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("k").alias("_1"))
+    two = rows.join(one, by).where("k > _1").groupBy(by).agg(F.min("k").alias("_2"))
+    before = F.when(F.col("_1").isNull() | (F.col("k") == F.col("_1")), 0).when(F.col("k") == F.col("_2"), 1).otherwise(2)
+    return rows.join(one.join(two, by, "left"), by, "left").withColumn(f"before_{by}", before).withColumnRenamed("_1", f"first_{by}").drop("_2")
+
+
+def at_anchors(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, to, odd) of nodes (k, waits, parent): the row at which a line of single parents ends, and whether it has an odd number of steps.
+
+    Each round doubles the steps, so a line of n rows takes about log2(n) rounds. Rows at their end leave the rounds.
+    """
+    now = nodes.select("k", F.coalesce("parent", "k").alias("to"), F.col("parent").isNotNull().alias("odd"))
+    ended, going = now.where("k = to"), now.where("k <> to")
+    while not going.isEmpty():
+        step = now.select(F.col("k").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        d = scratch.written(going.join(step, "to").select("k", F.col("next").alias("to"), (F.col("odd") != F.col("more")).alias("odd"), (F.col("next") == F.col("to")).alias("done")), "steps")
+        ended = ended.unionByName(d.where("done").select("k", "to", "odd"))
+        going = d.where("NOT done").select("k", "to", "odd")
+        now = ended.unionByName(going)
+    return ended
+
+
 def in_rounds(rows: DataFrame) -> DataFrame:
     """rows (k, u, fingerprint) that the sequential rule keeps, by joins alone.
 
-    A round keeps the rows that are the first left of both their url and their fingerprint, and drops all others of
-    these; no row is gathered with its chain. Rows in arbitrary order need few rounds.
+    A row waits for the rows before it that share its url or fingerprint. One that waits for none is kept; one that waits
+    for a single row is kept if that one is not, so a line of such rows is kept in turns from its first row on, and all of
+    a line is decided at once by the number of steps to it. A round keeps these rows and drops all that share a key with
+    them. A chain in strict order of any length takes one round of some log2(length) joins, rows in arbitrary order few
+    rounds; no row is gathered with its chain. Pairs of url and fingerprint must be different.
     """
-    left, kept = written(rows, "left"), None
+    scratch = Scratch(rows.sparkSession, "rounds")
+    left, kept = scratch.written(rows.select("k", "u", "fingerprint"), "left"), None
     while not left.isEmpty():
-        first_u = left.groupBy("u").agg(F.min("k").alias("_mu"))
-        first_f = left.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("_mf"))
-        d = left.join(first_u, "u").join(first_f, "fingerprint", "left")
-        now = written(d.where("k = _mu AND (fingerprint IS NULL OR k = _mf)").select("k", "u", "fingerprint"), "kept")
+        d = with_firsts(with_firsts(left, "u"), "fingerprint").withColumn("waits", F.col("before_u") + F.col("before_fingerprint"))
+        parent = F.when(F.col("waits") == 1, F.when(F.col("before_u") == 1, F.col("first_u")).otherwise(F.col("first_fingerprint")))
+        nodes = scratch.written(d.select("k", "u", "fingerprint", "waits", parent.alias("parent")), "nodes")
+        first = nodes.where("waits = 0").select(F.col("k").alias("to"))
+        chosen = at_anchors(nodes.select("k", "waits", "parent"), scratch).where("NOT odd").join(first, "to", "left_semi")
+        now = scratch.written(nodes.join(chosen.select("k"), "k").select("k", "u", "fingerprint"), "kept")
         kept = now if kept is None else kept.unionByName(now)
-        left = written(left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti").select("k", "u", "fingerprint"), "left")
-    return left.limit(0) if kept is None else kept
+        left = scratch.written(left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti").select("k", "u", "fingerprint"), "left")
+    out = written(left.limit(0) if kept is None else kept, "kept")
+    scratch.clear()
+    return out
 
 
-def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows: int = 50_000) -> DataFrame:
+def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows: int = 1_000) -> DataFrame:
     """listings with kept and duplicate_of (url, fingerprint, session): the sequential rule, exact for any batch.
 
     In order of key a listing is kept if neither its url nor its fingerprint is in the index or was kept before; only kept

@@ -1,6 +1,6 @@
 """Every operator as a query on the test tables, with its SQL where SQL can express it."""
 
-from . import core, stores, texts  # noqa: F401
+from . import core, stores, streams, texts  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -175,14 +175,14 @@ def joi04_county_link(spark, sf):
     return lookup.through_links(d, counties(spark, sf)).select("id", "county")
 
 
-BAND = """, li AS (SELECT *, row_number() OVER () AS r FROM listing WHERE acres >= 40), ix AS (SELECT *, floor(acres / 5 + 0.5) * 5 AS b FROM li WHERE l_linenumber <= 2), qs AS (SELECT *, floor(acres / 5 + 0.5) * 5 AS b FROM li WHERE l_linenumber > 4)"""
+BAND = """, li AS (SELECT *, row_number() OVER () AS r FROM listing WHERE acres >= 40), ix AS (SELECT *, floor(acres / 5 + 0.5) * 5 AS b FROM li WHERE l_linenumber <= 2), qs AS (SELECT *, floor(acres / 5 + 0.5) * 5 AS b FROM li WHERE l_linenumber > 2)"""
 
 
 @query(BAND + "SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ix WHERE ix.nk = qs.nk AND ix.b = qs.b AND abs(ix.price - qs.price) / least(ix.price, qs.price) <= 0.10)) AS suspects, count(*) FILTER (url IN (SELECT url FROM ix)) AS same_url FROM qs")
 def joi05_duplicate_layers(spark, sf):
     d = dedup.with_keys(listings(spark, sf).where("acres >= 40")).withColumn("seq", F.xxhash64(*ARRIVAL))
     index = d.where("l_linenumber <= 2").select("seq", "url", F.lit(None).cast("string").alias("fingerprint"), "location_key", "price")
-    out = dedup.against_index(d.where("l_linenumber > 4"), index)
+    out = dedup.against_index(d.where("l_linenumber > 2"), index)
     return out.agg(F.count("*").alias("n"), F.count("suspect").alias("suspects"), F.count_if(F.col("duplicate_of") == "url").alias("same_url"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import dedup, lookup, pricecheck, report
+from ..operators import dedup, lookup, pricecheck, report, spatial
 from ..plans import search
 from ..sources import sinks, stores
 from .tables import counties, events, fetch_log, nations, new_folder, query, records, table
@@ -152,6 +152,30 @@ def src19_flood_zone(spark, sf):
     return stores.with_flood_zone(records(spark, sf).withColumn("coordinates", F.when(F.col("id") % 4 == 0, "somewhere").otherwise(spot)), zones).select("id", "zone")
 
 
+#: Zones around suppliers: a square with a notch in its northern side and a square hole, east of them a square without.
+ZONE_SHAPES = """z AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'ae' WHEN 1 THEN 'X' WHEN 2 THEN 'Ve' END AS zone, 25.0::DOUBLE + s_suppkey % 24 AS cy, -120.0::DOUBLE + s_nationkey * 2 AS cx FROM supplier),
+e AS (SELECT k, zone, unnest([[cx - 1, cy - 1, cx + 1, cy - 1], [cx + 1, cy - 1, cx + 1, cy + 1], [cx + 1, cy + 1, cx, cy + 0.25], [cx, cy + 0.25, cx - 1, cy + 1], [cx - 1, cy + 1, cx - 1, cy - 1],
+  [cx - 0.5, cy - 0.5, cx, cy - 0.5], [cx, cy - 0.5, cx, cy], [cx, cy, cx - 0.5, cy], [cx - 0.5, cy, cx - 0.5, cy - 0.5],
+  [cx + 1.5, cy, cx + 2, cy], [cx + 2, cy, cx + 2, cy + 0.5], [cx + 2, cy + 0.5, cx + 1.5, cy + 0.5], [cx + 1.5, cy + 0.5, cx + 1.5, cy]]) AS e FROM z WHERE zone IS NOT NULL),
+p AS (SELECT *, o_orderkey % 7 = 0 OR y > 50 AS unread FROM (SELECT o_orderkey, o_orderkey AS id, cast(printf('%.3f', 24.0::DOUBLE + (o_custkey % 1051) / 40.0::DOUBLE) AS double) AS y, cast(printf('%.3f', -123.0::DOUBLE + (o_orderkey % 2203) / 40.0::DOUBLE) AS double) AS x FROM orders)),
+h AS (SELECT id, k, zone, bool_or((e[3] - e[1]) * (y - e[2]) - (e[4] - e[2]) * (x - e[1]) = 0 AND x BETWEEN least(e[1], e[3]) AND greatest(e[1], e[3]) AND y BETWEEN least(e[2], e[4]) AND greatest(e[2], e[4])) AS side,
+  count(*) FILTER ((e[2] > y) <> (e[4] > y) AND x < (e[3] - e[1]) * (y - e[2]) / (e[4] - e[2]) + e[1]) AS n
+  FROM p JOIN e ON e[2] < y + 3 AND e[2] > y - 3 WHERE NOT unread GROUP BY id, k, zone)"""
+
+
+@query(f""", {ZONE_SHAPES} SELECT p.id, CASE WHEN unread THEN NULL ELSE coalesce(upper(b.zone), 'NONE') END AS zone
+FROM p LEFT JOIN (SELECT id, arg_min(zone, (zone = 'X', k)) AS zone FROM h WHERE side OR n % 2 = 1 GROUP BY id) AS b ON p.id = b.id""")
+def src19_flood_polygons(spark, sf):
+    """Spots of all orders in zones with notches, holes and islands, many of them on borders."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("zone_id"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'ae' WHEN 1 THEN 'X' WHEN 2 THEN 'Ve' END").alias("zone"), (25.0 + F.col("s_suppkey") % 24).alias("cy"), (-120.0 + F.col("s_nationkey") * 2).alias("cx"))
+    ring = lambda *at: F.array(*[F.struct((F.col("cx") + a).alias("x"), (F.col("cy") + b).alias("y")) for a, b in at])
+    rings = F.array(ring((-1, -1), (1, -1), (1, 1), (0, 0.25), (-1, 1)), ring((-0.5, -0.5), (0, -0.5), (0, 0), (-0.5, 0)), ring((1.5, 0), (2, 0), (2, 0.5), (1.5, 0.5)))
+    o = table(spark, sf, "orders")
+    lat, lng = 24.0 + (F.col("o_custkey") % 1051) / 40.0, -123.0 + (F.col("o_orderkey") % 2203) / 40.0
+    spots = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "by the river").otherwise(F.concat(F.format_string("%.3f", lat), F.lit(", "), F.format_string("%.3f", lng))).alias("coordinates"))
+    return spatial.in_flood_zones(spots, s.withColumn("rings", rings), cell=0.25).select("id", "zone")
+
+
 @query("SELECT * FROM (VALUES ('name'), ('county_link'), ('fingerprint'), ('notes')) t(field)")
 def src20_missing_fields(spark, sf):
     return spark.createDataFrame([(f,) for f in stores.missing_fields(records(spark, sf))], "field string")
@@ -314,9 +338,9 @@ def snk10_state_prune(spark, sf):
     return pricecheck.pruned_state(r.select("id", F.col("created").alias("checked")), r.where("id % 2 = 0"))
 
 
-@query("SELECT page_id, length(substr(html, 1, 2000)) AS n FROM pages")
+@query("SELECT page_id, length(substr(html, 1, 500000)) AS n FROM pages")
 def snk11_evidence(spark, sf):
-    return sinks.evidence(table(spark, sf, "pages"), 2000).select("page_id", F.length("html").cast("bigint").alias("n"))
+    return sinks.evidence(table(spark, sf, "pages")).select("page_id", F.length("html").cast("bigint").alias("n"))
 
 
 @query("SELECT page_id, length(substr(html, 1, 500000)) AS n FROM pages")

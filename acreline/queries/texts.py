@@ -387,10 +387,10 @@ def plugin_counts(d):
     return cards.search_listings(d).groupBy("site").agg(F.countDistinct("k").alias("n"))  # eleven sites
 
 
-@query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) WHERE k <= 20 GROUP BY 1")
+@query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) GROUP BY 1")
 def udf01_plugins(spark, sf):
-    """Every registered site reads its own kind of page."""
-    return plugin_counts(places(spark, sf).where("k <= 20"))
+    """Every registered site reads its own kind of page, for all places."""
+    return plugin_counts(places(spark, sf))
 
 
 @query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) GROUP BY 1")
@@ -436,11 +436,15 @@ def str04_price_state_stream(spark, sf):
     return jobs.drained(jobs.price_states(d), "prices").select("id", "price", "stored", "dropped")
 
 
-@query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT user_id AS id, event_id AS seq, CASE WHEN k < least(ended, failed) THEN 'Retry' WHEN failed < ended THEN 'Failed' ELSE status END AS status FROM (
+  SELECT *, coalesce(min(k) FILTER (event_type <> 'error') OVER w, 1000000000) AS ended, coalesce(min(k) FILTER (event_type = 'error' AND errors = 2) OVER w, 1000000000) AS failed,
+    first(CASE event_type WHEN 'purchase' THEN 'Added' WHEN 'signup' THEN 'Duplicate' ELSE 'Failed' END ORDER BY event_type = 'error', k) OVER w AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events) WINDOW w AS (PARTITION BY user_id))""")
 def str05_attempts_stream(spark, sf):
+    """The status after every attempt."""
     outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "added").when(F.col("event_type") == "signup", "duplicate").otherwise("rejected")
     d = event_stream(spark, sf).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), outcome.alias("outcome"))
-    return jobs.drained(jobs.attempts(d), "attempts").groupBy("id").agg(F.count("*").alias("n"))
+    return jobs.drained(jobs.attempts(d), "attempts").select("id", "seq", "status")
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
