@@ -201,7 +201,8 @@ class AskOnce(Processor):
         ts, seq, price, acres, text = card
         if page:
             price, acres = price or page[0], acres or page[1]
-            text = page[2] if not text else text if not page[2] or page[2] in text else f"{text}\n{page[2]}"
+            one, other = text or "", page[2] or ""
+            text = one if other in one else other if one in other else f"{one}\n{other}"
         return url, ts, seq, kind, price, acres, text
 
     def waiting(self, url, page, kind):
@@ -215,6 +216,10 @@ class AskOnce(Processor):
             page, clean = self.page.get() if self.page.exists() else None, lambda x: None if pd.isna(x) else x
             for r in in_order(rows).itertuples():
                 price, acres, text = clean(r.price), clean(r.acres), clean(r.description)
+                if asked is not None and ms(r.ts) >= asked + self.keep:
+                    yield from self.waiting(url, page, "failed")
+                    asked = page = None
+                    self.page.clear()
                 if asked is not None and page is None and ms(r.ts) >= asked + self.wait:
                     yield from self.waiting(url, None, "failed")
                 if r.stage == "page":
@@ -244,8 +249,10 @@ class AskOnce(Processor):
         yield from self.frames(steps())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.frames(self.waiting(key[0], None, "failed"))
-        if self.state.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.state.get()[0] + self.keep:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.state.exists() and now >= self.state.get()[0] + self.wait:
+            yield from self.frames(self.waiting(key[0], None, "failed"))
+        if self.state.exists() and now >= self.state.get()[0] + self.keep:
             self.state.clear()
             self.page.clear()
 
