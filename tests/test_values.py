@@ -153,3 +153,34 @@ def test_phrases_agree_with_their_patterns_alone(spark):
     plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(text.phrase_pattern(p)), F.lit(p)) for p in every]))
     assert all(r.got == r.want for r in d.select(text.present(F.col("t"), every).alias("got"), plain.alias("want")).collect())
     assert [r.a for r in d.select(text.availability(F.col("t")).alias("a")).collect()][3:7] == [["sold"], [], [], []]
+
+
+def chain(n, order):
+    """n listings, each sharing a url with the one before it and a fingerprint with the one after, or the other way round."""
+    return [(order(i), f"u{(i + 1) // 2}", f"f{i // 2}") for i in range(n)]
+
+
+@pytest.mark.parametrize("order", ["forward", "backward", "shuffled", "halves"])
+def test_long_chains_take_few_rounds(spark, order, monkeypatch):
+    """Chains of thousands of rows in strict order equal the loop, in rounds that grow with the logarithm of their length."""
+    n = 3000
+    place = list(range(n))
+    random.Random(1).shuffle(place)
+    by = {"forward": lambda i: i, "backward": lambda i: n - i, "shuffled": lambda i: place[i], "halves": lambda i: i if i % 2 else n + i}[order]
+    rows = chain(n, by)
+    written, count = dedup.Scratch.written, []
+    monkeypatch.setattr(dedup.Scratch, "written", lambda self, df, name: count.append(name) or written(self, df, name))
+    got = {r.k for r in dedup.in_rounds(spark.createDataFrame(rows, "k long, u string, fingerprint string")).collect()}
+    assert got == {k for k, why in greedy_loop(rows, [], []).items() if why is None}
+    assert count.count("nodes") <= 8 and len(count) <= 60
+
+
+def test_rounds_keep_the_rule_in_dense_groups(spark):
+    """Rows that wait for several others, hot keys and null fingerprints."""
+    for seed in range(3):
+        rnd = random.Random(seed)
+        pairs = {(f"u{min(rnd.randrange(30), rnd.randrange(30))}", f"f{rnd.randrange(20)}" if rnd.random() < 0.9 else None) for _ in range(200)}
+        rows = [(k, *p) for k, p in enumerate(sorted(pairs, key=lambda p: rnd.random()))]
+        got = {r.k for r in dedup.in_rounds(spark.createDataFrame(rows, "k long, u string, fingerprint string")).collect()}
+        assert got == {k for k, why in greedy_loop(rows, [], []).items() if why is None}
+    assert dedup.in_rounds(spark.createDataFrame([], "k long, u string, fingerprint string")).count() == 0
