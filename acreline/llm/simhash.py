@@ -344,21 +344,23 @@ PAIRS = 256
 HOT_TEXTS = 100_000
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
-    """(a, b): the pairs (x, y) whose texts have the similarity. Sketches rule out most others before shingles are read.
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch, closest: bool = False) -> DataFrame:
+    """(a, b): pairs (x, y) whose texts have the similarity. Sketches rule out most others before shingles are read.
 
-    A text that is in very many pairs as x is dealt out in several parts, its sketch and its shingles too, so that no task
-    has all pairs of a text.
+    All such pairs, or with closest enough of them to connect what they connect: first the closest pair of each y, then
+    those whose texts are still in different components. A text that is in very many pairs as x is dealt out in several
+    parts, its sketch and its shingles too, so that no task has all pairs of a text.
     """
 
-    @F.pandas_udf(T.BooleanType())
-    def possible(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.LongType())
+    def apart(a: pd.Series, b: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
         out = []
         for i, j, x, y in zip(a, b, p, q):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             m = min(len(x), len(y))
-            out.append(bool(could_be(i + j, max(abs(i - j), int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum())), similar)))
-        return pd.Series(out, dtype="bool")
+            n = max(abs(i - j), int(np.bitwise_count(folded(x, m) ^ folded(y, m)).sum()))
+            out.append(n if could_be(i + j, n, similar) else -1)
+        return pd.Series(out, dtype="int64")
 
     @F.pandas_udf(T.BooleanType())
     def alike(p: pd.Series, q: pd.Series) -> pd.Series:
@@ -373,16 +375,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float, scratch: Scratch
     hot = pairs.groupBy("x").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
     hot = F.broadcast(scratch.written(hot, "hot"))
     pairs = pairs.join(hot, "x", "left").select("x", "y", F.expr("cast(pmod(xxhash64(y), coalesce(parts, 1)) AS int)").alias("part"))
-    of_x = lambda *cols: sets.select(F.col("n").alias("x"), *cols).join(hot, "x", "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+    of_x = lambda d, *cols: d.select(F.col("n").alias("x"), *cols).join(hot, "x", "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
     named = lambda k: [F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")]
-    both = pairs.join(of_x(*named("x")), ["x", "part"]).join(sets.select(F.col("n").alias("y"), *named("y")), "y")
-    left = scratch.written(both.where(possible("size_x", "size_y", "sketch_x", "sketch_y")).select("x", "y", "part"), "candidates")
-    # if the candidates' texts are few, by a count, the shingles of all others need not be dealt out
-    asked = left.select(F.explode(F.array("x", "y")).alias("n")).distinct()
-    if asked.count() <= BROADCAST_TEXTS:
-        sets = sets.join(F.broadcast(asked), "n", "left_semi")
-    both = left.join(of_x(F.col("shingles").alias("p")), ["x", "part"]).join(sets.select(F.col("n").alias("y"), F.col("shingles").alias("q")), "y")
-    return scratch.written(both.where(alike("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+    both = pairs.join(of_x(sets, *named("x")), ["x", "part"]).join(sets.select(F.col("n").alias("y"), *named("y")), "y")
+    left = scratch.written(both.select("x", "y", "part", apart("size_x", "size_y", "sketch_x", "sketch_y").alias("apart")).where("apart >= 0"), "candidates")
+
+    def checked(left: DataFrame) -> DataFrame:
+        # if the candidates' texts are few, by a count, the shingles of all others need not be dealt out
+        asked = left.select(F.explode(F.array("x", "y")).alias("n")).distinct()
+        own = sets.join(F.broadcast(asked), "n", "left_semi") if asked.count() <= BROADCAST_TEXTS else sets
+        both = left.join(of_x(own, F.col("shingles").alias("p")), ["x", "part"]).join(own.select(F.col("n").alias("y"), F.col("shingles").alias("q")), "y")
+        return scratch.written(both.where(alike("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar")
+
+    if not closest:
+        return checked(left)
+    first = scratch.written(left.groupBy("y").agg(F.min(F.struct("apart", "x", "part")).alias("m")).select("m.x", "y", "m.part"), "closest")
+    true = checked(first)
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    roots = components(true)
+    rest = left.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
+    rest = rest.select("x", "y", "part").join(first.select("x", "y"), ["x", "y"], "left_anti")
+    return true.unionByName(checked(scratch.written(rest, "rest")))
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -497,7 +510,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     shared = scratch.written(shared_prefixes(prefixes(sets, similar, scratch), similar, scratch), "shared")
     pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
     pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
-    true = verified(pairs, sets, similar, scratch)
+    true = verified(pairs, sets, similar, scratch, closest=True)
     # buckets of several components: first the closest pairs that would join them, then, where there were others, all
     # pairs by their shingles
     found = scratch.written(close_links(of_several(shared, components(true), scratch), sets, similar, False), "close")
