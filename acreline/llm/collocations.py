@@ -28,6 +28,8 @@ from .sketch import ENTRIES, Bits, bits_for, entries, mixed, reached
 CHUNK = 6_000_000
 #: Phrases of one automaton (some 100 MB); a chunk with more is scanned by several.
 PHRASES = 150_000
+#: Words that a task remembers between chunks.
+REMEMBERED = 300_000
 #: Bytes that end a piece become BREAK, which no word has.
 BREAK = b"."
 _PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10)
@@ -56,6 +58,13 @@ class Numbers(dict):
         return ids, np.array(self.known, np.uint64)[ids]
 
 
+def numbers_of(lang: str, known: dict[str, Numbers]) -> Numbers:
+    """A task's numbers of a language, from its earlier chunks; with more than REMEMBERED words in all they begin anew."""
+    if sum(map(len, known.values())) > REMEMBERED:
+        known.clear()
+    return known.setdefault(lang, Numbers(lang))
+
+
 def counters(h: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The counter of the n words that begin at each place but the last n - 1; of those over a break too."""
     x = mixed(h[: len(h) - n + 1] + np.uint64(n))
@@ -99,11 +108,11 @@ def sketched(docs: DataFrame, least: int, bits: int, lower: Bits | None, scratch
     shared = docs.sparkSession.sparkContext.broadcast(lower)
 
     def add(batches):
-        low = shared.value
+        low, known = shared.value, {}
         for chunk in chunks(batches):
             every, sure = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lang, texts in chunk.items():
-                _, h = Numbers(lang).of(words_of(texts))
+                _, h = numbers_of(lang, known).of(words_of(texts))
                 if low is None:
                     every += [counters(h, n, bits)[unbroken(h, n)] for n in (1, 2)]
                 elif len(h) > 2:
@@ -151,15 +160,16 @@ def counted(docs: DataFrame, pairs: Bits, triples: Bits) -> DataFrame:
     shared = spark.sparkContext.broadcast((pairs, triples))
 
     def of(batches):
-        low, high = shared.value
+        (low, high), seen = shared.value, {}
         for chunk in chunks(batches):
             for lang, texts in chunk.items():
                 words = words_of(texts)
-                numbers = Numbers(lang)
+                numbers = numbers_of(lang, seen)
                 ids, h = numbers.of(words)
                 yield pd.DataFrame({"lang": lang, "phrase": [None], "words": 0, "f": int((h != 0).sum())})
                 # words of pairs that may be frequent, wherever they are
-                counts, known = np.bincount(ids), np.array(numbers.known, np.uint64)
+                known = np.array(numbers.known, np.uint64)
+                counts = np.bincount(ids, minlength=len(known))
                 counts[0] = 0
                 some = np.flatnonzero((counts > 0) & high[counters(known, 1, high.bits)])
                 names = list(numbers)
