@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import dedup, lookup, pricecheck, report, spatial
 from ..plans import search
-from ..sources import sinks, stores
+from ..sources import datasource, sinks, stores
 from .tables import counties, events, fetch_log, nations, new_folder, query, records, table
 
 RAW = "SELECT seq, county, state, max_cpa FROM county UNION ALL SELECT seq + 100, county, state, NULL FROM county WHERE seq % 2 = 0 UNION ALL SELECT seq + 200, county, state, max_cpa + 1 FROM county WHERE seq % 3 = 0"
@@ -365,3 +365,51 @@ def snk17_replay(spark, sf):
     index = r.where("id % 2 = 0").select("url", "fingerprint")
     queue = r.select(F.col("id").alias("seq"), "url", "fingerprint").unionByName(r.where("id % 2 = 1").select((F.col("id") + 10_000_000).alias("seq"), "url", "fingerprint"))
     return dedup.replay(queue, index).agg(F.count("*").alias("n")).select(F.lit("kept").alias("outcome"), "n").unionByName(index.agg(F.count("*").alias("n")).select(F.lit("index").alias("outcome"), "n"))
+
+
+# ---- the store as a data source
+
+
+STORED = "id long, stage string, price double, acres double, created timestamp, nk int, url string"
+
+
+def stored(spark, sf):
+    """The records in a store of several parts, read through the data source."""
+    path = new_folder(spark, "store")
+    records(spark, sf).withColumn("created", F.col("created").cast("timestamp")).repartition(4, "id").write.parquet(path)
+    return datasource.load(spark, path, STORED), path
+
+
+@query("SELECT id, stage FROM record WHERE stage = 'New Lead'")
+def src05_stage_pushed(spark, sf):
+    return stores.of_stage(stored(spark, sf)[0], "New Lead").select("id", "stage")
+
+
+@query("SELECT id, stage FROM record WHERE stage IS NULL OR stage <> 'Not Interested'")
+def src06_active_pushed(spark, sf):
+    """Records without a stage are kept, by the store as by Spark."""
+    return stores.active(stored(spark, sf)[0]).select("id", "stage")
+
+
+@query("SELECT id, price FROM record WHERE id = (SELECT min(o_orderkey) + 7 FROM orders) OR id IN (3, 5, 8)")
+def src07_by_id_pushed(spark, sf):
+    first = table(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0]
+    return stored(spark, sf)[0].where(F.col("id").isin(first + 7, 3, 5, 8)).select("id", "price")
+
+
+@query("SELECT stage, count(*) AS n FROM record WHERE price >= 100000 AND acres < 200 AND starts_with(stage, 'W') GROUP BY 1")
+def src08_parts_pushed(spark, sf):
+    """Several selections are one formula."""
+    d = stored(spark, sf)[0].where((F.col("price") >= 100000) & (F.col("acres") < 200) & F.col("stage").startswith("W"))
+    return d.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("SELECT url, price FROM record UNION ALL SELECT url || '/new', 1.0 FROM record WHERE id % 8 = 0")
+def snk01_store_writer(spark, sf):
+    """Rows of known urls are found, new ones created, and a second run of the same rows creates nothing."""
+    _, path = stored(spark, sf)
+    r = records(spark, sf).withColumn("created", F.col("created").cast("timestamp")).where("id % 8 = 0")
+    rows = r.unionByName(r.withColumn("url", F.concat("url", F.lit("/new"))).withColumn("price", F.lit(1.0)))
+    for _ in range(2):
+        rows.repartition(4, "url").write.format("listing_store").mode("append").option("batch", 1000).option("failed", f"{path}-failed").save(path)
+    return datasource.load(spark, path, STORED).select("url", "price")
