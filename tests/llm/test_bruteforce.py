@@ -84,7 +84,7 @@ def test_op1(spark, tables):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    docs = sorted(rows_of(tables, "documents"), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    docs = sorted(rows_of(tables, "documents"), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     want, start = [], 0
     for r in docs:
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
@@ -96,9 +96,30 @@ def test_op1(spark, tables):
 def test_op1_absent_keys_are_not_found(spark, odd):
     import public_tokenizers
 
-    out, buckets, _ = token_store.token_store(spark.read.parquet(f"{odd}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    store = token_store.token_store(spark.read.parquet(f"{odd}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
     asked = spark.createDataFrame([(i,) for i in range(1000, 3000)], "doc_id long")
-    assert token_store.lookup(asked, out, buckets, "doc_id").count() == 0
+    assert token_store.lookup(asked, store, "doc_id").count() == 0
+
+
+def test_op1_one_key_of_very_many_rows(spark):
+    """A repeated key fills several shards, is one entry of the index, and all its rows come back, each from its own place."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).selectExpr("if(id % 50 = 0, id, -7) AS doc_id", "concat('row ', id % 13) AS text").repartition(8)
+    store = token_store.token_store(docs, queries.word_tokenizer())
+    got = token_store.read_all(docs.select("doc_id").distinct(), store)
+    n = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("start").alias("places")).orderBy("doc_id").collect()
+    assert [(r.n, r.places) for r in n] == [(98_000, 98_000)] + [(1, 1)] * 2000
+    shards = token_store.lookup(spark.createDataFrame([(-7,)], "doc_id long"), store, "doc_id").groupBy("shard").count().collect()
+    assert len(shards) > 4 and max(r["count"] for r in shards) < 50_000
+
+
+def test_op1_ranges_of_neighbours():
+    first = np.array([0, 5, 9, 9, 20, 21])
+    assert token_store.runs(first, np.array([0, 1, 3, 4]), 100) == [(0, 4)]
+    assert token_store.runs(first, np.array([0, 3, 4]), 100) == [(0, 1), (1, 3)]
+    assert token_store.runs(first, np.array([0, 1, 2, 3]), 9) == [(0, 3), (3, 4)]
+    assert token_store.runs(first, np.array([1, 1]), 1) == [(0, 1), (1, 2)]
 
 
 def test_perfect_hash_is_minimal():
