@@ -181,7 +181,7 @@ def landwatch_reading(t: Column, meta: Column, slug: Column) -> Column:
     named = r"([A-Za-z .'-]+?) County, ([A-Z]{2})(?![A-Za-z0-9_])"
     status = text_or_null(F.regexp_extract(t, r"(?i)View all \d+ pictures? (Available|Under Contract|Off Market|Sold|Pending|Auction|New)(?![A-Za-z0-9_])", 1))
     state = F.coalesce(text_or_null(F.regexp_extract(place, named, 2)), slug["state"])
-    note = F.when(~ok, "LandWatch page has no listing summary (error shell)").when(status.isNull(), "LandWatch status word not shown")
+    note = F.when(~ok, "no summary of a listing in the page from LandWatch").when(status.isNull(), "the page names no status of the listing")
     return subject(ok, "LandWatch", status, currency(F.regexp_extract(meta, pattern, 2)), acreage(F.regexp_extract(meta, pattern, 1)), F.trim(F.regexp_extract(place, named, 1)), state, note)
 
 
@@ -200,7 +200,7 @@ def whitetail_reading(t: Column, slug: Column) -> Column:
     of = lambda s, p, a, c: F.struct(s.alias("s"), p.alias("p"), a.alias("a"), c.alias("c"))
     none = F.lit(None).cast("double")
     r = F.when(is_closed, of(closed, none, acreage(x(shop, 1)), F.coalesce(x(shop, 2), slug["county"]))).when(t.rlike(offer), of(F.coalesce(x(offer, 1), F.lit("For Sale")), currency(x(offer, 2)), acreage(x(offer, 3)), x(offer, 4))).when(t.rlike(gone), of(x(gone, 1), none, acreage(x(gone, 2)), x(gone, 3)))
-    return let(r, lambda v: subject(v.isNotNull(), "WhitetailProperties", v["s"], v["p"], v["a"], v["c"], slug["state"], note_unless(v.isNotNull(), "Whitetail listing header not found")))
+    return let(r, lambda v: subject(v.isNotNull(), "WhitetailProperties", v["s"], v["p"], v["a"], v["c"], slug["state"], note_unless(v.isNotNull(), "none of the known headers of Whitetail is in the page")))
 
 
 def mossyoak_subject(html: Column, url: Column) -> Column:
@@ -213,7 +213,7 @@ def mossyoak_reading(t: Column, slug: Column) -> Column:
     ok = F.coalesce(t.rlike(block), F.lit(False))
     county = F.coalesce(x(r"County: ([A-Za-z .'-]+?) Acres:", 1), slug["county"])
     state = F.coalesce(known_state(x(r"City, State: [A-Za-z .'-]+, ([A-Za-z ]+?) County:", 1)), slug["state"])
-    return subject(ok, "MossyOakProperties", x(block, 1), currency(x(block, 2)), acreage(x(block, 3)), county, state, note_unless(ok, "Mossy Oak details block not found"))
+    return subject(ok, "MossyOakProperties", x(block, 1), currency(x(block, 2)), acreage(x(block, 3)), county, state, note_unless(ok, "the page lacks the block of status, price and acres"))
 
 
 def title_of(html: Column) -> Column:

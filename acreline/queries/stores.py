@@ -300,6 +300,20 @@ def snk06_idempotent_insert(spark, sf):
     return once.join(r.select("url"), "url", "left_anti").unionByName(twice).agg(F.count("*").alias("written"))
 
 
+@query("SELECT url, 1 AS n FROM record WHERE id % 2 = 0 UNION ALL SELECT url || '/late', 1 FROM record WHERE id % 4 = 0")
+def snk08_replay_archive(spark, sf):
+    """Failed rows are replayed in two runs, the second with a new file; no row comes twice, and read files are archived."""
+    path, r = new_folder(spark, "replay"), records(spark, sf).select("id", "url").where("id % 2 = 0")
+
+    def write(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    for own in (r.repartition(3, "id"), r.where("id % 4 = 0").withColumn("url", F.concat("url", F.lit("/late")))):
+        own.write.mode("append").json(f"{path}/failed")
+        sinks.replay_failed(spark, f"{path}/failed", f"{path}/done", "id long, url string", write, f"{path}/state")
+    return spark.read.schema("id long, url string").parquet(f"{path}/out").groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query("SELECT '2024-01-01' AS date, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS tag, count(*) AS n, min(url) AS url FROM record GROUP BY 2")
 def snk07_failed_rows(spark, sf):
     path, r = new_folder(spark, "failed"), records(spark, sf).select("id", "url")

@@ -75,6 +75,17 @@ def append_failed(listings: DataFrame, path: str, day: str, tag: str) -> None:
     listings.withColumn("date", F.lit(day)).withColumn("tag", F.lit(tag)).write.mode("append").partitionBy("date", "tag").json(path)
 
 
+def replay_failed(spark, path: str, done: str, schema: str, write, state: str) -> None:
+    """Gives write(rows, batch) the JSON-lines files below path that no run with this state has had, one a micro-batch; files then move below done.
+
+    A file is replayed once though the job runs again: the stream's state below state knows it, and it leaves path when its
+    micro-batch is over, that of the last one with the next run. Rows that fail again are for write to set aside in a new
+    file. Lines that are no JSON of the schema come as rows of nulls. done must lie outside of path.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("cleanSource", "archive").option("sourceArchiveDir", done)
+    files.json(path).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def retained(log: DataFrame, new: DataFrame, day: Column, days: int = 30) -> DataFrame:
     """log (date, counties) without what is older than days, and new."""
     return log.where(F.col("date") >= F.date_sub(day, days)).unionByName(new)

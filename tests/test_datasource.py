@@ -106,3 +106,26 @@ def test_failed_task_runs_again(spark, tmp_path):
         d.write.format("listing_store").mode("append").option("failed", f"{path}-failed").save(path)
     got = [r.url for r in read(spark, path).collect()]
     assert sorted(got) == sorted(f"u{i}" for i in range(40)) and failed(path) == []
+
+
+def test_replayed_files_are_archived(spark, tmp_path):
+    """A file is replayed once over several runs and moves to the archive; equal names of different days do not clash."""
+    from acreline.sources import sinks
+
+    at, got = tmp_path / "failed", []
+
+    def run():
+        sinks.replay_failed(spark, str(at), str(tmp_path / "done"), "url string", lambda rows, batch: got.extend(r.url for r in rows.collect()), str(tmp_path / "state"))
+
+    for day, urls in (("d1", ["a", "b"]), ("d2", ["c"])):
+        os.makedirs(at / day, exist_ok=True)
+        (at / day / "rows.json").write_text("".join(json.dumps({"url": u}) + "\n" for u in urls))
+        run()
+    (at / "d3.json").write_text("")
+    (at / "d4.json").write_text('{"url": "d"}\n')
+    run()
+    run()
+    assert sorted(got) == ["a", "b", "c", "d"]
+    left = {str(p.relative_to(at)) for p in at.rglob("*.json")}
+    done = sorted(p.name for p in (tmp_path / "done").rglob("*.json"))
+    assert "d1/rows.json" not in left and "d2/rows.json" not in left and done.count("rows.json") == 2
