@@ -128,3 +128,14 @@ def mentions_other_county(text: Column, county: Column) -> Column:
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key in the order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def with_descriptions(cards: DataFrame, found: DataFrame, page: str = "page") -> DataFrame:
+    """cards (page, url and others) with description: the first that their page's structured data gives for the same canonical url.
+
+    found: page, pos, url, description. Empty urls and descriptions give none; a card without a match keeps null. A column
+    description of cards is replaced.
+    """
+    given = found.where("url <> '' AND description <> ''").groupBy(page, keys.canonical_url(F.col("url")).alias("canonical")).agg(F.min_by("description", "pos").alias("description"))
+    d = cards.drop("description").withColumn("canonical", keys.canonical_url(F.col("url")))
+    return d.join(given.where("canonical <> ''"), [page, "canonical"], "left").drop("canonical")

@@ -8,8 +8,8 @@ from ..extract import cards, subject
 from ..functions import keys, numbers, pages
 from ..functions import text as T
 from ..operators import lookup, report, review
-from ..streaming import jobs
-from .tables import events, pages_of, places, query, records, table
+from ..streaming import jobs, lifecycle
+from .tables import events, new_folder, pages_of, places, query, records, table
 
 
 def scalar(name: str, sql: str, columns):
@@ -370,9 +370,15 @@ def ext35_first_ld_price(spark, sf):
     return pages_of(places(spark, sf), '<script type="application/ld+json">{"price": 7}</script><script type="application/ld+json">{"@graph": [{"price": {price}}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
 
 
-@query("SELECT k, acres - 0.25 AS acres FROM place")
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'first ' || id WHEN id % 3 = 0 THEN 'second ' || id END AS description FROM record")
 def joi11_card_descriptions(spark, sf):
-    return ext02_landwatch(spark, sf).select("k", "acres")
+    """Cards of stored records' pages and the descriptions of their structured data, with marks and queries in the urls."""
+    r = records(spark, sf)
+    cards_ = r.select("id", F.col("nk").alias("page"), F.concat("url", F.lit("?ref="), "id").alias("url"))
+    text = lambda name, pos, url: r.select(F.col("nk").alias("page"), (F.col("id") + pos).alias("pos"), url.alias("url"), F.concat(F.lit(f"{name} "), "id").alias("description"), "id")
+    found = text("first", 0, F.concat("url", F.lit("#photos"))).where("id % 2 = 0").unionByName(text("second", 10_000_000, F.col("url")).where("id % 2 = 0 OR id % 3 = 0")).unionByName(text("none", -1, F.lit("")))
+    other = text("elsewhere", -5, F.col("url")).withColumn("page", F.col("page") + 100)
+    return lookup.with_descriptions(cards_, found.unionByName(other).drop("id")).select("id", "description")
 
 
 @query("SELECT k, '31.5, -90.5' AS geo FROM place")
@@ -459,8 +465,8 @@ def str06_late_retry_stream(spark, sf):
 def str07_fetch_loop_stream(spark, sf):
     """Pages that a loop with breakers would have read; a running choice has no SQL."""
     outcome = F.when(F.col("event_type") != "error", "ok").when((F.col("value") >= 25) & (F.col("value") < 60), "blocked").otherwise("error")
-    d = event_stream(spark, sf).select((F.col("user_id") % 11).alias("source"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("series"), outcome.alias("outcome"))
-    return jobs.drained(jobs.fetch_loop(d), "loop").where("read").groupBy("source").agg(F.count("*").alias("n"))
+    d = events(spark, sf).select("ts", (F.col("user_id") % 11).alias("source"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("series"), outcome.alias("outcome"))
+    return jobs.drained(jobs.fetch_loop(lifecycle.in_turns(d, new_folder(spark, "log"), 4, "source")), "loop").where("read").groupBy("source").agg(F.count("*").alias("n"))
 
 
 query()(str07_fetch_loop_stream)

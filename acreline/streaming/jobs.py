@@ -96,7 +96,8 @@ def fetch_loop(log: DataFrame, blocked_most: int = 5, errors_most: int = 10) ->
     """(source, seq, outcome, read) of a stream (source, seq, series, outcome): whether the page would still have been asked for.
 
     A source stops at its fill of blocked or error pages; a blocked or error page ends its series. The state of a source is
-    its two counts and its ended series.
+    its two counts and its ended series, at most as many as the two fills together; a source that has stopped keeps its
+    counts alone. A task holds a source's rows of one micro-batch, which the stream's trigger options bound, not its log.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -107,6 +108,8 @@ def fetch_loop(log: DataFrame, blocked_most: int = 5, errors_most: int = 10) ->
             if read and outcome in ("blocked", "error"):
                 blocked, errors = blocked + (outcome == "blocked"), errors + (outcome == "error")
                 over.add(series)
+                if blocked >= blocked_most or errors >= errors_most:
+                    over = set()
             out.append((key[0], seq, outcome, read))
         state.update((int(blocked), int(errors), "\n".join(sorted(over))))
         yield pd.DataFrame(out, columns=["source", "seq", "outcome", "read"])
