@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..extract import cards, subject
+from ..extract import cards, plugins, subject
 from ..functions import keys, numbers, pages
 from ..functions import text as T
 from ..operators import lookup, report, review
@@ -405,6 +405,22 @@ def udf01_plugins_whole(spark, sf):
     return plugin_counts(places(spark, sf))
 
 
+@query("SELECT k, CASE WHEN k % 10 <> 0 THEN county END AS name, CASE WHEN k % 10 <> 0 THEN '/t/' || k END AS url, CASE WHEN k % 10 = 0 THEN 'ValueError: page of ' || county END AS error, CASE WHEN k % 10 <> 0 THEN acres END AS lot FROM place")
+def udf01_registry(spark, sf):
+    """A site registered here, with a column of its own; a page on which its reader fails is a row with the error."""
+
+    def lots(html: str) -> list[dict]:
+        if html.startswith("!"):
+            raise ValueError(f"page of {html[1:]}")
+        name, k, lot = html.split("|")
+        return [{"name": name, "url": f"/t/{k}", "lot": int(lot)}]
+
+    if "lots-of-places" not in plugins.REGISTRY:
+        plugins.register(plugins.Site("lots-of-places", lots, more="lot long"))
+    d = places(spark, sf).withColumn("html", F.when(F.col("k") % 10 == 0, F.concat(F.lit("!"), "county")).otherwise(F.concat_ws("|", "county", "k", "acres"))).select("k", "html")
+    return plugins.read_pages(d, "lots-of-places").select("k", "name", "url", "error", "lot")
+
+
 @query("SELECT k, site FROM place, (SELECT unnest(['landwatch', 'tuttland']) AS site)")
 def udf02_readers(spark, sf):
     return subject.subjects(detail_pages(spark, sf, "landwatch", "tuttland")).where("subject.ok").select("k", "site")
