@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,16 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Asks for a garbage collection, upon which Spark deletes the shuffle files that no DataFrame needs any more.
+
+    Without it they stay until the driver's memory happens to be collected; a job that shuffles its whole input more than
+    once would have all of them on disk at a time.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one job, which clear() deletes when the last of them has been read."""
 
