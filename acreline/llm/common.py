@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import Scratch, delete, new_dir, written, written_at  # noqa: F401
+from ..scratch import Scratch, delete, forget, new_dir, written, written_at  # noqa: F401
 
 
 def file_system(uri: str):

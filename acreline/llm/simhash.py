@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import Scratch, shuffle_partitions, written
+from .common import Scratch, forget, shuffle_partitions, written
 from .sketch import ENTRIES, bits_for, entries, mixed, reached
 
 
@@ -490,6 +490,35 @@ def close_links(found: DataFrame, sets: DataFrame, similar: float, exact: bool,
     return d.mapInPandas(of, "x long, y long, more boolean").distinct()
 
 
+#: Texts, or pairs of texts, that a Python worker gets at a time.
+BATCH, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def numbered_sets(base: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """shingle_sets of the different texts, with a number for each that is fixed as the table is written."""
+    texts = base.groupBy("_g").agg(F.first("_t").alias("_t")).withColumn("n", F.monotonically_increasing_id())
+    return scratch.written(shingle_sets(texts, width), "sets")
+
+
+def similar_pairs(sets: DataFrame, similar: float, max_bits: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of similar texts that connect all that similar pairs connect."""
+    spark = sets.sparkSession
+    shared = scratch.written(shared_prefixes(prefixes(sets, similar, scratch), similar, scratch), "shared")
+    pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
+    pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
+    true = verified(pairs, sets, similar, scratch, closest=True)
+    del pairs
+    forget(spark)
+    # buckets of several components: first the closest pairs that would join them, then, where there were others, all
+    # pairs by their shingles
+    found = scratch.written(close_links(of_several(shared, components(true), scratch), sets, similar, False), "close")
+    true = true.unionByName(verified(found.where("NOT more").select("x", "y"), sets, similar, scratch))
+    forget(spark)
+    left = shared.join(found.where("more").select(F.col("x").alias("s")), "s", "left_semi")
+    last = scratch.written(close_links(of_several(left, components(true), scratch), sets, similar, True), "last")
+    return true.unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest key.
 
@@ -501,26 +530,23 @@ def drop_near_duplicates(docs: DataFrame, similar: float = 0.8, width: int = 5,
     always count, null as empty, and of rows with equal text and key one stays. Rows with a null key come after all
     others. All columns of docs are kept, whatever their names but _t, _g and _id.
     """
-    scratch = Scratch(docs.sparkSession, "similar")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
     named = lambda doc, g: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.hex(g)), 256))
     base = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_g", F.unhex(F.sha2("_t", 256))).withColumn("_id", named(key, "_g"))
-    # a number for each different text, fixed as the table is written
-    texts = base.groupBy("_g").agg(F.first("_t").alias("_t")).withColumn("n", F.monotonically_increasing_id())
-    sets = scratch.written(shingle_sets(texts, width), "sets")
-    shared = scratch.written(shared_prefixes(prefixes(sets, similar, scratch), similar, scratch), "shared")
-    pairs = shared.where("n <> head").where(F.least("size", "head_size") >= similar * F.greatest("size", "head_size") - 1e-9)
-    pairs = pairs.select(F.col("head").alias("x"), F.col("n").alias("y")).unionByName(fingerprint_pairs(sets, max_bits)).distinct()
-    true = verified(pairs, sets, similar, scratch, closest=True)
-    # buckets of several components: first the closest pairs that would join them, then, where there were others, all
-    # pairs by their shingles
-    found = scratch.written(close_links(of_several(shared, components(true), scratch), sets, similar, False), "close")
-    true = true.unionByName(verified(found.where("NOT more").select("x", "y"), sets, similar, scratch))
-    left = shared.join(found.where("more").select(F.col("x").alias("s")), "s", "left_semi")
-    last = scratch.written(close_links(of_several(left, components(true), scratch), sets, similar, True), "last")
-    true = true.unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # a row of Python's work is a whole text or its shingles
+    rows = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(TEXTS))
+    try:
+        sets = numbered_sets(base, width, scratch)
+        forget(spark)
+        true = similar_pairs(sets, similar, max_bits, scratch)
+    finally:
+        spark.conf.set(BATCH, rows)
     lowest = base.select("_g", F.col(key).alias("doc")).groupBy("_g").agg(F.min("doc").alias("doc"))
     grouped = sets.select("n", "_g").join(lowest, "_g").join(components(true).withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "_g")).alias("k"))
     kept = written(kept.select("k.doc", "k._g").select(named("doc", "_g").alias("_id")), "kept")
     scratch.clear()
+    forget(spark)
     return base.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
