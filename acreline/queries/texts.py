@@ -312,9 +312,11 @@ reading_query("ext24_landflip_subject", "landflip")
 reading_query("ext25_generic_subject", "generic", county=False)
 
 
-@query("SELECT site, count(*) AS n, count(*) AS ok FROM place, (SELECT unnest(['landwatch', 'whitetail', 'mossyoak', 'nationalland', 'tuttland', 'landflip', 'generic']) AS site) GROUP BY 1")
+@query("""SELECT k, site, true AS ok, price::DOUBLE AS price, acres::DOUBLE AS acres, CASE WHEN site <> 'generic' THEN county END AS county, CASE WHEN site <> 'generic' THEN st END AS state, CASE WHEN site <> 'generic' THEN 'active' END AS status_kind
+FROM place, (SELECT unnest(['landwatch', 'whitetail', 'mossyoak', 'nationalland', 'tuttland', 'landflip', 'generic']) AS site)""")
 def ext19_subjects(spark, sf):
-    return subject.subjects(detail_pages(spark, sf)).groupBy("site").agg(F.count("*").alias("n"), F.count_if("subject.ok").alias("ok"))
+    """What each reader makes of its kind of page, for all places."""
+    return subject.subjects(detail_pages(spark, sf)).select("k", "site", *[f"subject.{c}" for c in ("ok", "price", "acres", "county", "state", "status_kind")])
 
 
 @query("SELECT k, '<body>' || county AS scoped FROM place")
