@@ -411,14 +411,19 @@ def of_several(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFra
     return d.join(several, "s", "left_semi")
 
 
-def close_links(found: DataFrame, sets: DataFrame, similar: float, exact: bool, block: int = 512, shingles: int = 512_000) -> DataFrame:
+#: Pairs of a block, to one of its rows, that are given as rows.
+PAIRS_A_ROW = 8
+
+
+def close_links(found: DataFrame, sets: DataFrame, similar: float, exact: bool, block: int = 512, shingles: int = 512_000, every: bool = False) -> DataFrame:
     """(x, y, more) of the buckets of found (as of of_several): pairs x, y of different components that join them.
 
     A bucket is dealt out in pairs of blocks of about block texts and shingles shingles, whose rows meet inside a task.
     Of the pairs whose sketches allow the similarity the closest that join all components of a block are given; a row
-    with more, its x a bucket's s, tells that there were others. With exact, pairs are told by the texts' own
+    with more, its x a bucket's s, tells that there were others. With every, all pairs are given of a block that has no more
+    than PAIRS_A_ROW for each of its rows, and none but more of a fuller one. With exact, pairs are told by the texts' own
     shingles instead, and given if they have the similarity: the closest first, until all components are joined or no pair
-    is left. Either way a block gives fewer rows than it has texts.
+    is left. Either way a block's rows are bounded by the number of its texts.
     """
     more = ["sketch", "shingles"] if exact else ["sketch"]
     d = found.join(sets.select("n", *more), "n").withColumn("blocks", F.expr(f"cast(greatest(ceil(k / {block}), ceil(sizes / {shingles})) AS int)"))
@@ -475,7 +480,10 @@ def close_links(found: DataFrame, sets: DataFrame, similar: float, exact: bool,
                 if (root[k] == root[first]).all():
                     continue
                 pairs = near(n[k], size[k], root[k], b[k], i[first] != j[first], sketch[k])
-                tree = joining(pairs, root[k].tolist(), shingle[k] if exact else None)
+                if every:
+                    tree = pairs[:, :2].tolist() if len(pairs) <= PAIRS_A_ROW * (end - first) else []
+                else:
+                    tree = joining(pairs, root[k].tolist(), shingle[k] if exact else None)
                 links += [(n[first + x], n[first + y]) for x, y in tree]
                 if len(tree) < len(pairs) and not exact:
                     rest.append(s[first])
@@ -509,12 +517,15 @@ def similar_pairs(sets: DataFrame, similar: float, max_bits: int, scratch: Scrat
     true = verified(pairs, sets, similar, scratch, closest=True)
     del pairs
     forget(spark)
-    # buckets of several components: first the closest pairs that would join them, then, where there were others, all
-    # pairs by their shingles
+    # buckets of several components: first the closest pairs that would join them
     found = scratch.written(close_links(of_several(shared, components(true), scratch), sets, similar, False), "close")
     true = true.unionByName(verified(found.where("NOT more").select("x", "y"), sets, similar, scratch))
     forget(spark)
+    # then all pairs of what is still open, and where these are very many, inside the blocks by the shingles themselves
     left = shared.join(found.where("more").select(F.col("x").alias("s")), "s", "left_semi")
+    found = scratch.written(close_links(of_several(left, components(true), scratch), sets, similar, False, every=True), "every")
+    true = true.unionByName(verified(found.where("NOT more").select("x", "y"), sets, similar, scratch, closest=True))
+    left = left.join(found.where("more").select(F.col("x").alias("s")), "s", "left_semi")
     last = scratch.written(close_links(of_several(left, components(true), scratch), sets, similar, True), "last")
     return true.unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
