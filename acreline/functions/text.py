@@ -40,10 +40,10 @@ REASONS = [
 ]
 
 
-def phrase_pattern(phrase: str) -> str:
-    """Whole words with any spaces or hyphens between them; word borders are ASCII."""
+def phrase_pattern(phrase: str, gap: str = r"[\s-]+", case: str = "(?i)") -> str:
+    """Whole words with any white space or hyphens (gap) between them; word borders are ASCII, and so is case unless told."""
     words = [w.replace(".", r"\.") for w in phrase.split()]
-    return r"(?i)(?<![A-Za-z0-9_])" + r"[\s-]+".join(words) + r"(?![A-Za-z0-9_])"
+    return case + r"(?<![A-Za-z0-9_])" + gap.join(words) + r"(?![A-Za-z0-9_])"
 
 
 def found(t: Column, low: Column, phrases: list[str]) -> list[Column]:
