@@ -191,7 +191,18 @@ def hlp28_options(spark, sf):
 scalar("hlp29_slugs", "lower(county) || '-new-lead' AS s", lambda: dict(s=keys.slug(cat(c("county"), " -- New Lead!"))))
 scalar("hlp32_outcomes", "CASE WHEN k % 4 = 0 THEN 'Failed' WHEN k % 4 = 1 THEN 'Duplicate' WHEN k % 4 = 2 THEN 'Added' WHEN k % 3 = 0 THEN 'Failed' ELSE 'Retry' END AS s", lambda: dict(s=F.when(c("k") % 4 == 0, "Failed").when(c("k") % 4 == 1, "Duplicate").when(c("k") % 4 == 2, "Added").when(c("k") % 3 == 0, "Failed").otherwise("Retry")))
 scalar("hlp33_money", "'$' || format('{:,}', price) AS m, NULL::DOUBLE AS n", lambda: dict(m=numbers.money(c("price") + 0.25), n=numbers.currency(lit("none"))))
-scalar("hlp35_addresses", "167772160 + k AS v4, true AS v6", lambda: dict(v4=numbers.ipv4(cat("10.0.", F.floor(c("k") / 256).cast("string"), ".", (c("k") % 256).cast("string"))), v6=numbers.blocked_ipv6(cat("fd00::", F.lower(F.hex("k"))))))
+def address_v4(k):
+    """The k-th address from 10.0.0.0 on."""
+    n = F.lit(10 << 24) + k
+    return F.concat_ws(".", *[F.shiftright(n, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)])
+
+
+def address_v6(k):
+    """The k-th address from fd00:: on, in groups of 16 bits."""
+    return F.concat(F.lit("fd00::"), F.concat_ws(":", *[F.lower(F.hex(F.shiftright(k, bits).bitwiseAND(F.lit(0xFFFF)))) for bits in (48, 32, 16, 0)]))
+
+
+scalar("hlp35_addresses", "167772160 + k AS v4, true AS v6", lambda: dict(v4=numbers.ipv4(address_v4(c("k"))), v6=numbers.blocked_ipv6(address_v6(c("k")))))
 
 
 # ---- search pages: one card a property, of every site
