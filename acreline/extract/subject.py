@@ -59,9 +59,10 @@ def description_acres(c: Column) -> Column:
 
 
 def with_parts(rows: DataFrame, html: str, url: str) -> DataFrame:
-    """with_detail, and what several sites' readings share, each worked out once a row: about, slug, said and some_acres."""
-    h = F.col(html)
-    return with_detail(rows, html).withColumns({"about": pages.meta_description(h), "slug": keys.county_of_url(F.col(url)), "said": text_status(h), "some_acres": generic_acres(h)})
+    """with_detail, and what several sites' readings share, each worked out once a row: site, about, slug, said and some_acres; the last two where the site's reading asks for them."""
+    h, d = F.col(html), with_detail(rows, html).withColumn("site", keys.source_of(F.col(url)))
+    own = F.col("site").isin("LandWatch", "WhitetailProperties", "MossyOakProperties", "TuttLand")
+    return d.withColumns({"about": pages.meta_description(h), "slug": keys.county_of_url(F.col(url)), "said": F.when(~own, text_status(h)), "some_acres": F.when(~own & (F.col("site") != "LANDFLIP"), generic_acres(h))})
 
 
 def ld_subject(source: str) -> Column:
@@ -103,38 +104,49 @@ def generic_subject() -> Column:
     return numbers.let(F.struct(read_price().alias("price"), F.col("some_acres").alias("acres"), status.alias("status")), reading)
 
 
-def subjects(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """rows with struct subject, read the way of the site that the URL belongs to."""
+def with_subject(rows: DataFrame, html: str, url: str) -> DataFrame:
+    """Struct row of the columns of rows, html, url, the columns of with_parts, and struct subject, read the way of the URL's site."""
     # the parts are named so that no column of rows can be taken for one
-    d = with_parts(rows.select(F.struct(*rows.columns).alias("row"), F.col(html).alias("html"), F.col(url).alias("url")), "html", "url").withColumn("site", keys.source_of(F.col("url")))
+    d = with_parts(rows.select(F.struct(*rows.columns).alias("row"), F.col(html).alias("html"), F.col(url).alias("url")), "html", "url")
     title, t, about, slug = pages.title_of(F.col("html")), F.col("t"), F.col("about"), F.col("slug")
     national = numbers.let(pages.nationalland_reading(t, title), lambda v: F.when(v["ok"], v).otherwise(ld_subject("NationalLandRealty")))
     readers = {"LandWatch": pages.landwatch_reading(t, about, slug), "WhitetailProperties": pages.whitetail_reading(t, slug), "MossyOakProperties": pages.mossyoak_reading(t, slug), "NationalLandRealty": national, **{x: ld_subject(x) for x in ("TuttLand", "LANDFLIP", "LandAndFarm")}}
     out = generic_subject()
     for site, reading in readers.items():
         out = F.when(F.col("site") == site, reading).otherwise(out)
-    return d.select("row.*", out.alias("subject"))
+    return d.withColumn("subject", out)
+
+
+def subjects(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """rows with struct subject, read the way of the site that the URL belongs to."""
+    return with_subject(rows, html, url).select("row.*", "subject")
+
+
+def intake_flags() -> Column:
+    s = F.col("subject")
+    return F.when(s["ok"], F.when(s["unavailable"], F.array(F.lower(s["status"]))).otherwise(F.array().cast("array<string>"))).otherwise(T.availability(F.concat_ws(" ", "d.title", "about", scoped_text())))
+
+
+def intake_columns() -> list[Column]:
+    """What intake_details adds but flags, of the columns of with_subject."""
+    s, about = F.col("subject"), F.col("about")
+    error = F.when(~s["ok"] & (s["source"] != "generic"), F.concat(F.lit("Could not read the listing ("), F.coalesce(s["note"], F.lit("listing details not found on the page")), F.lit(")")))
+    return [T.clean_title(F.col("d.title")).alias("name"), F.substring(about, 1, 500).alias("description"), F.when(s["ok"], s["price"]).otherwise(read_price()).alias("price"), F.when(s["ok"], s["acres"]).otherwise(generic_acres(F.col("html"))).alias("acres"), s["county"].alias("county"), s["state"].alias("state"), F.col("flags"), error.alias("error")]
 
 
 def intake_details(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """rows with name, description, price, acres, county, state, flags, error: what a submitted page gives.
 
-    A known site whose block is missing is an error; any other page is read generically.
+    A known site whose block is missing is an error; any other page is read generically. A page is read once.
     """
-    h = F.col(html)
-    read = subjects(rows, html, url)
-    s = F.col("subject")
-    d = with_detail(read, html)
-    flags = F.when(s["ok"], F.when(s["unavailable"], F.array(F.lower(s["status"]))).otherwise(F.array().cast("array<string>"))).otherwise(T.availability(F.concat_ws(" ", "d.title", pages.meta_description(h), scoped_text())))
-    return d.select(*rows.columns, T.clean_title(F.col("d.title")).alias("name"), F.substring(pages.meta_description(h), 1, 500).alias("description"), F.when(s["ok"], s["price"]).otherwise(read_price()).alias("price"), F.when(s["ok"], s["acres"]).otherwise(generic_acres(h)).alias("acres"), s["county"].alias("county"), s["state"].alias("state"), flags.alias("flags"), F.when(~s["ok"] & (s["source"] != "generic"), F.concat(F.lit("Could not read the listing ("), F.coalesce(s["note"], F.lit("listing details not found on the page")), F.lit(")"))).alias("error"))
+    return with_subject(rows, html, url).withColumn("flags", intake_flags()).select("row.*", *intake_columns())
 
 
 def audit_readings(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """intake_details with ld_price, structured_acres, market_status and review_flags: phrases of the whole page that its scoped part lacks."""
-    h = F.col(html)
-    d = intake_details(rows, html, url).withColumn("_d", detail_of(h))
-    whole = T.availability(pages.visible_text(h))
-    return d.withColumns({"ld_price": F.col("_d.offer_price"), "structured_acres": pages.structured_acres(h), "market_status": pages.market_status(h), "review_flags": F.array_except(whole, F.col("flags"))}).drop("_d")
+    h, d = F.col("html"), with_subject(rows, html, url).withColumn("flags", intake_flags())
+    more = {"ld_price": F.col("d.offer_price"), "structured_acres": pages.structured_acres(h), "market_status": pages.market_status(h), "review_flags": F.array_except(T.availability(F.col("t")), F.col("flags"))}
+    return d.select("row.*", *intake_columns(), *[v.alias(k) for k, v in more.items()])
 
 
 def page_coordinates(html: Column, geo: Column) -> Column:

@@ -111,6 +111,21 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(k.alias("k"), at(COUNTIES).alias("county"), at(STATES).alias("st"), at(NAMES).alias("stname"), (20000 + k * 37).alias("price"), (40 + F.col("p_size") + k % 400).alias("acres"))
 
 
+#: Rows of a task that makes and reads a page for each; a row takes about a millisecond there, whatever its bytes.
+PAGES_A_TASK = 10_000
+
+
+def dealt_out(d: DataFrame, by: str) -> DataFrame:
+    """d in partitions for work that follows its rows: tables of a few bytes a row are a partition or two, whatever they cost."""
+    n, cores = d.count(), d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(max(1, -(-n // PAGES_A_TASK), min(cores, n // 1000)), by)
+
+
+def page_places(spark: SparkSession, sf: str) -> DataFrame:
+    """places, in partitions for the readers of their pages."""
+    return dealt_out(places(spark, sf), "k")
+
+
 def pages_of(d: DataFrame, *parts: str, out: str = "html") -> DataFrame:
     """d with a page put together from texts in which {column} stands for a value."""
     import re

@@ -9,7 +9,7 @@ from ..functions import keys, numbers, pages
 from ..functions import text as T
 from ..operators import lookup, report, review
 from ..streaming import jobs, lifecycle
-from .tables import events, new_folder, pages_of, places, query, records, table
+from .tables import events, new_folder, page_places, pages_of, places, query, records, table
 
 
 def scalar(name: str, sql: str, columns):
@@ -67,7 +67,7 @@ def text_page():
 
 
 def text_pages(spark, sf):
-    return places(spark, sf).withColumn("html", text_page())
+    return page_places(spark, sf).withColumn("html", text_page())
 
 
 @query("SELECT k, CASE WHEN k % 2 = 0 THEN 'sold' END AS status FROM place")
@@ -77,7 +77,7 @@ def hlp01_text_status(spark, sf):
 
 @query("SELECT k, 'Under Contract' AS status FROM place")
 def hlp02_panel_status(spark, sf):
-    d = pages_of(places(spark, sf), '<aside class="tl-property-panel"><p class="tl-property-stat"><strong>{acres} acres</strong></p><p class="tl-property-stat"><strong>Under Contract</strong></p></aside>')
+    d = pages_of(page_places(spark, sf), '<aside class="tl-property-panel"><p class="tl-property-stat"><strong>{acres} acres</strong></p><p class="tl-property-stat"><strong>Under Contract</strong></p></aside>')
     return subject.with_detail(d).select("k", subject.panel_status().alias("status"))
 
 
@@ -89,19 +89,19 @@ def hlp03_subject_form(spark, sf):
 
 @query("SELECT k, 'a' || county || 'b' AS scoped, true AS cut FROM place")
 def hlp04_widget_spans(spark, sf):
-    d = pages_of(places(spark, sf), 'a{county}"nearbyListings": [{"x": "]"}, [1]]b').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), 'a{county}"nearbyListings": [{"x": "]"}, [1]]b').select("k", cards.detail_of(F.col("html")).alias("d"))
     return d.select("k", F.col("d.scoped_html").alias("scoped"), F.col("d.boundary").alias("cut"))
 
 
 @query("SELECT k, '<body><p>' || county || '</p>' AS scoped FROM place")
 def hlp05_boundaries(spark, sf):
-    d = pages_of(places(spark, sf), '<body><p>{county}</p><div id="related-box"><p>other</p></div><h2>Nearby</h2>').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), '<body><p>{county}</p><div id="related-box"><p>other</p></div><h2>Nearby</h2>').select("k", cards.detail_of(F.col("html")).alias("d"))
     return d.select("k", F.col("d.scoped_html").alias("scoped"))
 
 
 @query("SELECT k, county || ' is a very long story of land ' || k AS prose FROM place")
 def hlp06_largest_block(spark, sf):
-    d = pages_of(places(spark, sf), "<body><div><p>x</p><section><p>{county} is a very long story of land {k}</p></section></div><nav>menu menu menu menu menu</nav></body>")
+    d = pages_of(page_places(spark, sf), "<body><div><p>x</p><section><p>{county} is a very long story of land {k}</p></section></div><nav>menu menu menu menu menu</nav></body>")
     return d.select("k", cards.detail_of(F.col("html"))["description"].alias("prose"))
 
 
@@ -134,7 +134,7 @@ def hlp17_url_floor(spark, sf):
 
 @query("SELECT k, 'About ' || county AS d FROM place")
 def hlp18_own_description(spark, sf):
-    d = pages_of(places(spark, sf), '<body><div class="listing-description">Property Description About {county}</div><p>' + "other " * 30 + "</p></body>")
+    d = pages_of(page_places(spark, sf), '<body><div class="listing-description">Property Description About {county}</div><p>' + "other " * 30 + "</p></body>")
     return d.select("k", cards.detail_of(F.col("html"))["description"].alias("d"))
 
 
@@ -209,7 +209,7 @@ scalar("hlp35_addresses", "167772160 + k AS v4, true AS v6", lambda: dict(v4=num
 
 
 def search_page(site: str, *parts: str):
-    return lambda spark, sf: cards.search_listings(pages_of(places(spark, sf), *parts).select("k", F.lit(site).alias("site"), "html", "county", F.col("st").alias("state")))
+    return lambda spark, sf: cards.search_listings(pages_of(page_places(spark, sf), *parts).select("k", F.lit(site).alias("site"), "html", "county", F.col("st").alias("state")))
 
 
 FOUND = "SELECT k, price::DOUBLE AS price, acres::DOUBLE AS acres, county, st AS state, {url} AS url FROM place {where}"
@@ -238,7 +238,7 @@ site_query("ext16_tuttland", "tuttland", "'https://www.tuttland.com/land/' || k"
 
 @query("SELECT k, price::DOUBLE AS price, acres - 0.25 AS acres FROM place")
 def ext02_landwatch(spark, sf):
-    d = places(spark, sf).withColumn("exact", (F.col("acres") - F.lit(0.25)).cast("decimal(10,2)"))
+    d = page_places(spark, sf).withColumn("exact", (F.col("acres") - F.lit(0.25)).cast("decimal(10,2)"))
     d = pages_of(d, '<script type="application/ld+json">[{"url": "https://www.landwatch.com/a/pid/{k}", "description": "{exact} +/- acre tract"}]</script><div><a href="/a/pid/{k}">Tract {k}</a> $ {price} {acres} acres in {county} County</div>')
     return cards.search_listings(d.select("k", F.lit("landwatch").alias("site"), "html", "county", F.col("st").alias("state"))).select("k", "price", "acres")
 
@@ -254,7 +254,7 @@ def ext09_near_names(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price, county FROM place")
 def ext12_labels(spark, sf):
-    d = pages_of(places(spark, sf), '<p class="listings-detail__item"><span>Price:</span><b class="listings-detail__info">$ {price}</b></p><p class="listings-detail__item"><span>County:</span><b class="listings-detail__info">{county}</b></p>')
+    d = pages_of(page_places(spark, sf), '<p class="listings-detail__item"><span>Price:</span><b class="listings-detail__info">$ {price}</b></p><p class="listings-detail__item"><span>County:</span><b class="listings-detail__info">{county}</b></p>')
     m = d.select("k", cards.detail_of(F.col("html"))["labels"].alias("m"))
     return m.select("k", numbers.price(F.try_element_at("m", F.lit("price"))).alias("price"), F.try_element_at("m", F.lit("county")).alias("county"))
 
@@ -264,21 +264,21 @@ LANDFLIP_PAGE = ('<html><head><script type="application/ld+json">{"@type": "Prod
 
 @query("SELECT k, price::DOUBLE AS price, acres::DOUBLE AS acres, county, st AS state FROM place")
 def ext14_landflip_detail(spark, sf):
-    d = subject.with_detail(pages_of(places(spark, sf), *LANDFLIP_PAGE))
+    d = subject.with_detail(pages_of(page_places(spark, sf), *LANDFLIP_PAGE))
     about = pages.meta_description(F.col("html"))
     return d.select("k", F.col("d.offer_price").alias("price"), subject.description_acres(about).alias("acres"), subject.description_place(about)["county"].alias("county"), subject.description_place(about)["state"].alias("state"))
 
 
 @query("SELECT k, 'Land in ' || county || ' with a view. A long story about ' || county || ' and its land.' AS d FROM place")
 def ext17_description(spark, sf):
-    d = pages_of(places(spark, sf), '<html><head><meta property="og:description" content="Land in {county} with a view."><meta name="description" content="in {county}"></head><body><nav>menu</nav><div><p>A long story about {county} and its land.</p></div></body></html>')
+    d = pages_of(page_places(spark, sf), '<html><head><meta property="og:description" content="Land in {county} with a view."><meta name="description" content="in {county}"></head><body><nav>menu</nav><div><p>A long story about {county} and its land.</p></div></body></html>')
     return d.withColumn("d", cards.detail_of(F.col("html"))).select("k", subject.detail_description(F.col("html"), F.col("d")).alias("d"))
 
 
 @query("SELECT k, CASE WHEN k % 3 = 0 THEN 31.5 WHEN k % 3 = 1 THEN 32.5 ELSE 33.5 END AS lat FROM place")
 def ext18_coordinates(spark, sf):
     html = F.when(F.col("k") % 3 == 0, '<script type="application/ld+json">{"geo": {"latitude": "31.5", "longitude": -90.5}}</script><meta name="ICBM" content="40, -90">').when(F.col("k") % 3 == 1, '<meta name="ICBM" content="32.5, -90.5"><a href="?q=33.5,-90.5">').otherwise('<a href="https://m.example/?q=33.5,-90.5">')
-    d = places(spark, sf).withColumn("html", html).withColumn("g", cards.detail_of(F.col("html"))["geo"])
+    d = page_places(spark, sf).withColumn("html", html).withColumn("g", cards.detail_of(F.col("html"))["geo"])
     return d.select("k", subject.page_coordinates(F.col("html"), F.col("g"))["lat"].alias("lat"))
 
 
@@ -294,7 +294,7 @@ DETAILS = {
 
 
 def detail_pages(spark, sf, *sites):
-    d = places(spark, sf).withColumn("stlow", F.lower("stname")).withColumn("colow", F.lower("county"))
+    d = page_places(spark, sf).withColumn("stlow", F.lower("stname")).withColumn("colow", F.lower("county"))
     out = None
     for x in sites or DETAILS:
         url, html = DETAILS[x]
@@ -332,7 +332,7 @@ def ext19_subjects(spark, sf):
 
 @query("SELECT k, '<body>' || county AS scoped FROM place")
 def ext26_scope(spark, sf):
-    d = pages_of(places(spark, sf), "<body>{county}<h3>You may also-like</h3><p>x</p>")
+    d = pages_of(page_places(spark, sf), "<body>{county}<h3>You may also-like</h3><p>x</p>")
     return d.select("k", cards.detail_of(F.col("html"))["scoped_html"].alias("scoped"))
 
 
@@ -343,7 +343,7 @@ def ext27_visible_text(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price, 'Sold' AS status, k || ' acre farm' AS name FROM place")
 def ext28_json_ld(spark, sf):
-    d = pages_of(places(spark, sf), '<script type="application/ld+json">broken</script><script type="application/ld+json">{"@graph": [{"name": "site", "price": 5}, {"name": "{k} acre farm", "offers": [{"price": "{price}", "availability": "SoldOut"}]}]}</script>').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), '<script type="application/ld+json">broken</script><script type="application/ld+json">{"@graph": [{"name": "site", "price": 5}, {"name": "{k} acre farm", "offers": [{"price": "{price}", "availability": "SoldOut"}]}]}</script>').select("k", cards.detail_of(F.col("html")).alias("d"))
     return d.select("k", F.col("d.ld_price").alias("price"), T.status_of_availability(F.col("d.availability")).alias("status"), F.col("d.ld_name").alias("name"))
 
 
@@ -354,7 +354,7 @@ def ext29_intake(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price, '' AS flags, 'under contract' AS review_flags FROM place")
 def ext30_audit_reading(spark, sf):
-    d = pages_of(places(spark, sf), '<html><head><title>Farm</title><script type="application/ld+json">{"offers": {"price": {price}}}</script></head><body><p>fine {acres} acres</p><h2>Similar</h2><p>one is under contract</p></body></html>').withColumn("url", F.lit("https://x.example/1"))
+    d = pages_of(page_places(spark, sf), '<html><head><title>Farm</title><script type="application/ld+json">{"offers": {"price": {price}}}</script></head><body><p>fine {acres} acres</p><h2>Similar</h2><p>one is under contract</p></body></html>').withColumn("url", F.lit("https://x.example/1"))
     r = subject.audit_readings(d.select("k", "url", "html"))
     return r.select("k", F.col("ld_price").alias("price"), F.array_join("flags", ",").alias("flags"), F.array_join("review_flags", ",").alias("review_flags"))
 
@@ -365,12 +365,12 @@ scalar("ext32_market_status", "(k % 4)::DOUBLE AS n", lambda: dict(n=pages.marke
 
 @query("SELECT k, price::DOUBLE AS price FROM place")
 def ext33_price(spark, sf):
-    d = pages_of(places(spark, sf), '<body><p class="price">$900/acre</p><b itemprop="price">$ {price}</b></body>')
+    d = pages_of(page_places(spark, sf), '<body><p class="price">$900/acre</p><b itemprop="price">$ {price}</b></body>')
     return subject.with_detail(d).select("k", subject.read_price().alias("price"))
 
 
 def ld_prices(spark, sf):
-    return pages_of(places(spark, sf), '<script type="application/ld+json">{"offers": [{"price": 10}, {"price": "${price}"}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"offers": [{"price": 10}, {"price": "${price}"}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
 
 
 @query("SELECT k, price::DOUBLE AS price FROM place")
@@ -380,7 +380,7 @@ def ext34_offer_price(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price FROM place")
 def ext35_first_ld_price(spark, sf):
-    return pages_of(places(spark, sf), '<script type="application/ld+json">{"price": 7}</script><script type="application/ld+json">{"@graph": [{"price": {price}}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"price": 7}</script><script type="application/ld+json">{"@graph": [{"price": {price}}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'first ' || id WHEN id % 3 = 0 THEN 'second ' || id END AS description FROM record")
@@ -396,7 +396,7 @@ def joi11_card_descriptions(spark, sf):
 
 @query("SELECT k, '31.5, -90.5' AS geo FROM place")
 def set08_json_search(spark, sf):
-    return pages_of(places(spark, sf), '<script type="application/ld+json">{"a": [{"b": {"latitude": 31.5, "longitude": -90.5, "k": {k}}}]}</script>').select("k", cards.detail_of(F.col("html"))["geo"].alias("geo"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"a": [{"b": {"latitude": 31.5, "longitude": -90.5, "k": {k}}}]}</script>').select("k", cards.detail_of(F.col("html"))["geo"].alias("geo"))
 
 
 def plugin_counts(d):
@@ -409,13 +409,13 @@ def plugin_counts(d):
 @query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) GROUP BY 1")
 def udf01_plugins(spark, sf):
     """Every registered site reads its own kind of page, for all places."""
-    return plugin_counts(places(spark, sf))
+    return plugin_counts(page_places(spark, sf))
 
 
 @query("SELECT site, count(*) AS n FROM place, (SELECT unnest(['landwatch', 'landcom', 'landfarm', 'landsofamerica', 'livingthedream', 'whitetail', 'mossyoak', 'midwestlandgroup', 'landflip', 'nationalland', 'tuttland']) AS site) GROUP BY 1")
 def udf01_plugins_whole(spark, sf):
     """Every registered site reads the pages of all places."""
-    return plugin_counts(places(spark, sf))
+    return plugin_counts(page_places(spark, sf))
 
 
 @query("SELECT k, CASE WHEN k % 10 <> 0 THEN county END AS name, CASE WHEN k % 10 <> 0 THEN '/t/' || k END AS url, CASE WHEN k % 10 = 0 THEN 'ValueError: page of ' || county END AS error, CASE WHEN k % 10 <> 0 THEN acres END AS lot FROM place")
@@ -430,7 +430,7 @@ def udf01_registry(spark, sf):
 
     if "lots-of-places" not in plugins.REGISTRY:
         plugins.register(plugins.Site("lots-of-places", lots, more="lot long"))
-    d = places(spark, sf).withColumn("html", F.when(F.col("k") % 10 == 0, F.concat(F.lit("!"), "county")).otherwise(F.concat_ws("|", "county", "k", "acres"))).select("k", "html")
+    d = page_places(spark, sf).withColumn("html", F.when(F.col("k") % 10 == 0, F.concat(F.lit("!"), "county")).otherwise(F.concat_ws("|", "county", "k", "acres"))).select("k", "html")
     return plugins.read_pages(d, "lots-of-places").select("k", "name", "url", "error", "lot")
 
 
