@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.pages import high_risk_zone
+from ..scratch import written
 
 #: Rows of cells that one row of a table is exploded into at a time; a side or polygon of more is dealt out in pieces.
 PIECE = 10_000
@@ -65,12 +66,27 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.0
     e = only(sides(polygons.select(F.col(key).alias("k"), F.col(rings).alias("rings"))), "x1", "y1", "x2", "y2")
     e = e.withColumn("low", number(F.least("y1", "y2"))).withColumn("high", number(F.greatest("y1", "y2")))
     e = spread(e, "low", "high", "row").drop("low", "high")
-    reach = e.groupBy("k", "row").agg(F.min(number(F.least("x1", "x2"), BLOCK)).alias("west"), F.max(number(F.greatest("x1", "x2"), BLOCK)).alias("east"))
-    near = p.join(spread(reach, "west", "east", "block").drop("west", "east"), ["row", "block"])
+    reach = e.groupBy("k", "row").agg(F.min(F.least("x1", "x2")).alias("first"), F.max(F.greatest("x1", "x2")).alias("last"))
+    reach = spread(reach.withColumn("west", number(F.col("first"), BLOCK)).withColumn("east", number(F.col("last"), BLOCK)), "west", "east", "block").drop("west", "east")
+    # a point west of all sides of its row crosses an even number of them, one east of all none
+    near = p.join(reach, ["row", "block"]).where("x BETWEEN first AND last").drop("first", "last")
     d = near.join(e, ["k", "row"]).groupBy("x", "y", "k").agg(F.sum(crossed().cast("int")).alias("n"), F.max(on_side()).alias("border"))
     return d.where("border OR n % 2 = 1").select(F.col("x").alias(x), F.col("y").alias(y), F.col("k").alias(key), "border")
 
 
+def shapes(zones: DataFrame, order: Column) -> DataFrame:
+    """(shape, rings, zone_id, zone) of zones: those of equal rings are one, named by the first in order; one of several rows is not joined with others.
+
+    Zones over the same ground are asked once, so that work follows different shapes and not how often each occurs.
+    """
+    rows = zones.where("rings IS NOT NULL").select("zone_id", "zone", "rings")
+    n = rows.groupBy("zone_id").agg(F.count("*").alias("n"))
+    d = rows.join(n, "zone_id").withColumn("shape", F.when(F.col("n") == 1, F.sha2(F.col("rings").cast("string"), 256)).otherwise(F.concat(F.lit("zone "), F.col("zone_id").cast("string"))))
+    several = d.where("n > 1").select("shape", "rings", "zone_id", "zone")
+    one = d.where("n = 1").groupBy("shape").agg(F.min_by(F.struct("rings", "zone_id", "zone"), order).alias("z")).select("shape", "z.*")
+    return one.unionByName(several)
+
+
 def in_flood_zones(records: DataFrame, zones: DataFrame, cell: float = 0.01) -> DataFrame:
     """records with lat, lng and zone: the flood zone that holds their coordinates.
 
@@ -81,8 +97,11 @@ def in_flood_zones(records: DataFrame, zones: DataFrame, cell: float = 0.01) ->
     """
     spot = numbers.coordinates(F.col("coordinates"))
     d = records.drop("lat", "lng", "zone").withColumn("_p", spot).withColumn("lat", F.col("_p.lat")).withColumn("lng", F.col("_p.lng")).drop("_p")
-    zones = zones.where("zone IS NOT NULL AND zone <> ''")
-    found = points_in_polygons(d.select("lat", "lng"), zones, cell).join(zones.select("zone_id", F.upper("zone").alias("zone")), "zone_id")
-    best = found.groupBy("lat", "lng").agg(F.min_by("zone", F.struct(~F.coalesce(high_risk_zone(F.col("zone")), F.lit(False)), F.col("zone_id"))).alias("zone"))
-    d = d.join(best, ["lat", "lng"], "left")
+    order = F.struct(~F.coalesce(high_risk_zone(F.col("zone")), F.lit(False)), F.col("zone_id"))
+    zones = written(shapes(zones.where("zone IS NOT NULL AND zone <> ''").withColumn("zone", F.upper("zone")), order), "shapes")
+    found = points_in_polygons(d.select("lat", "lng"), zones, cell, key="shape").join(zones.select("shape", "zone_id", "zone").distinct(), "shape")
+    best = found.groupBy("lat", "lng").agg(F.min_by("zone", order).alias("zone"))
+    # rows without a spot are not dealt out by it: they would be one task's
+    has = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    d = d.where(has).join(best, ["lat", "lng"], "left").unionByName(d.where(~has).withColumn("zone", F.lit(None).cast("string")), allowMissingColumns=False)
     return d.withColumn("zone", F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.coalesce("zone", F.lit("NONE")))).select(*[c for c in records.columns if c not in ("lat", "lng", "zone")], "lat", "lng", "zone")

@@ -63,3 +63,16 @@ def test_flood_zones(spark):
     assert [r.zone for r in spatial.in_flood_zones(d, zones).orderBy("id").collect()] == [z for _, z in spots]
     assert {r.zone for r in spatial.in_flood_zones(d.where("id < 3"), zones.limit(0)).collect()} == {"NONE"}
     assert spatial.in_flood_zones(d.limit(0), zones).count() == 0
+
+
+def test_equal_shapes_are_asked_once(spark):
+    """Zones of equal rings are one shape, with the first of high risk; a zone of two rows stays one polygon with a hole."""
+    big, hole = [[(-90.0, 30.0), (-88.0, 30.0), (-88.0, 32.0), (-90.0, 32.0)]], [[(-89.5, 30.5), (-88.5, 30.5), (-88.5, 31.5), (-89.5, 31.5)]]
+    rows = [(i, "X" if i % 5 else None, big) for i in range(1, 200)] + [(300, "ve", big), (301, "AE", big), (400, "A", hole), (500, "V", big), (500, "V", hole)]
+    zones = spark.createDataFrame(rows, KINDS)
+    order = F.struct(~F.col("zone").rlike("(?i)^[av]"), F.col("zone_id"))
+    kept = spatial.shapes(zones.where("zone IS NOT NULL"), order).select("zone_id", "zone").collect()
+    assert sorted(map(tuple, kept)) == [(300, "ve"), (400, "A"), (500, "V"), (500, "V")]
+    d = spark.createDataFrame([(1, "31.0, -89.0"), (2, "30.2, -89.0"), (3, "40.0, -89.0"), (4, None)], "id int, coordinates string")
+    assert [r.zone for r in spatial.in_flood_zones(d, zones).orderBy("id").collect()] == ["VE", "VE", "NONE", None]
+    assert [r.zone for r in spatial.in_flood_zones(d, zones.where("zone_id IN (400, 500)")).orderBy("id").collect()] == ["A", "V", "NONE", None]
