@@ -425,5 +425,5 @@ def snk01_store_writer(spark, sf):
     r = records(spark, sf).withColumn("created", F.col("created").cast("timestamp")).where("id % 8 = 0")
     rows = r.unionByName(r.withColumn("url", F.concat("url", F.lit("/new"))).withColumn("price", F.lit(1.0)))
     for _ in range(2):
-        rows.repartition(4, "url").write.format("listing_store").mode("append").option("batch", 1000).option("failed", f"{path}-failed").save(path)
+        datasource.append(rows, path, 4, batch=1000, failed=f"{path}-failed")
     return datasource.load(spark, path, STORED).select("url", "price")

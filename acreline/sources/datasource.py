@@ -4,6 +4,11 @@ A store is reached by a client, a class named by the option client (module:Class
 options. It has parts(), the names of what can be read apart; rows(part, formula, wanted), which yields dicts; find(urls),
 those of urls that are stored; and create(rows), which raises Transient if nothing was stored and may be tried again, and
 Unclear if that is not known. Formula and wanted say the same: the store's own text, and a list of (field, kind, value).
+A client may also have groups(), lists of parts that one task reads, and batches(part, formula, wanted, schema), the rows as
+Arrow batches of a schema.
+
+A lookup costs a pass over what is stored where the store has no index, so append() tells new rows from stored ones by one
+join, and its writer looks up only what a task that runs again may have created before.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 from pyspark.sql.types import Row, StructType
 
 
@@ -82,6 +89,10 @@ def selection(f: D.Filter) -> tuple[str, str, object] | None:
     return (f.attribute[0], kind, f.value) if kind and len(f.attribute) == 1 else None
 
 
+#: Bytes of stored files that one task reads; a store of many small batches is not a task each.
+GROUP_BYTES = 32 << 20
+
+
 class FolderClient:
     """A store of Parquet files in a folder that all machines share; a file is a part, and so is each batch's own file."""
 
@@ -97,13 +108,28 @@ class FolderClient:
 
         return ds.dataset(parts, filesystem=self.files, format="parquet")
 
-    def parts(self) -> list[str]:
+    def sizes(self) -> list[tuple[str, int]]:
         from pyarrow import fs
 
         found = self.files.get_file_info(fs.FileSelector(self.path, recursive=True, allow_not_found=True))
-        return sorted(f.path for f in found if f.is_file and f.size and f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
+        return sorted((f.path, f.size) for f in found if f.is_file and f.size and f.base_name.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
 
-    def rows(self, part: str, formula: str, wanted: list) -> Iterator[dict]:
+    def parts(self) -> list[str]:
+        return [p for p, _ in self.sizes()]
+
+    def groups(self) -> list[list[str]]:
+        """The parts in lists of GROUP_BYTES together, a larger one alone."""
+        out, held = [], GROUP_BYTES
+        for part, size in self.sizes():
+            if held + size > GROUP_BYTES:
+                out.append([])
+                held = 0
+            out[-1].append(part)
+            held += size
+        return out
+
+    def selected(self, part: str, wanted: list, columns: list[str] | None = None) -> Iterator:
+        """Arrow batches of a part's rows, with all its columns or those of columns that it has."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -123,10 +149,24 @@ class FolderClient:
         for field, kind, value in wanted:
             own = tests[kind](pc.field(field), value)
             keep = own if keep is None else keep & own
-        for batch in self.dataset([part]).to_batches(filter=keep, batch_size=4096):
+        d = self.dataset([part])
+        some = columns if columns is None else [c for c in columns if c in d.schema.names]
+        for batch in d.to_batches(columns=some, filter=keep, batch_size=4096):
             # files may hold times in nanoseconds or without a zone, which then is UTC
             whole = {f.name: pa.timestamp("us", "UTC") if pa.types.is_timestamp(f.type) else f.type for f in batch.schema}
-            yield from batch.cast(pa.schema(whole.items())).to_pylist()
+            yield batch.cast(pa.schema(whole.items()))
+
+    def rows(self, part: str, formula: str, wanted: list) -> Iterator[dict]:
+        for batch in self.selected(part, wanted):
+            yield from batch.to_pylist()
+
+    def batches(self, part: str, formula: str, wanted: list, schema) -> Iterator:
+        import pyarrow as pa
+
+        for batch in self.selected(part, wanted, schema.names):
+            have = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            cols = [have[f.name].cast(f.type) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     def find(self, urls: list[str]) -> set[str]:
         import pyarrow.dataset as ds
@@ -154,7 +194,7 @@ def client(options: dict[str, str]):
 
 class StoreReader(D.DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
-        self.names, self.options, self.wanted = schema.names, options, []
+        self.schema, self.names, self.options, self.wanted = schema, schema.names, options, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -164,12 +204,20 @@ class StoreReader(D.DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [D.InputPartition(p) for p in client(self.options).parts()] or [D.InputPartition(None)]
+        store = client(self.options)
+        groups = store.groups() if hasattr(store, "groups") else [[p] for p in store.parts()]
+        return [D.InputPartition(g) for g in groups] or [D.InputPartition([])]
 
     def read(self, partition):
-        if partition.value is not None:
-            for r in client(self.options).rows(partition.value, formula(self.wanted), self.wanted):
-                yield tuple(r.get(c) for c in self.names)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        store, said = client(self.options), formula(self.wanted)
+        for part in partition.value:
+            if hasattr(store, "batches"):
+                yield from store.batches(part, said, self.wanted, to_arrow_schema(self.schema))
+            else:
+                for r in store.rows(part, said, self.wanted):
+                    yield tuple(r.get(c) for c in self.names)
 
 
 @dataclass
@@ -181,10 +229,14 @@ class Written(D.WriterCommitMessage):
 
 
 class StoreWriter(D.DataSourceWriter):
-    """Options: batch (10 rows), waits (seconds before each new try, "5,15"), failed (a folder of the batches that failed)."""
+    """Options: batch (10 rows), waits (seconds before each new try, "5,15"), failed (a folder of the batches that failed), new.
+
+    With new ("true", see append) no row was stored when the job began and no key comes twice, so the first attempt of a
+    task sends its batches without a lookup. It leaves a mark below failed, by which any later one knows to look up.
+    """
 
     def __init__(self, schema: StructType, options: dict[str, str]):
-        self.options, self.key = options, options.get("key", "url")
+        self.options, self.key, self.job = options, options.get("key", "url"), uuid.uuid4().hex
         self.size, self.waits = int(options.get("batch", "10")), [float(x) for x in options.get("waits", "5,15").split(",") if x]
 
     def sent(self, store, rows: list[dict]) -> tuple[int, bool]:
@@ -209,11 +261,12 @@ class StoreWriter(D.DataSourceWriter):
         context, store = TaskContext.get(), client(self.options)
         part, created, found, failed, seen = context.partitionId(), 0, 0, [], set()
         held: list[dict] = []
+        new = self.new() and not self.begun(part)
 
         def flush():
             nonlocal created, found, held
             # a task that runs again, or a row that comes again, finds what is there
-            have = store.find([r[self.key] for r in held])
+            have = set() if new else store.find([r[self.key] for r in held])
             rows = [r for r in held if r[self.key] not in have]
             found += len(held) - len(rows)
             if rows:
@@ -236,35 +289,60 @@ class StoreWriter(D.DataSourceWriter):
             flush()
         return Written(part, created, found, self.set_aside(failed, part, context.taskAttemptId()) if failed else None)
 
-    def set_aside(self, rows: list[dict], part: int, attempt: int) -> str:
-        """Failed rows as JSON lines, under a name of this attempt that no reader takes before the commit."""
+    def new(self) -> bool:
+        return self.options.get("new", "false").lower() == "true"
+
+    def marks(self):
+        """The file system and folder of the marks of this job's tasks."""
+        files, path = self.failed_folder()
+        return files, f"{path}/_begun-{self.job}"
+
+    def begun(self, part: int) -> bool:
+        """Whether an attempt of the task has begun before; from now on one has. Attempt numbers begin anew with a stage's."""
         from pyarrow import fs
 
-        path = self.options["failed"]
-        files, path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        files, path = self.marks()
+        before = files.get_file_info(f"{path}/{part}").type != fs.FileType.NotFound
+        files.create_dir(path, recursive=True)
+        files.open_output_stream(f"{path}/{part}").close()
+        return before
+
+    def clear(self) -> None:
+        if self.new():
+            from pyarrow import fs
+
+            files, path = self.marks()
+            if files.get_file_info(path).type != fs.FileType.NotFound:
+                files.delete_dir(path)
+
+    def set_aside(self, rows: list[dict], part: int, attempt: int) -> str:
+        """Failed rows as JSON lines, under a name of this attempt that no reader takes before the commit."""
+        files, path = self.failed_folder()
         files.create_dir(path, recursive=True)
         name = f"{path}/_{part:06d}-{attempt}-{uuid.uuid4().hex}.jsonl"
         with files.open_output_stream(name) as f:
             f.write("".join(json.dumps(r, default=str) + "\n" for r in rows).encode())
         return name
 
-    def failed_files(self):
+    def failed_folder(self):
         from pyarrow import fs
 
         path = self.options.get("failed", "")
-        return fs.FileSystem.from_uri(path)[0] if "://" in path or path.startswith("file:") else fs.LocalFileSystem()
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
     def commit(self, messages: list[Written | None]) -> None:
+        self.clear()
         for m in messages:
             if m and m.failed:
                 folder, _, name = m.failed.rpartition("/")
-                self.failed_files().move(m.failed, f"{folder}/{name[1:]}")
+                self.failed_folder()[0].move(m.failed, f"{folder}/{name[1:]}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """What was created stays, as a next run finds it; what was set aside goes."""
+        self.clear()
         for m in messages:
             if m and m.failed:
-                self.failed_files().delete_file(m.failed)
+                self.failed_folder()[0].delete_file(m.failed)
 
 
 class ListingStore(D.DataSource):
@@ -297,3 +375,14 @@ def load(spark, path: str, schema: str | StructType, **options: str):
     """
     register(spark)
     return spark.read.format("listing_store").schema(schema).options(**options).load(path)
+
+
+def append(rows: DataFrame, path: str, tasks: int, key: str = "url", **options: str | int) -> None:
+    """Creates the rows whose key the store lacks, the first of each key, by so many tasks at a time.
+
+    Stored keys are read once and joined, whatever the number of rows and batches; then they are sent as by the writer.
+    """
+    register(rows.sparkSession)
+    stored = load(rows.sparkSession, path, StructType([rows.schema[key]]), key=key, **{k: v for k, v in options.items() if k == "client"}).withColumnRenamed(key, "_stored")
+    new = rows.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti").repartition(tasks, key).dropDuplicates([key])
+    new.write.format("listing_store").mode("append").options(key=key, new="true", **options).save(path)

@@ -108,6 +108,45 @@ def test_failed_task_runs_again(spark, tmp_path):
     assert sorted(got) == sorted(f"u{i}" for i in range(40)) and failed(path) == []
 
 
+class Counted(FolderClient):
+    """A store that tells of its lookups, and fails once in the middle where it is told to."""
+
+    def note(self, name):
+        os.makedirs(f"{self.path}-notes", exist_ok=True)
+        open(f"{self.path}-notes/{name}-{len(os.listdir(f'{self.path}-notes'))}", "x").close()
+
+    def find(self, urls):
+        self.note("find")
+        return super().find(urls)
+
+
+def notes(path):
+    return os.listdir(f"{path}-notes") if os.path.isdir(f"{path}-notes") else []
+
+
+def test_append_reads_what_is_stored_once(spark, tmp_path):
+    """New rows are told by one join, not by a pass over the store for every batch; rows that come again are created once."""
+    path = str(tmp_path / "store")
+    spark.createDataFrame([(f"u{i}", "old", 1.0) for i in range(50)] + [(None, "old", 1.0)], KINDS).write.parquet(path)
+    rows = spark.createDataFrame([(f"u{i % 150}", "new", 2.0) for i in range(300)] + [(None, "new", 2.0)], KINDS)
+    for _ in range(2):
+        datasource.append(rows, path, 2, client="tests.test_datasource:Counted", failed=f"{path}-failed", batch=5)
+    got = read(spark, path).collect()
+    assert len(got) == 151 and {r.url for r in got if r.stage == "old"} == {f"u{i}" for i in range(50)} | {None}
+    assert notes(path) == [] and failed(path) == []
+    # 20 small files and the first are no task each
+    assert read(spark, path).rdd.getNumPartitions() == 1
+    assert read(spark, path).where("price > 1 AND url = 'u60'").count() == 1
+
+
+def test_a_later_attempt_looks_up(tmp_path):
+    """A mark below the folder of failed batches tells an attempt that another has begun, whatever its number."""
+    w = datasource.StoreWriter(None, {"new": "true", "failed": str(tmp_path)})
+    assert [w.begun(3), w.begun(4), w.begun(3)] == [False, False, True]
+    w.clear()
+    assert os.listdir(tmp_path) == []
+
+
 def test_replayed_files_are_archived(spark, tmp_path):
     """A file is replayed once over several runs and moves to the archive; equal names of different days do not clash."""
     from acreline.sources import sinks
