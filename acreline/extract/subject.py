@@ -10,9 +10,18 @@ from ..functions import text as T
 from .cards import detail_of
 
 
-def with_detail(rows: DataFrame, html: str = "html") -> DataFrame:
-    """rows with struct d of what the page says and text t, its visible text."""
-    return rows.withColumn("d", detail_of(F.col(html))).withColumn("t", pages.visible_text(F.col(html)))
+#: Fields of the page function that the readings of a site use; of a site that is not named all of READING.
+READING = ("title", "scoped_html", "h1", "availability", "ld_price", "ld_name", "offer_price", "price_texts", "panel")
+NEEDS = {
+    **dict.fromkeys(("LandWatch", "WhitetailProperties", "MossyOakProperties"), ()),
+    "TuttLand": ("availability", "ld_price", "ld_name", "panel"),
+    "LANDFLIP": ("scoped_html", "h1", "availability", "ld_price", "offer_price"),
+}
+
+
+def with_detail(rows: DataFrame, html: str = "html", *fields: str) -> DataFrame:
+    """rows with struct d of what the page says, of all fields or some, and text t, its visible text."""
+    return rows.withColumn("d", detail_of(F.col(html), *fields)).withColumn("t", pages.visible_text(F.col(html)))
 
 
 def read_price() -> Column:
@@ -25,17 +34,18 @@ def scoped_text() -> Column:
     return F.trim(pages.visible_text(F.regexp_replace("d.scoped_html", r"(?is)^.*?<body[^>]*>", "")))
 
 
-def text_status(html: Column) -> Column:
-    """The status that titles, descriptions and the scoped body say by phrase."""
+def text_status(html: Column, own: Column | None = None) -> Column:
+    """The status that titles, descriptions and the scoped body (own, else worked out) say by phrase."""
     plain = lambda c: F.coalesce(T.squeeze(c), F.lit(""))
     title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]+>", "")
     og = F.regexp_extract(html, r"(?i)<meta\s[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"']*)", 1)
-    fields = [plain(title), plain(og), plain(F.col("d.h1")), pages.meta_description(html), scoped_text()]
+    fields = [plain(title), plain(og), plain(F.col("d.h1")), pages.meta_description(html), scoped_text() if own is None else own]
     return T.merged_status(F.flatten(F.array(*[T.availability(f) for f in fields])))
 
 
-def generic_acres(html: Column) -> Column:
-    return numbers.usual_acres(F.concat_ws(" ", F.col("d.title"), pages.meta_description(html), scoped_text()))
+def generic_acres() -> Column:
+    """Takes the columns of with_parts."""
+    return numbers.usual_acres(F.concat_ws(" ", "d.title", "about", "own"))
 
 
 def panel_status() -> Column:
@@ -58,11 +68,16 @@ def description_acres(c: Column) -> Column:
     return numbers.acreage(F.regexp_extract(c, rf"(?i)(?<![A-Za-z0-9_])with\s+({numbers.ACREAGE})\s+acres?(?![A-Za-z0-9_])", 1))
 
 
-def with_parts(rows: DataFrame, html: str, url: str) -> DataFrame:
-    """with_detail, and what several sites' readings share, each worked out once a row: site, about, slug, said and some_acres; the last two where the site's reading asks for them."""
-    h, d = F.col(html), with_detail(rows, html).withColumn("site", keys.source_of(F.col(url)))
-    own = F.col("site").isin("LandWatch", "WhitetailProperties", "MossyOakProperties", "TuttLand")
-    return d.withColumns({"about": pages.meta_description(h), "slug": keys.county_of_url(F.col(url)), "said": F.when(~own, text_status(h)), "some_acres": F.when(~own & (F.col("site") != "LANDFLIP"), generic_acres(h))})
+def with_parts(rows: DataFrame, html: str, url: str, whole: bool = True) -> DataFrame:
+    """with_detail, and what several sites' readings share, each worked out once a row: site, about, slug, own (the scoped text), said and some_acres; the last two where the site's reading asks for them.
+
+    Struct d has the fields of READING; unless whole, those alone that the site's own reading uses are not null.
+    """
+    h, d = F.col(html), rows.withColumn("site", keys.source_of(F.col(url)))
+    d = d.withColumn("d", detail_of(h, *READING) if whole else detail_of(h, *READING, site=F.col("site"), needs=NEEDS)).withColumn("t", pages.visible_text(h))
+    d = d.withColumns({"about": pages.meta_description(h), "slug": keys.county_of_url(F.col(url)), "own": scoped_text()})
+    asks = ~F.col("site").isin("LandWatch", "WhitetailProperties", "MossyOakProperties", "TuttLand")
+    return d.withColumns({"said": F.when(asks, text_status(h, F.col("own"))), "some_acres": F.when(asks & (F.col("site") != "LANDFLIP"), generic_acres())})
 
 
 def ld_subject(source: str) -> Column:
@@ -104,10 +119,10 @@ def generic_subject() -> Column:
     return numbers.let(F.struct(read_price().alias("price"), F.col("some_acres").alias("acres"), status.alias("status")), reading)
 
 
-def with_subject(rows: DataFrame, html: str, url: str) -> DataFrame:
+def with_subject(rows: DataFrame, html: str, url: str, whole: bool = True) -> DataFrame:
     """Struct row of the columns of rows, html, url, the columns of with_parts, and struct subject, read the way of the URL's site."""
     # the parts are named so that no column of rows can be taken for one
-    d = with_parts(rows.select(F.struct(*rows.columns).alias("row"), F.col(html).alias("html"), F.col(url).alias("url")), "html", "url")
+    d = with_parts(rows.select(F.struct(*rows.columns).alias("row"), F.col(html).alias("html"), F.col(url).alias("url")), "html", "url", whole)
     title, t, about, slug = pages.title_of(F.col("html")), F.col("t"), F.col("about"), F.col("slug")
     national = numbers.let(pages.nationalland_reading(t, title), lambda v: F.when(v["ok"], v).otherwise(ld_subject("NationalLandRealty")))
     readers = {"LandWatch": pages.landwatch_reading(t, about, slug), "WhitetailProperties": pages.whitetail_reading(t, slug), "MossyOakProperties": pages.mossyoak_reading(t, slug), "NationalLandRealty": national, **{x: ld_subject(x) for x in ("TuttLand", "LANDFLIP", "LandAndFarm")}}
@@ -119,19 +134,19 @@ def with_subject(rows: DataFrame, html: str, url: str) -> DataFrame:
 
 def subjects(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """rows with struct subject, read the way of the site that the URL belongs to."""
-    return with_subject(rows, html, url).select("row.*", "subject")
+    return with_subject(rows, html, url, whole=False).select("row.*", "subject")
 
 
 def intake_flags() -> Column:
     s = F.col("subject")
-    return F.when(s["ok"], F.when(s["unavailable"], F.array(F.lower(s["status"]))).otherwise(F.array().cast("array<string>"))).otherwise(T.availability(F.concat_ws(" ", "d.title", "about", scoped_text())))
+    return F.when(s["ok"], F.when(s["unavailable"], F.array(F.lower(s["status"]))).otherwise(F.array().cast("array<string>"))).otherwise(T.availability(F.concat_ws(" ", "d.title", "about", "own")))
 
 
 def intake_columns() -> list[Column]:
     """What intake_details adds but flags, of the columns of with_subject."""
     s, about = F.col("subject"), F.col("about")
     error = F.when(~s["ok"] & (s["source"] != "generic"), F.concat(F.lit("Could not read the listing ("), F.coalesce(s["note"], F.lit("listing details not found on the page")), F.lit(")")))
-    return [T.clean_title(F.col("d.title")).alias("name"), F.substring(about, 1, 500).alias("description"), F.when(s["ok"], s["price"]).otherwise(read_price()).alias("price"), F.when(s["ok"], s["acres"]).otherwise(generic_acres(F.col("html"))).alias("acres"), s["county"].alias("county"), s["state"].alias("state"), F.col("flags"), error.alias("error")]
+    return [T.clean_title(F.col("d.title")).alias("name"), F.substring(about, 1, 500).alias("description"), F.when(s["ok"], s["price"]).otherwise(read_price()).alias("price"), F.when(s["ok"], s["acres"]).otherwise(F.coalesce("some_acres", generic_acres())).alias("acres"), s["county"].alias("county"), s["state"].alias("state"), F.col("flags"), error.alias("error")]
 
 
 def intake_details(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -25,7 +25,8 @@ def text_or_null(c: Column) -> Column:
 
 def number_prefix(c: Column) -> Column:
     """The number that a text begins with, null if none."""
-    return text_or_null(F.regexp_extract(F.ltrim(c), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)).try_cast("double")
+    # an empty text is kept from the cast, which answers it by an exception
+    return let(F.regexp_extract(F.ltrim(c), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0), text_or_null).try_cast("double")
 
 
 def currency(c: Column) -> Column:
@@ -40,8 +41,7 @@ def digits_number(c: Column) -> Column:
 
 def acreage(c: Column) -> Column:
     """A number of thousandths at most; null unless above 0."""
-    n = js_round(number_prefix(F.trim(F.regexp_replace(c, ",", ""))), 3)
-    return F.when(n > 0, n)
+    return let(js_round(number_prefix(F.trim(F.replace(c, F.lit(","), F.lit("")))), 3), lambda n: F.when(n > 0, n))
 
 
 def price(c: Column) -> Column:
@@ -55,8 +55,7 @@ def acres(c: Column) -> Column:
 
 def price_value(c: Column) -> Column:
     """A price above 1,000, else null."""
-    n = digits_number(c)
-    return F.when(n > 1000, n)
+    return let(digits_number(c), lambda n: F.when(n > 1000, n))
 
 
 def total_price(text: Column) -> Column:
@@ -87,28 +86,31 @@ def acreages(text: Column, pattern: str = ACRES_PHRASE) -> Column:
 
 def most_precise(headline: Column, candidates: Column) -> Column:
     """The headline, or a candidate with more decimals that rounds to it (the first of the most decimals)."""
-    tolerance = F.lit(0.5) * F.pow(F.lit(10.0), -decimal_places(headline)) + 1e-9
-    better = lambda best, c: F.when((decimal_places(c) > decimal_places(best)) & (F.abs(c - headline) <= tolerance), c).otherwise(best)
-    return F.aggregate(F.coalesce(candidates, F.array().cast("array<double>")), headline, better)
+
+    def of(v: Column) -> Column:
+        better = lambda best, c: F.when((decimal_places(c) > decimal_places(best)) & (F.abs(c - v["h"]) <= v["tolerance"]), c).otherwise(best)
+        return F.aggregate(F.coalesce(candidates, F.array().cast("array<double>")), v["h"], better)
+
+    tolerance = lambda h: F.lit(0.5) * F.pow(F.lit(10.0), -decimal_places(h)) + 1e-9
+    return let(headline, lambda h: let(F.struct(h.alias("h"), tolerance(h).alias("tolerance")), of))
 
 
 def headline_acres(text: Column) -> Column:
     """The first acreage of a card, refined by a later figure that agrees with it."""
-    found = acreages(text)
-    first = F.try_element_at(found, F.lit(1))
-    return F.when(first.isNotNull(), most_precise(first, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))))
+    rest = lambda found: F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+    return let(acreages(text), lambda found: let(F.try_element_at(found, F.lit(1)), lambda first: F.when(first.isNotNull(), most_precise(first, rest(found)))))
 
 
 def refined_acres(headline: Column, text: Column) -> Column:
-    return F.when(text.isNull() | (text == ""), headline).otherwise(most_precise(headline, acreages(text)))
+    return let(headline, lambda h: F.when(text.isNull() | (text == ""), h).otherwise(most_precise(h, acreages(text))))
 
 
 def usual_acres(text: Column) -> Column:
     """The most frequent of the first 25 acreages under 100,000; of equals the largest."""
     found = F.transform(F.regexp_extract_all(text, F.lit(SUBJECT_ACRES), F.lit(1)), acreage)
     found = F.slice(F.filter(found, lambda n: n < 100000), 1, 25)
-    ranked = F.transform(F.array_distinct(found), lambda v: F.struct(F.size(F.filter(found, lambda x: x == v)).alias("n"), v.alias("v")))
-    return F.array_max(ranked).getField("v")
+    ranked = lambda some: F.transform(F.array_distinct(some), lambda v: F.struct(F.size(F.filter(some, lambda x: x == v)).alias("n"), v.alias("v")))
+    return let(found, lambda some: F.array_max(ranked(some)).getField("v"))
 
 
 def coordinates(text: Column) -> Column:

@@ -72,13 +72,13 @@ def text_pages(spark, sf):
 
 @query("SELECT k, CASE WHEN k % 2 = 0 THEN 'sold' END AS status FROM place")
 def hlp01_text_status(spark, sf):
-    return subject.with_detail(text_pages(spark, sf)).select("k", subject.text_status(F.col("html")).alias("status"))
+    return subject.with_detail(text_pages(spark, sf), "html", "scoped_html", "h1").select("k", subject.text_status(F.col("html")).alias("status"))
 
 
 @query("SELECT k, 'Under Contract' AS status FROM place")
 def hlp02_panel_status(spark, sf):
     d = pages_of(page_places(spark, sf), '<aside class="tl-property-panel"><p class="tl-property-stat"><strong>{acres} acres</strong></p><p class="tl-property-stat"><strong>Under Contract</strong></p></aside>')
-    return subject.with_detail(d).select("k", subject.panel_status().alias("status"))
+    return subject.with_detail(d, "html", "panel").select("k", subject.panel_status().alias("status"))
 
 
 @query("SELECT k, k % 2 = 0 AS ok, CASE WHEN k % 2 = 0 THEN price::DOUBLE END AS price, CASE WHEN k % 2 = 0 THEN 'sold' END AS status_kind FROM place")
@@ -89,20 +89,20 @@ def hlp03_subject_form(spark, sf):
 
 @query("SELECT k, 'a' || county || 'b' AS scoped, true AS cut FROM place")
 def hlp04_widget_spans(spark, sf):
-    d = pages_of(page_places(spark, sf), 'a{county}"nearbyListings": [{"x": "]"}, [1]]b').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), 'a{county}"nearbyListings": [{"x": "]"}, [1]]b').select("k", cards.detail_of(F.col("html"), "scoped_html", "boundary").alias("d"))
     return d.select("k", F.col("d.scoped_html").alias("scoped"), F.col("d.boundary").alias("cut"))
 
 
 @query("SELECT k, '<body><p>' || county || '</p>' AS scoped FROM place")
 def hlp05_boundaries(spark, sf):
-    d = pages_of(page_places(spark, sf), '<body><p>{county}</p><div id="related-box"><p>other</p></div><h2>Nearby</h2>').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), '<body><p>{county}</p><div id="related-box"><p>other</p></div><h2>Nearby</h2>').select("k", cards.detail_of(F.col("html"), "scoped_html").alias("d"))
     return d.select("k", F.col("d.scoped_html").alias("scoped"))
 
 
 @query("SELECT k, county || ' is a very long story of land ' || k AS prose FROM place")
 def hlp06_largest_block(spark, sf):
     d = pages_of(page_places(spark, sf), "<body><div><p>x</p><section><p>{county} is a very long story of land {k}</p></section></div><nav>menu menu menu menu menu</nav></body>")
-    return d.select("k", cards.detail_of(F.col("html"))["description"].alias("prose"))
+    return d.select("k", cards.detail_of(F.col("html"), "description")["description"].alias("prose"))
 
 
 scalar("hlp07_spaces", "county || ' land' AS t", lambda: dict(t=T.squeeze(cat("  ", c("county"), "\n\t land "))))
@@ -135,7 +135,7 @@ def hlp17_url_floor(spark, sf):
 @query("SELECT k, 'About ' || county AS d FROM place")
 def hlp18_own_description(spark, sf):
     d = pages_of(page_places(spark, sf), '<body><div class="listing-description">Property Description About {county}</div><p>' + "other " * 30 + "</p></body>")
-    return d.select("k", cards.detail_of(F.col("html"))["description"].alias("d"))
+    return d.select("k", cards.detail_of(F.col("html"), "description")["description"].alias("d"))
 
 
 @query("SELECT lower(county) || '|' || upper(state) AS key, max_cpa > 0 AS has_target FROM (SELECT county, state, coalesce(max_cpa, 0) AS max_cpa FROM county)")
@@ -255,7 +255,7 @@ def ext09_near_names(spark, sf):
 @query("SELECT k, price::DOUBLE AS price, county FROM place")
 def ext12_labels(spark, sf):
     d = pages_of(page_places(spark, sf), '<p class="listings-detail__item"><span>Price:</span><b class="listings-detail__info">$ {price}</b></p><p class="listings-detail__item"><span>County:</span><b class="listings-detail__info">{county}</b></p>')
-    m = d.select("k", cards.detail_of(F.col("html"))["labels"].alias("m"))
+    m = d.select("k", cards.detail_of(F.col("html"), "labels")["labels"].alias("m"))
     return m.select("k", numbers.price(F.try_element_at("m", F.lit("price"))).alias("price"), F.try_element_at("m", F.lit("county")).alias("county"))
 
 
@@ -264,7 +264,7 @@ LANDFLIP_PAGE = ('<html><head><script type="application/ld+json">{"@type": "Prod
 
 @query("SELECT k, price::DOUBLE AS price, acres::DOUBLE AS acres, county, st AS state FROM place")
 def ext14_landflip_detail(spark, sf):
-    d = subject.with_detail(pages_of(page_places(spark, sf), *LANDFLIP_PAGE))
+    d = subject.with_detail(pages_of(page_places(spark, sf), *LANDFLIP_PAGE), "html", "offer_price")
     about = pages.meta_description(F.col("html"))
     return d.select("k", F.col("d.offer_price").alias("price"), subject.description_acres(about).alias("acres"), subject.description_place(about)["county"].alias("county"), subject.description_place(about)["state"].alias("state"))
 
@@ -272,13 +272,13 @@ def ext14_landflip_detail(spark, sf):
 @query("SELECT k, 'Land in ' || county || ' with a view. A long story about ' || county || ' and its land.' AS d FROM place")
 def ext17_description(spark, sf):
     d = pages_of(page_places(spark, sf), '<html><head><meta property="og:description" content="Land in {county} with a view."><meta name="description" content="in {county}"></head><body><nav>menu</nav><div><p>A long story about {county} and its land.</p></div></body></html>')
-    return d.withColumn("d", cards.detail_of(F.col("html"))).select("k", subject.detail_description(F.col("html"), F.col("d")).alias("d"))
+    return d.withColumn("d", cards.detail_of(F.col("html"), "description", "too_large")).select("k", subject.detail_description(F.col("html"), F.col("d")).alias("d"))
 
 
 @query("SELECT k, CASE WHEN k % 3 = 0 THEN 31.5 WHEN k % 3 = 1 THEN 32.5 ELSE 33.5 END AS lat FROM place")
 def ext18_coordinates(spark, sf):
     html = F.when(F.col("k") % 3 == 0, '<script type="application/ld+json">{"geo": {"latitude": "31.5", "longitude": -90.5}}</script><meta name="ICBM" content="40, -90">').when(F.col("k") % 3 == 1, '<meta name="ICBM" content="32.5, -90.5"><a href="?q=33.5,-90.5">').otherwise('<a href="https://m.example/?q=33.5,-90.5">')
-    d = page_places(spark, sf).withColumn("html", html).withColumn("g", cards.detail_of(F.col("html"))["geo"])
+    d = page_places(spark, sf).withColumn("html", html).withColumn("g", cards.detail_of(F.col("html"), "geo")["geo"])
     return d.select("k", subject.page_coordinates(F.col("html"), F.col("g"))["lat"].alias("lat"))
 
 
@@ -333,7 +333,7 @@ def ext19_subjects(spark, sf):
 @query("SELECT k, '<body>' || county AS scoped FROM place")
 def ext26_scope(spark, sf):
     d = pages_of(page_places(spark, sf), "<body>{county}<h3>You may also-like</h3><p>x</p>")
-    return d.select("k", cards.detail_of(F.col("html"))["scoped_html"].alias("scoped"))
+    return d.select("k", cards.detail_of(F.col("html"), "scoped_html")["scoped_html"].alias("scoped"))
 
 
 @query("SELECT count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&quot;', '\"'), '&middot;', '·'), '\\s+', ' ', 'g') AS t FROM pages)")
@@ -343,7 +343,7 @@ def ext27_visible_text(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price, 'Sold' AS status, k || ' acre farm' AS name FROM place")
 def ext28_json_ld(spark, sf):
-    d = pages_of(page_places(spark, sf), '<script type="application/ld+json">broken</script><script type="application/ld+json">{"@graph": [{"name": "site", "price": 5}, {"name": "{k} acre farm", "offers": [{"price": "{price}", "availability": "SoldOut"}]}]}</script>').select("k", cards.detail_of(F.col("html")).alias("d"))
+    d = pages_of(page_places(spark, sf), '<script type="application/ld+json">broken</script><script type="application/ld+json">{"@graph": [{"name": "site", "price": 5}, {"name": "{k} acre farm", "offers": [{"price": "{price}", "availability": "SoldOut"}]}]}</script>').select("k", cards.detail_of(F.col("html"), "ld_price", "availability", "ld_name").alias("d"))
     return d.select("k", F.col("d.ld_price").alias("price"), T.status_of_availability(F.col("d.availability")).alias("status"), F.col("d.ld_name").alias("name"))
 
 
@@ -366,11 +366,11 @@ scalar("ext32_market_status", "(k % 4)::DOUBLE AS n", lambda: dict(n=pages.marke
 @query("SELECT k, price::DOUBLE AS price FROM place")
 def ext33_price(spark, sf):
     d = pages_of(page_places(spark, sf), '<body><p class="price">$900/acre</p><b itemprop="price">$ {price}</b></body>')
-    return subject.with_detail(d).select("k", subject.read_price().alias("price"))
+    return subject.with_detail(d, "html", "offer_price", "price_texts").select("k", subject.read_price().alias("price"))
 
 
 def ld_prices(spark, sf):
-    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"offers": [{"price": 10}, {"price": "${price}"}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"offers": [{"price": 10}, {"price": "${price}"}]}</script>').select("k", cards.detail_of(F.col("html"), "offer_price")["offer_price"].alias("price"))
 
 
 @query("SELECT k, price::DOUBLE AS price FROM place")
@@ -380,7 +380,7 @@ def ext34_offer_price(spark, sf):
 
 @query("SELECT k, price::DOUBLE AS price FROM place")
 def ext35_first_ld_price(spark, sf):
-    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"price": 7}</script><script type="application/ld+json">{"@graph": [{"price": {price}}]}</script>').select("k", cards.detail_of(F.col("html"))["offer_price"].alias("price"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"price": 7}</script><script type="application/ld+json">{"@graph": [{"price": {price}}]}</script>').select("k", cards.detail_of(F.col("html"), "offer_price")["offer_price"].alias("price"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'first ' || id WHEN id % 3 = 0 THEN 'second ' || id END AS description FROM record")
@@ -396,7 +396,7 @@ def joi11_card_descriptions(spark, sf):
 
 @query("SELECT k, '31.5, -90.5' AS geo FROM place")
 def set08_json_search(spark, sf):
-    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"a": [{"b": {"latitude": 31.5, "longitude": -90.5, "k": {k}}}]}</script>').select("k", cards.detail_of(F.col("html"))["geo"].alias("geo"))
+    return pages_of(page_places(spark, sf), '<script type="application/ld+json">{"a": [{"b": {"latitude": 31.5, "longitude": -90.5, "k": {k}}}]}</script>').select("k", cards.detail_of(F.col("html"), "geo")["geo"].alias("geo"))
 
 
 def plugin_counts(d):

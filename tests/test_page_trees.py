@@ -1,6 +1,10 @@
 """Trees of pages are made once, and tables of few bytes are dealt out for work that follows their rows."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from acreline.extract import cards, dom
+from acreline.functions import numbers
 from acreline.queries import tables
 
 
@@ -27,3 +31,43 @@ def test_a_page_is_parsed_once(monkeypatch):
 def test_rows_of_pages_are_dealt_out(spark):
     d = tables.dealt_out(spark.range(25_000).coalesce(1), "id")
     assert d.rdd.getNumPartitions() >= 3 and d.count() == 25_000
+
+
+def test_fields_cost_their_own_work(monkeypatch):
+    """A price of the JSON-LD needs no tree, nor does a title, panel or shown price that the page cannot have."""
+    monkeypatch.setattr(cards, "parse", lambda html: pytest.fail("a tree was made"))
+    page = '<script type="application/ld+json">{"offers": {"price": "$5,000"}}</script><p>land</p>'
+    assert cards.detail(page, ["offer_price", "ld_price"]) == {"offer_price": 5000.0, "ld_price": 5000.0}
+    page = "<div><p>land</p></div>"
+    assert cards.detail(page, ["title", "h1", "panel", "labels", "price_texts"]) == {"title": "", "h1": "", "panel": [], "labels": {}, "price_texts": [""] * 6}
+
+
+def test_fields_alone_equal_all_fields():
+    """Also where references stand for letters of a class, or a part is cut away."""
+    pages = [
+        '<html><head><meta property="og:title" content="A"><TITLE>t</TITLE></head><body><H1>Farm</H1><p class="pric&#101;">$ 5,000</p><h2>Similar</h2><p class="price">$ 9,000</p></body></html>',
+        '<aside class="tl-property&#45;panel"><p class="tl-property-stat"><strong>Sold</strong></p></aside><b itemprop="price">$ 7,000</b>',
+        '<p class="listings-detail&lowbar;_item"><span>Price:</span><b class="listings-detail__info">$ 5</b></p>',
+        "",
+        None,
+    ]
+    for p in pages:
+        assert cards.detail(p) == {f: cards.detail(p, [f])[f] for f in cards.READ}
+    first, second, third = map(cards.detail, pages[:3])
+    assert (first["title"], first["h1"], first["price_texts"][2]) == ("A", "Farm", "$ 5,000")
+    assert second["panel"] == ["Sold"] and second["price_texts"][5] == "$ 7,000" and third["labels"] == {"price": "$ 5"}
+
+
+def test_sites_are_read_for_what_they_need(spark):
+    d = spark.createDataFrame([("a", "<h1>x</h1>"), ("b", "<h1>x</h1>")], "site string, html string")
+    r = d.select("site", cards.detail_of(F.col("html"), "title", "panel", site=F.col("site"), needs={"a": ("panel",)}).alias("d")).select("site", "d.*")
+    assert sorted(map(tuple, r.collect())) == [("a", None, []), ("b", "x", [])]
+
+
+def test_acreages_are_worked_out_once(spark):
+    """Refining a headline names the list of acreages once, not once for each of its uses in each step."""
+    d = spark.createDataFrame([("40 acres, 40.25 acres, $ 40.5 acres", "39.75 acres 40.251 acres"), ("none", ""), (None, None)], "a string, b string")
+    found = numbers.refined_acres(numbers.headline_acres(F.col("a")), F.col("b"))
+    assert [r[0] for r in d.select(found).collect()] == [40.251, None, None]
+    plan = d.select(found.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 2
