@@ -129,7 +129,8 @@ def with_subject(rows: DataFrame, html: str, url: str, whole: bool = True) -> Da
     out = generic_subject()
     for site, reading in readers.items():
         out = F.when(F.col("site") == site, reading).otherwise(out)
-    return d.withColumn("subject", out)
+    # exploded: a selection by a plain column would be moved below all parts, with the whole reading in place of every name
+    return d.select("*", F.explode(F.array(out)).alias("subject"))
 
 
 def subjects(rows: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from acreline.extract import cards, dom
+from acreline.extract import cards, dom, subject
 from acreline.functions import numbers
 from acreline.queries import tables
 
@@ -71,3 +71,13 @@ def test_acreages_are_worked_out_once(spark):
     assert [r[0] for r in d.select(found).collect()] == [40.251, None, None]
     plan = d.select(found.alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_a_selection_by_subject_reads_a_page_once(spark):
+    """A filter on what was read names the texts of a page as often as the reading alone, not once for each use of them."""
+    d = spark.createDataFrame([("https://www.tuttland.com/land-sale/kentucky/wayne-county/x", "<p>Explore the Property now $50,000 40 acres Active</p>"), ("https://www.landwatch.com/x", "<p>no listing</p>")], "url string, html string")
+    read = subject.subjects(d)
+    times = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("</script>")
+    chosen = read.where("subject.ok")
+    assert times(chosen) <= times(read)
+    assert [(r.url.split("/")[2], r.subject.price) for r in chosen.collect()] == [("www.tuttland.com", 50000.0)]
