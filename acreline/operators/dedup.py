@@ -137,27 +137,38 @@ def in_rounds(rows: DataFrame) -> DataFrame:
     return out
 
 
-def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows: int = 1_000) -> DataFrame:
-    """listings with kept and duplicate_of (url, fingerprint, session): the sequential rule, exact for any batch.
+def firsts_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of rows (u, fingerprint, k): those kept for being the first of their url and fingerprint, and the rows left open.
 
-    In order of key a listing is kept if neither its url nor its fingerprint is in the index or was kept before; only kept
-    ones register. A dropped row's other key stays free, so this is no ranking. Rows that share a url or fingerprint form
-    chains. Chains of up to chain_rows rows are visited in order, each in one task; longer ones are resolved in rounds of
-    joins. Rows that repeat both url and fingerprint of an earlier row never enter a chain, so copies of any number cost
-    one row.
+    A row that is the first of both is kept, as nothing before it has its keys, and all others with one of its keys come
+    later and are dropped. What is left is told the same way for as long as a round leaves at most half of the rows. Pairs
+    of url and fingerprint must be different.
     """
-    urls = index.select("url").where("url IS NOT NULL").distinct().withColumn("_u", F.lit(True))
-    prints = index.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.lit(True))
-    d = listings.join(urls, "url", "left").join(prints, "fingerprint", "left")
-    d = d.withColumn("duplicate_of", F.when(F.col("_u"), "url").when(F.col("_f"), "fingerprint")).drop("_u", "_f")
-    fresh = d.where("duplicate_of IS NULL").select(F.col(key).alias("k"), F.coalesce("url", F.lit("")).alias("u"), "fingerprint")
-    pair = fresh.groupBy("u", "fingerprint").agg(F.min("k").alias("k"))
+    left, kept = scratch.written(rows.select("u", "fingerprint", "k"), "left"), []
+    n = left.count()
+    while n:
+        first = left.groupBy("u").agg(F.min(F.struct("k", "fingerprint")).alias("r")).select("u", "r.fingerprint", "r.k")
+        of_print = left.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("_k"))
+        now = scratch.written(first.join(of_print, "fingerprint", "left").where("_k IS NULL OR k = _k").select("u", "fingerprint", "k"), "firsts")
+        rest = left.join(now.select("u"), "u", "left_anti").join(now.where("fingerprint IS NOT NULL").select("fingerprint"), "fingerprint", "left_anti")
+        left, before = scratch.written(rest.select("u", "fingerprint", "k"), "left"), n
+        kept, n = [*kept, now], left.count()
+        if 2 * n > before:
+            break
+    out = left.limit(0)
+    for x in kept:
+        out = out.unionByName(x)
+    return out, left
+
+
+def in_chains(pair: DataFrame, chain_rows: int) -> DataFrame:
+    """Of rows (u, fingerprint, k) those that the sequential rule keeps: short chains are visited in a task each, long ones resolved in rounds."""
     first_url, first_print = pair.groupBy("u").agg(F.min("k").alias("a")), pair.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("k").alias("a"))
     edges = pair.join(first_url, "u").select("a", F.col("k").alias("b")).unionByName(pair.join(first_print, "fingerprint").select("a", F.col("k").alias("b"))).where("a <> b")
     chains = components(edges)
     linked = written(pair.join(chains, F.col("k") == F.col("node")).select("root", "k", "u", "fingerprint"), "chains")
     long = linked.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > chain_rows).select("root")
-    kind = listings.schema[key].dataType.simpleString()
+    kind = pair.schema["k"].dataType.simpleString()
 
     def visit(of: pd.DataFrame) -> pd.DataFrame:
         seen_urls, seen_prints, out = set(), set(), []
@@ -173,7 +184,28 @@ def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows:
     fate = linked.join(long, "root", "left_anti").groupBy("root").applyInPandas(visit, f"k {kind}, why string")
     chosen = fate.where("why IS NULL").select("k").unionByName(in_rounds(linked.join(long, "root", "left_semi").select("k", "u", "fingerprint")).select("k"))
     alone = pair.join(linked.select("k"), "k", "left_anti").select("u", "fingerprint", "k")
-    kept = alone.unionByName(pair.join(chosen, "k").select("u", "fingerprint", "k"))
+    return alone.unionByName(pair.join(chosen, "k").select("u", "fingerprint", "k"))
+
+
+def greedy(listings: DataFrame, index: DataFrame, key: str = "seq", chain_rows: int = 1_000) -> DataFrame:
+    """listings with kept and duplicate_of (url, fingerprint, session): the sequential rule, exact for any batch.
+
+    In order of key a listing is kept if neither its url nor its fingerprint is in the index or was kept before; only kept
+    ones register. A dropped row's other key stays free, so this is no ranking. Rows that repeat both url and fingerprint
+    of an earlier row cost one row, whatever their number. Rows that are the first of both their url and fingerprint
+    decide first (firsts_of). Of the rest those that share a url or fingerprint form chains. Chains of up to chain_rows
+    rows are visited in order, each in one task; longer ones are resolved in rounds of joins. What is read twice, listings
+    and their pairs, is written, so that listings are worked out once.
+    """
+    scratch = Scratch(listings.sparkSession, "greedy")
+    urls = index.select("url").where("url IS NOT NULL").distinct().withColumn("_u", F.lit(True))
+    prints = index.select("fingerprint").where("fingerprint IS NOT NULL").distinct().withColumn("_f", F.lit(True))
+    d = listings.join(urls, "url", "left").join(prints, "fingerprint", "left")
+    d = written(d.withColumn("duplicate_of", F.when(F.col("_u"), "url").when(F.col("_f"), "fingerprint")).drop("_u", "_f"), "listings")
+    fresh = d.where("duplicate_of IS NULL").select(F.col(key).alias("k"), F.coalesce("url", F.lit("")).alias("u"), "fingerprint")
+    firsts, pair = firsts_of(fresh.groupBy("u", "fingerprint").agg(F.min("k").alias("k")), scratch)
+    kept = written(firsts if pair.isEmpty() else firsts.unionByName(in_chains(pair, chain_rows)), "kept")
+    scratch.clear()
     by_url, by_print = kept.select(F.col("u").alias("_p"), F.col("k").alias("_ku")), kept.where("fingerprint IS NOT NULL").select("fingerprint", F.col("k").alias("_kf"))
     out = d.withColumn("_p", F.coalesce("url", F.lit(""))).join(by_url, "_p", "left").join(by_print, "fingerprint", "left")
     why = F.coalesce("duplicate_of", F.when(F.col("_ku") < F.col(key), "url"), F.when(F.col("_kf") < F.col(key), "session"))

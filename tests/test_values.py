@@ -184,3 +184,18 @@ def test_rounds_keep_the_rule_in_dense_groups(spark):
         got = {r.k for r in dedup.in_rounds(spark.createDataFrame(rows, "k long, u string, fingerprint string")).collect()}
         assert got == {k for k, why in greedy_loop(rows, [], []).items() if why is None}
     assert dedup.in_rounds(spark.createDataFrame([], "k long, u string, fingerprint string")).count() == 0
+
+
+def test_greedy_works_out_listings_once(spark, monkeypatch):
+    """Rows that are the first of both keys decide without chains, and a listing is worked out once, however often it is joined."""
+    monkeypatch.setattr(dedup, "components", lambda edges: pytest.fail("chains were made"))
+    rows = [(k, f"u{k % 3}", f"f{k % 7}" if k % 5 else None) for k in range(200)]
+    made = spark.sparkContext.accumulator(0)
+
+    def same(u):
+        made.add(1)
+        return u
+
+    d = spark.createDataFrame(rows, "seq long, url string, fingerprint string").withColumn("url", F.udf(same, "string")("url"))
+    got = {r.seq: r.duplicate_of for r in dedup.greedy(d, d.where("false")).collect()}
+    assert got == greedy_loop(rows, [], []) and made.value == 200
