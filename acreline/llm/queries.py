@@ -24,8 +24,8 @@ def op1_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_main.main_text(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = html_main.main_text(table(spark, sf_dir, "pages"), runs="n_host_runs")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_host_runs")
 
 
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
