@@ -114,10 +114,10 @@ def usual_acres(text: Column) -> Column:
 
 
 def coordinates(text: Column) -> Column:
-    """struct<lat,lng> inside the bounds of the continental US, else null."""
+    """struct<lat,lng> inside the bounds of the continental US, else null; the text is matched once for each."""
     pattern = r"(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)"
-    lat, lng = (text_or_null(F.regexp_extract(text, pattern, i)).try_cast("double") for i in (1, 2))
-    return F.when(lat.between(*LAT) & lng.between(*LNG), F.struct(lat.alias("lat"), lng.alias("lng")))
+    lat, lng = (F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2))
+    return let(F.struct(lat.alias("lat"), lng.alias("lng")), lambda p: F.when(p["lat"].between(*LAT) & p["lng"].between(*LNG), p))
 
 
 def money(n: Column) -> Column:

@@ -95,8 +95,9 @@ def in_flood_zones(records: DataFrame, zones: DataFrame, cell: float = 0.01) ->
     coordinates cannot be read, or lie outside of the country, is null: unknown, never safe. All records are kept; columns
     named lat, lng and zone are replaced.
     """
-    spot = numbers.coordinates(F.col("coordinates"))
-    d = records.drop("lat", "lng", "zone").withColumn("_p", spot).withColumn("lat", F.col("_p.lat")).withColumn("lng", F.col("_p.lng")).drop("_p")
+    # exploded, as the optimizer would put the whole reading in place of each lat and lng, and in every filter on them
+    d = records.drop("lat", "lng", "zone").select("*", F.explode(F.array(numbers.coordinates(F.col("coordinates")))).alias("_p"))
+    d = d.withColumn("lat", F.col("_p.lat")).withColumn("lng", F.col("_p.lng")).drop("_p")
     order = F.struct(~F.coalesce(high_risk_zone(F.col("zone")), F.lit(False)), F.col("zone_id"))
     zones = written(shapes(zones.where("zone IS NOT NULL AND zone <> ''").withColumn("zone", F.upper("zone")), order), "shapes")
     found = points_in_polygons(d.select("lat", "lng"), zones, cell, key="shape").join(zones.select("shape", "zone_id", "zone").distinct(), "shape")

@@ -76,3 +76,12 @@ def test_equal_shapes_are_asked_once(spark):
     d = spark.createDataFrame([(1, "31.0, -89.0"), (2, "30.2, -89.0"), (3, "40.0, -89.0"), (4, None)], "id int, coordinates string")
     assert [r.zone for r in spatial.in_flood_zones(d, zones).orderBy("id").collect()] == ["VE", "VE", "NONE", None]
     assert [r.zone for r in spatial.in_flood_zones(d, zones.where("zone_id IN (400, 500)")).orderBy("id").collect()] == ["A", "V", "NONE", None]
+
+
+def test_coordinates_are_read_once_by_each_reader(spark):
+    """The spots, the rows with one and the rows without read the text, each with one match for lat and one for lng."""
+    d = spark.createDataFrame([(1, "30.5, -89.5"), (2, None), (3, "30.5"), (4, "24,-65 or so"), (5, "-89.5, 30.5"), (6, "50.0 , -125.")], "id int, coordinates string")
+    zones = spark.createDataFrame([(1, "X", [[(-90.0, 30.0), (-88.0, 30.0), (-88.0, 31.0), (-90.0, 31.0)]])], KINDS)
+    got = spatial.in_flood_zones(d, zones)
+    assert [(r.lat, r.lng, r.zone) for r in got.orderBy("id").collect()] == [(30.5, -89.5, "X"), (None, None, None), (None, None, None), (24.0, -65.0, "NONE"), (None, None, None), (50.0, -125.0, "NONE")]
+    assert 3 <= got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 6
